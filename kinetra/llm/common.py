@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,3 +52,15 @@ def slices(batches, most_bytes: int, name: str = "text"):
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the shared checkpoint folder and read it back: for tables too wide to checkpoint as rows."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    base = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    path = f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

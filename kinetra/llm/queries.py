@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import mixing, simhash
+from kinetra.llm import decontaminate, mixing, simhash, suffix
 from kinetra.llm.common import table
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -17,7 +25,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
