@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import decontaminate, mixing, simhash, suffix
+from kinetra.llm import decontaminate, language, mixing, simhash, suffix
 from kinetra.llm.common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op1_language": op1_language, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
