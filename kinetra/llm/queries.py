@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import decontaminate, language, mixing, simhash, suffix
+from kinetra.llm import decontaminate, language, mixing, quality, simhash, suffix, toxicity
 from kinetra.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,7 +37,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_language": op1_language, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op1_language": op1_language, "op3_quality": op3_quality, "op6_toxicity": op6_toxicity, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
