@@ -228,10 +228,10 @@ def repeated(docs: DataFrame, length: int = 400, block: int = 100, bucket: int =
     docs: id, h, text. bucket: contexts a bucket holds; most: contexts of one anchor before it is dealt by cores.
     """
     occurrences = staged(contexts(docs, length))
-    twice = occurrences.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    twice = durable(occurrences.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))  # plain shuffles on both sides let Spark split hot anchors
     kept = durable(occurrences.join(twice, "anchor"))
     folded = durable(kept.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "a", "n", "off")).alias("one")))
-    mixed = folded.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    mixed = durable(folded.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
     asked = durable(folded.join(mixed, "anchor").select("anchor", "ctx", "c", "one.*", (F.col("m") > most).alias("hot")))
     rows = asked.agg(F.coalesce(F.sum(F.when(F.col("hot"), F.ceil(F.col("n") / CELL) + 1).otherwise(1)), F.lit(0))).first()[0]
     by_doc = asked.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "ctx", "c", "a", "n", "off", "hot")).alias("asked"))
@@ -249,7 +249,7 @@ def repeated(docs: DataFrame, length: int = 400, block: int = 100, bucket: int =
     whole = folded.where("c > 1").select("anchor", "ctx", F.array(F.lit(0).cast("bigint")).alias("lo"), F.array(F.col("one.n").cast("bigint")).alias("hi"))
     # A folded context is repeated as a whole; the merge adds the windows of the others.
     marks = whole.union(found.join(whole.select("anchor", "ctx"), ["anchor", "ctx"], "left_anti"))
-    at = kept.join(marks, ["anchor", "ctx"]).select("id", "h", F.explode(F.arrays_zip("lo", "hi")).alias("w"), "a")
+    at = kept.join(durable(marks), ["anchor", "ctx"]).select("id", "h", F.explode(F.arrays_zip("lo", "hi")).alias("w"), "a")
     spans = at.select("id", "h", F.struct((F.col("a") + F.col("w.lo")).alias("s"), (F.col("a") + F.col("w.hi") + length - 1).alias("e")).alias("w"))
     return spans.groupBy("id", "h").agg(F.collect_list("w").alias("spans"))
 
