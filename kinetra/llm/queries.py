@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import decontaminate, language, mixing, quality, rules, simhash, suffix, toxicity
+from kinetra.llm import decontaminate, language, mixing, mixing_lm, quality, rules, simhash, suffix, toxicity
 from kinetra.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.filter_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_language": op1_language, "op3_quality": op3_quality, "op4_rules": op4_rules, "op6_toxicity": op6_toxicity, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op1_language": op1_language, "op3_quality": op3_quality, "op4_rules": op4_rules, "op5_lm": op5_lm, "op6_toxicity": op6_toxicity, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
