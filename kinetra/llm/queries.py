@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import decontaminate, language, mixing, mixing_lm, quality, rules, simhash, suffix, toxicity
+from kinetra.llm import decontaminate, extract, language, mixing, mixing_lm, quality, rules, simhash, suffix, toxicity
 from kinetra.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_language": op1_language, "op3_quality": op3_quality, "op4_rules": op4_rules, "op5_lm": op5_lm, "op6_toxicity": op6_toxicity, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op1_language": op1_language, "op2_extract": op2_extract, "op3_quality": op3_quality, "op4_rules": op4_rules, "op5_lm": op5_lm, "op6_toxicity": op6_toxicity, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
