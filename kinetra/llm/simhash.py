@@ -57,15 +57,18 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def covering_masks(free: list[int], radius: int) -> list[int]:
-    """The 2**(radius+1)-1 masks over the given bit positions, as signed 64-bit numbers."""
+    """The 2**(radius+1)-1 masks over the given bit positions."""
     n = (1 << (radius + 1)) - 1
     out = []
     for v in range(1, n + 1):
-        mask = sum(1 << bit for j, bit in enumerate(free) if ((j % n + 1) & v).bit_count() % 2)
-        out.append(mask - (1 << BITS) if mask >> (BITS - 1) else mask)
+        out.append(sum(1 << bit for j, bit in enumerate(free) if ((j % n + 1) & v).bit_count() % 2))
     return out
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
 def _deeper(masks: list[int], radius: int) -> list[tuple[int, int]]:
     """(table, mask) for each table of the next level under each mask."""
     return [(t, mask | m) for t, mask in enumerate(masks) for m in covering_masks([b for b in range(BITS) if not mask >> b & 1], radius)]
@@ -101,7 +104,7 @@ def links(fps: DataFrame, radius: int = 3, most: int = 4096) -> DataFrame:
     A bucket of up to `most` members is one list; larger ones go a level deeper over the bits left free.
     """
     spark, masks = fps.sparkSession, covering_masks(list(range(BITS)), radius)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
     found = None
     for level in range(3):
         sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -113,9 +116,9 @@ def links(fps: DataFrame, radius: int = 3, most: int = 4096) -> DataFrame:
         if last or not (hot := durable(sized.where(F.col("n") > most).select("t", "fp"))).take(1):
             return found
         deeper = _deeper(masks, radius)
-        level_masks = F.broadcast(spark.createDataFrame([(t, i, m) for i, (t, m) in enumerate(deeper)], "t int, t2 int, mask bigint"))  # 15 or 225 times 15 rows, whatever the data
+        level_masks = F.broadcast(spark.createDataFrame([(t, i, _signed(m)) for i, (t, m) in enumerate(deeper)], "t int, t2 int, mask bigint"))  # 15 or 225 times 15 rows, whatever the data
         keyed = hot.join(level_masks, "t").select("fp", F.col("t2").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        masks = [m & ((1 << BITS) - 1) for _, m in deeper]
+        masks = [m for _, m in deeper]
     return found
 
 

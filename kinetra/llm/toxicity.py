@@ -37,8 +37,7 @@ class Linear:
     @staticmethod
     def sums(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(r) for r in rows])
-        flat = np.concatenate([*rows, [0]]).astype(np.int64)
-        total = np.concatenate(([0.0], np.cumsum(np.where(np.arange(len(flat)) < sizes.sum(), w[flat], 0))))
+        total = np.concatenate(([0.0], np.cumsum(w[np.concatenate([*rows, []]).astype(np.int64)])))
         ends = np.cumsum(sizes)
         return total[ends] - total[ends - sizes]
 
