@@ -1,0 +1,199 @@
+"""Properties of the operators that SQL cannot check, and small cases with known answers."""
+
+import struct
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kinetra.config import Study
+from kinetra.functions import special
+from kinetra.operators import adapt, ridge, rocket, runner, segment, split, stats
+from kinetra.sources import recordings, results
+
+
+def frame(spark, x, **extra):
+    rows = [(i, v.tolist(), *[c[i] for c in extra.values()]) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, ", ".join(["id int, features array<double>", *[f"{k} int" for k in extra]]))
+
+
+def matrix(df):
+    return np.array([r.features for r in df.orderBy("id").collect()])
+
+
+def test_a_recording_that_begins_in_a_movement_loses_its_first_sample(spark):
+    rows = [(1, i, s, 1) for i, s in enumerate([2] * 5 + [0] * 3 + [3] * 4 + [1] * 2)]
+    df = spark.createDataFrame(rows, "subject int, i int, stimulus int, repetition int")
+    got = [(r.stimulus, r.start, r.end) for r in segment.trials(df, ["subject"], 3).orderBy("start").collect()]
+    assert got == [(2, 1, 5), (3, 8, 12)]
+
+
+@pytest.mark.parametrize(("n", "width", "overlap"), [(1000, 400, 0.5), (399, 400, 0.5), (17, 4, 0.9), (8, 8, 0.0)])
+def test_windows_agree_with_slices(spark, n, width, overlap):
+    df = spark.range(n).selectExpr("1 as s", "cast(id as int) as i")
+    step, want = segment.step_of(width, overlap), segment.complete_windows(n, width, overlap)
+    got = sorted(tuple(r) for r in segment.windows(df, ["s"], width, overlap, [F.min("i").alias("lo"), F.max("i").alias("hi")]).select("window_id", "lo", "hi").collect())
+    assert got == [(k, k * step, k * step + width - 1) for k in range(want)]
+    arrays = spark.createDataFrame([(list(range(n)),)], "x array<int>")
+    assert sorted(r.x[0] for r in segment.window_arrays(arrays, "x", width, overlap).collect()) == [k * step for k in range(want)]
+
+
+def test_repetition_split_rounds_to_even_and_never_leaks(spark):
+    for reps, held in ((1, 0), (2, 1), (3, 2), (5, 2), (7, 4)):
+        df = spark.createDataFrame([(0, r) for r in range(reps) for _ in range(3)], "y int, rep int")
+        sides = split.repetition_split(df, "y", "rep", 0.5).collect()
+        assert sum(s.side == "held" for s in sides) == held and len(sides) == reps
+    with pytest.raises(ValueError):
+        split.repetition_split(df, "y", "rep", 1.0)
+
+
+def test_greedy_packing_passes_over_what_overflows(spark):
+    df = spark.createDataFrame([(1, 0, 5), (1, 1, 4), (1, 2, 1), (2, 0, 9), (2, 1, 1)], "s int, rep int, n int")
+    got = {r.s: (r.total, r.reps) for r in split.pack_repetitions(df, ["s"], 6, "rep").collect()}
+    assert got == {1: (6, [0, 2]), 2: (9, [0])}
+
+
+def test_coral_takes_on_mean_and_covariance(spark):
+    rng = np.random.default_rng(0)
+    xs, xt = rng.normal(size=(500, 6)) @ rng.normal(size=(6, 6)) + 1, rng.normal(size=(400, 6)) @ rng.normal(size=(6, 6))
+    moved = matrix(adapt.coral(frame(spark, xs), frame(spark, xt), "features", 1e-6))
+    assert np.allclose(moved.mean(axis=0), xt.mean(axis=0))
+    assert np.allclose(np.cov(moved, rowvar=False), np.cov(xt, rowvar=False), atol=1e-2)
+
+
+def test_gram_in_tiles(spark):
+    x = np.random.default_rng(1).normal(size=(300, 20))
+    n, mean, cov = adapt.gram(frame(spark, x), "features", tile=7)
+    assert n == 300 and np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x, rowvar=False))
+
+
+def test_transfer_components_solve_the_generalised_problem():
+    rng = np.random.default_rng(2)
+    s, t = rng.normal(size=(40, 5)), rng.normal(size=(30, 5)) + 1
+    mean, sd, p = adapt.transfer_components(s, t, 3, 1.0)
+    gap = lambda a, b: abs(a.mean(axis=0) - b.mean(axis=0)).max()
+    assert p.shape == (5, 3) and gap((s - mean) / sd @ p, (t - mean) / sd @ p) < gap((s - mean) / sd, (t - mean) / sd)
+
+
+def test_subspaces_are_orthonormal_and_target_is_projected(spark):
+    rng = np.random.default_rng(3)
+    xs, xt = rng.normal(size=(200, 8)), rng.normal(size=(150, 8)) * np.arange(1, 9)
+    a, b = adapt.subspace_alignment(frame(spark, xs), frame(spark, xt), "features", 3)
+    axes = adapt.subspace(np.cov(xt, rowvar=False), 3)
+    assert np.allclose(axes.T @ axes, np.eye(3)) and matrix(a).shape == (200, 3)
+    assert np.allclose(matrix(b), (xt - xt.mean(axis=0)) @ axes + xt.mean(axis=0)[:3])
+
+
+def test_ridge_leave_one_out_is_exact():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 60)), rng.integers(0, 3, 40)
+    target, errors = np.where(y[:, None] == np.arange(3), 1.0, -1.0), []
+    for a in (0.1, 10.0):
+        one = []
+        for i in range(40):
+            keep = np.arange(40) != i
+            xc, yc = x[keep] - x[keep].mean(axis=0), target[keep] - target[keep].mean(axis=0)
+            w = np.linalg.solve(xc.T @ xc + a * np.eye(60), xc.T @ yc)
+            one.append((target[i] - target[keep].mean(axis=0) - (x[i] - x[keep].mean(axis=0)) @ w) ** 2)
+        errors.append(np.mean(one))
+    assert ridge.fit(x, y, np.array([0.1, 10.0])).alpha == (0.1, 10.0)[int(np.argmin(errors))]
+    assert (ridge.fit(x[:, :5] + 5 * np.eye(3, 5)[y], y).predict(x[:, :5] + 5 * np.eye(3, 5)[y]) == y).mean() > 0.9
+
+
+def test_convolution_by_hand():
+    x, w = np.random.default_rng(5).normal(size=(2, 3, 30)), (2.0, -1, -1, 2, -1, -1, -1, -1, 2)
+    for dilation, padded in ((1, False), (3, False), (2, True)):
+        got, reach = rocket.convolve(x, w, dilation, padded, (0, 2)), 8 * dilation
+        signal = x[:, 0] + x[:, 2]
+        signal = np.pad(signal, ((0, 0), (reach // 2,) * 2)) if padded else signal
+        want = [[sum(w[j] * s[t + j * dilation] for j in range(9)) for t in range(len(s) - reach)] for s in signal]
+        assert np.allclose(got, want)
+
+
+def test_kernel_banks():
+    assert rocket.custom_dilations(400) == [1, 2, 4, 8, 16]
+    sample = np.random.default_rng(6).normal(size=(20, 2, 400))
+    bank = rocket.canonical_bank(10_000, 2, sample)
+    assert len(bank.bias) == 9996
+    assert sorted(set(bank.dilation.tolist())) == [*range(1, 11), 12, 14, 16, 18, 20, 23, 26, 30, 34, 38, 43, 49]
+    custom = rocket.with_median_bias(rocket.custom_bank(50, 2, 400), sample)
+    assert abs(rocket.features(custom, sample).mean() - 0.5) < 0.05
+    with pytest.raises(ValueError):
+        rocket.Extractor("other")
+
+
+def test_special_functions():
+    assert abs(special.t_quantile(0.975, 10) - 2.228139) < 1e-5
+    assert abs(special.f_tail(4.0, 3, 20) - 0.022084) < 1e-5
+    assert abs(special.t_tail(2.0, 5) - 0.101939) < 1e-5
+    assert special.signed_rank_p(0, 5) == 2 / 32 and special.signed_rank_p(7.5, 5) == 1.0
+
+
+def test_statistics_on_known_rows(spark):
+    df = spark.createDataFrame([(s, m, float(v)) for s, row in enumerate([(3, 2, 1), (6, 5, 4), (9, 7, 8), (4, 3, 1)]) for m, v in zip("abc", row, strict=True)], "subject int, method string, v double")
+    f = stats.friedman(df, [], "subject", "method", "v").first()
+    assert (f.n, f.k) == (4, 3) and abs(f.chi2 - 6.5) < 1e-9
+    p = spark.createDataFrame([("x", p, str(i)) for i, p in enumerate([0.04, 0.01, None, 0.03])], "g string, p double, t string")
+    got = {r.t: r.p_adjusted for r in stats.holm_sidak(p, ["g"], "p", ["t"]).collect()}
+    assert got["2"] is None and abs(got["1"] - (1 - 0.99**3)) < 1e-12 and abs(got["0"] - got["3"]) < 1e-12
+
+
+def test_folds_resume(spark):
+    rng = np.random.default_rng(7)
+    rows = [(s, s * 100 + i, i % 2, "held" if i % 4 < 2 else "kept", (rng.normal(size=4) + 3 * (i % 2)).tolist()) for s in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "subject_id int, row_id bigint, y int, side string, features array<double>")
+    study = Study(tca_components=2, sa_components=2, tca_rows=100)
+    pool = spark.createDataFrame([(a, b) for a in range(3) for b in range(3) if a != b], "fold int, subject_id int")
+    folds = spark.createDataFrame([(s, m, 42) for s in range(3) for m in ("raw", "coral", "tca", "sa", "none")], "subject_id int, method string, seed int").withColumn("config_hash", runner.config_hash(study))
+    first = runner.run_folds(df, pool, folds, study).cache()
+    got = {(r.subject_id, r.method): r for r in first.collect()}
+    assert len(got) == 15 and all((r.error is not None) == (m == "none") for (_, m), r in got.items())
+    assert all(r.accuracy > 0.8 for (_, m), r in got.items() if m != "none")
+    assert runner.pending(folds, first).count() == 3
+
+
+def mat5(**arrays):
+    out = b"MATLAB 5.0 MAT-file".ljust(124) + b"\x00\x01IM"
+    for name, a in arrays.items():
+        part = lambda kind, b: struct.pack("<II", kind, len(b)) + b + b"\0" * (-len(b) % 8)
+        body = part(6, struct.pack("<II", 6, 0)) + part(5, np.array(a.shape, "<i4").tobytes()) + part(1, name.encode()) + part(9, a.astype("<f8").tobytes(order="F"))
+        out += struct.pack("<II", 14, len(body)) + body
+    return out
+
+
+def test_recordings(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    emg = np.arange(40.0).reshape(20, 2)
+    (tmp_path / "sub" / "S7_E1_A1.mat").write_bytes(mat5(emg=emg, restimulus=np.repeat([0, 3], 10)[:, None], repetition=np.ones((20, 1)), fs=np.array([[1000.0]])))
+    (tmp_path / "S8_E1.mat").write_bytes(b"broken")
+    good, bad = recordings.quarantine(recordings.read(spark, str(tmp_path)))
+    rows = good.orderBy("sample_idx").collect()
+    assert len(rows) == 20 and rows[5].emg == [10.0, 11.0] and rows[15].stimulus == 3 and rows[0].fs == 1000 and rows[0].subject_id == 7
+    assert bad.count() == 1
+
+
+def test_result_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"database": "db7", "method": "raw", "seed": 1, "per_subject": [{"subject_id": 1, "accuracy": 0.5, "domain_shift": {"cov_before": 2.0}}, {"subject_id": 2, "accuracy": 0.7}, {"subject_id": 3, "error": "x"}]}')
+    (tmp_path / "b.json").write_text("{broken")
+    e = results.read_json(spark, str(tmp_path))
+    assert abs(results.with_summary(e).first().mean_accuracy - 0.6) < 1e-12
+    assert results.folds(e).where("error is null").count() == 2
+    assert results.rename_shift_keys(e, {"cov_before": "before"}).select("per_subject.domain_shift").first()[0][0].before == 2.0
+    grid = spark.createDataFrame([("db7", "raw"), ("db7", "sa")], "database string, method string")
+    with pytest.raises(FileNotFoundError):
+        results.require_complete(e, grid, ["database", "method"])
+    results.write_csv(results.folds(e), str(tmp_path / "out"), ["subject_id", "accuracy"])
+    assert spark.read.option("header", "true").csv(str(tmp_path / "out")).count() == 3
+    assert "accuracy" in results.latex(results.folds(e).select("subject_id", "accuracy"), "c")
+
+
+def test_count_windows_on_a_stream(spark, tmp_path):
+    from kinetra.streaming.windows import count_windows
+
+    rows = spark.range(50).selectExpr("id as event_id", "id % 2 as user_id", "timestamp_seconds(id) as ts", "cast(id as double) as value")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = count_windows(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 8, 4)
+    q = stream.writeStream.format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.user_id, r.window_id): r["mean"] for r in spark.sql("select * from counted").collect()}
+    assert len(got) == 2 * 5 and got[(0, 1)] == np.mean(np.arange(0, 50, 2)[4:12])
