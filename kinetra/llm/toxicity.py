@@ -1,10 +1,11 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of words is trained on confirmed toxic texts and on unlabelled ones. With the class
+A linear classifier over the presence of words and of word beginnings (insults are inflected) is trained on confirmed
+toxic texts and on unlabelled ones. With the class
 prior p the risk is p * R+(toxic) + max(0, R-(unlabelled) - p * R-(toxic)); where the second part turns negative, its
 gradient is taken back, which keeps the classifier from fitting the unlabelled texts. The prior is the share of toxic
-rows among the labelled training rows. The words are those that toxic texts have more often than unlabelled ones by
-many standard errors: with fewer toxic texts than words, all others would only fit noise. A last step fits scale and offset of the logit to labelled training rows.
+rows among the labelled training rows. The features are those that toxic texts have more often than unlabelled ones by
+many standard errors: with fewer toxic texts than features, all others would only fit noise. A last step fits scale and offset of the logit to labelled training rows.
 """
 
 from __future__ import annotations
@@ -23,9 +24,18 @@ from kinetra.llm.common import crc_mod, durable, flag, labelled_sample, slices,
 WORD = re.compile(r"\w+")
 
 
+BEGINNINGS = (4, 5, 6)
+
+
+def marks(text: str) -> set[str]:
+    """The text's words, and the beginnings of longer ones, each with a dash."""
+    found = set(WORD.findall(text.lower()))
+    return found | {f"{w[:n]}-" for n in BEGINNINGS for w in found if len(w) > n}
+
+
 def present(ids: dict[str, int], text: str) -> list[int]:
-    """Which vocabulary words a text has."""
-    return sorted({ids[w] for w in set(WORD.findall(text.lower())) if w in ids})
+    """Which of the known words and beginnings a text has."""
+    return sorted({ids[w] for w in marks(text) if w in ids})
 
 
 class Linear:
@@ -96,7 +106,7 @@ def telling(toxic: list[np.ndarray], unlabelled: list[np.ndarray], size: int, er
     return np.sort(best[(z[best] >= errors) & (has_p[best] >= least)])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000, size: int = 30_000) -> tuple[list[str], Linear] | None:
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, size: int = 60_000) -> tuple[list[str], Linear] | None:
     """Vocabulary and classifier from at most about `most` confirmed toxic texts and as many of the others, which go
     without their label into the unlabelled side together with the toxic ones in the share of the prior."""
     fold = ~crc_mod("doc_id", 5).eqNullSafe(0)
@@ -108,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, size: int = 30_0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
-            seen = Counter(w for x in texts(batch) for w in set(WORD.findall(x.decode("utf-8", "ignore").lower())))
+            seen = Counter(w for x in texts(batch) for w in marks(x.decode("utf-8", "ignore")))
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
     counted = sample.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 3")
