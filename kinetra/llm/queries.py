@@ -52,5 +52,42 @@ def queries():
     return {"op1_language": op1_language, "op2_extract": op2_extract, "op3_quality": op3_quality, "op4_rules": op4_rules, "op5_lm": op5_lm, "op6_toxicity": op6_toxicity, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 
 
+#: The mix in SQL: every quotient of every party is ranked, and every block a document touches is looked at.
+MIXING_SQL = r"""
+WITH s AS (
+  SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS none,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM documents),
+p AS (SELECT *, CAST(CAST('0x' || key[1:8] AS BIGINT) * 256 // 4294967296 AS INT) AS shard FROM s),
+t AS (SELECT src, none, CAST(sum(size) AS BIGINT) AS source_size FROM p GROUP BY src, none),
+r AS (SELECT *, row_number() OVER (ORDER BY none, src) AS n FROM t),
+w AS (SELECT *, CAST([5, 2, 1][CAST((n - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight, source_size * CAST(2.0 AS DOUBLE) AS cap FROM r),
+q AS (SELECT *, (SELECT sum(source_size) * CAST(1.5 AS DOUBLE) FROM t) AS total, sum(cap) OVER (ORDER BY cap / weight, n) - cap AS before,
+    sum(weight) OVER () - sum(weight) OVER (ORDER BY cap / weight, n) + weight AS rest FROM w),
+v AS (SELECT (total - before) / rest AS level FROM q WHERE (total - before) / rest * weight <= cap ORDER BY cap / weight, n LIMIT 1),
+a AS (SELECT src, none, source_size, (source_size + 31) // 32 AS blocks, coalesce(least(cap, (SELECT level FROM v) * weight), cap) AS target FROM q),
+seats AS (SELECT least(CAST(round(sum(target) / 32) AS BIGINT), CAST(sum(blocks) * 2 AS BIGINT)) AS seats FROM a),
+sq AS (SELECT src, none, k, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, CAST(none AS VARCHAR) || ':' || src, k) AS place
+  FROM (SELECT *, unnest(range(0, blocks * 2)) AS k FROM a) WHERE target > 0),
+b AS (SELECT a.*, coalesce(c.quota, 0) AS source_quota FROM a LEFT JOIN (SELECT src, none, count(*) AS quota FROM sq WHERE place <= (SELECT seats FROM seats) GROUP BY 1, 2) c ON a.src = c.src AND a.none = c.none),
+sh AS (SELECT src, none, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM p GROUP BY 1, 2, 3),
+sb AS (SELECT *, CAST(sum(shard_size) OVER (PARTITION BY src, none ORDER BY shard) - shard_size AS BIGINT) AS "begin" FROM sh),
+sf AS (SELECT *, ("begin" + 31) // 32 AS "first", ("begin" + shard_size + 31) // 32 - ("begin" + 31) // 32 AS blocks FROM sb),
+hq AS (SELECT sf.src, sf.none, sf.shard, k, b.source_quota, row_number() OVER (PARTITION BY sf.src, sf.none ORDER BY sf.blocks / (2 * k + 1) DESC, shard, k) AS place
+  FROM (SELECT *, unnest(range(0, blocks * 2)) AS k FROM sf) sf JOIN b ON sf.src = b.src AND sf.none = b.none),
+x AS (SELECT sf.*, coalesce(c.quota, 0) AS quota, greatest(sf.blocks, 1) AS n,
+    CAST('0x' || md5('17/' || CAST(sf.none AS VARCHAR) || sf.src || '/' || CAST(sf.shard AS VARCHAR))[1:8] AS BIGINT) % greatest(sf.blocks, 1) AS u
+  FROM sf LEFT JOIN (SELECT src, none, shard, count(*) AS quota FROM hq WHERE place <= source_quota GROUP BY 1, 2, 3) c ON sf.src = c.src AND sf.none = c.none AND sf.shard = c.shard),
+blk AS (SELECT src, none, "first" + i AS block, ((i + 1) * quota + u) // n - (i * quota + u) // n AS times FROM (SELECT *, unnest(range(0, blocks)) AS i FROM x)),
+d AS (SELECT p.*, sf."begin" + sum(p.size) OVER (PARTITION BY p.src, p.none, p.shard ORDER BY p.key, p.doc_id, p.size ROWS UNBOUNDED PRECEDING) AS hi
+  FROM p JOIN sf ON p.src = sf.src AND p.none = sf.none AND p.shard = sf.shard),
+e AS (SELECT *, hi - size AS lo, row_number() OVER () AS rid FROM d),
+f AS (SELECT rid, src, none, lo, hi, unnest(range(CAST(lo // 32 AS BIGINT), CAST((hi + 31) // 32 AS BIGINT))) AS block FROM e WHERE size > 0),
+g AS (SELECT rid, sum((least(f.hi, (f.block + 1) * 32) - greatest(f.lo, f.block * 32)) * times) AS taken FROM f JOIN blk ON f.src = blk.src AND f.none = blk.none AND f.block = blk.block GROUP BY rid)
+SELECT e.doc_id, e.size, b.source_size, b.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken FROM e JOIN b ON e.src = b.src AND e.none = b.none LEFT JOIN g ON e.rid = g.rid
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": MIXING_SQL}
