@@ -20,7 +20,7 @@ def main() -> None:
     t.add_argument("--out", required=True)
     t.add_argument("--min-trial", type=int, default=100)
     args = p.parse_args()
-    from kinetra.plans import evaluation, models, signals  # noqa: F401
+    from kinetra.plans import evaluation, models, signals, tables  # noqa: F401
     from kinetra.plans.registry import QUERIES
 
     if args.command == "list":

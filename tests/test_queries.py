@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from kinetra.plans import evaluation, models, signals  # noqa: F401
+from kinetra.plans import evaluation, models, signals, tables  # noqa: F401
 from kinetra.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
