@@ -84,3 +84,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, most:
 def flag(column: str, n: int, remainder: int):
     """Whether crc32 of the column's text form leaves this remainder; false for null."""
     return F.coalesce(crc_mod(column, n) == remainder, F.lit(False))
+
+
+#: Bits of the filter ahead of a shuffle: 8 MB of bitmaps at most are broadcast, whatever the keys.
+FILTER_BITS = 1 << 26
+
+
+def part_by_keys(df: DataFrame, key, keys: DataFrame, hashed) -> tuple[DataFrame, DataFrame]:
+    """(rows of df that may have one of the keys, rows that have none), by a bitmap of hashes and without a shuffle.
+
+    key: the column expression of df to hash, hashed: that of keys. With more keys than bits (beyond some hundred GB of
+    texts) nearly every row may have one, and the join that follows does all the work, as it would alone.
+    """
+    place = lambda h: F.pmod(h, F.lit(FILTER_BITS)) + 1
+    bits = keys.select(place(hashed).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    bits = durable(bits)
+    own = df.withColumn("_p", place(key)).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(bits), "_bucket", "left")
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    own = own.withColumn("_may", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_p", "_bucket", "_bits")
+    return own.where("_may").drop("_may"), own.where("not _may").drop("_may")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import durable, slices, texts
+from kinetra.llm.common import durable, part_by_keys, slices, texts
 from kinetra.llm.components import components
 
 BITS = 64
@@ -140,9 +140,11 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFram
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the least doc_id stays (one of them, where rows repeat the id)."""
-    groups = simhash_groups(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    ids = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
-    ids = durable(ids)
-    out = docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")
+    ids = durable(simhash_groups(docs).groupBy("doc_id").agg(F.sum(stays).alias("n")))
+    gone = ids.where("n = 0 and doc_id is not null").select("doc_id")
+    may, never = part_by_keys(docs, F.xxhash64(F.col("doc_id").cast("bigint")), gone, F.xxhash64("doc_id"))
+    out = never.unionByName(may.join(gone, "doc_id", "left_anti"))
+    if ids.where("n = 0 and doc_id is null").take(1):
+        out = out.where("doc_id is not null")
     return out.dropDuplicates(["doc_id"]) if ids.where("n > 1").take(1) else out

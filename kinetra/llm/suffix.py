@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import durable, slices, staged, texts
+from kinetra.llm.common import durable, part_by_keys, slices, staged, texts
 
 GRAM = 64
 PIECE = 4 << 20
@@ -235,7 +235,8 @@ def repeated(docs: DataFrame, length: int = 400, block: int = 100, bucket: int =
     asked = durable(folded.join(mixed, "anchor").select("anchor", "ctx", "c", "one.*", (F.col("m") > most).alias("hot")))
     rows = asked.agg(F.coalesce(F.sum(F.when(F.col("hot"), F.ceil(F.col("n") / CELL) + 1).otherwise(1)), F.lit(0))).first()[0]
     by_doc = asked.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "ctx", "c", "a", "n", "off", "hot")).alias("asked"))
-    strings = docs.join(by_doc, ["id", "h"]).select("text", "asked").mapInArrow(_fetch(length), "key bigint, anchor bigint, ctx bigint, shift int, n int, c bigint, bytes binary")
+    may, _ = part_by_keys(docs, F.col("h"), asked, F.col("h"))
+    strings = may.join(by_doc, ["id", "h"]).select("text", "asked").mapInArrow(_fetch(length), "key bigint, anchor bigint, ctx bigint, shift int, n int, c bigint, bytes binary")
 
     def merge(got: pa.Table) -> pa.Table:
         strings = got.column("bytes").to_pylist()
@@ -251,7 +252,13 @@ def repeated(docs: DataFrame, length: int = 400, block: int = 100, bucket: int =
     marks = whole.union(found.join(whole.select("anchor", "ctx"), ["anchor", "ctx"], "left_anti"))
     at = kept.join(durable(marks), ["anchor", "ctx"]).select("id", "h", F.explode(F.arrays_zip("lo", "hi")).alias("w"), "a")
     spans = at.select("id", "h", F.struct((F.col("a") + F.col("w.lo")).alias("s"), (F.col("a") + F.col("w.hi") + length - 1).alias("e")).alias("w"))
-    return spans.groupBy("id", "h").agg(F.collect_list("w").alias("spans"))
+    return durable(spans.groupBy("id", "h").agg(F.collect_list("w").alias("spans")))
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs (with id, h) and their spans, null where there are none. Only rows that may have spans are shuffled."""
+    may, never = part_by_keys(docs, F.col("h"), spans, F.col("h"))
+    return may.join(spans, ["id", "h"], "left").unionByName(never.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -297,7 +304,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = own.join(spans, ["id", "h"], "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "spans")
+    joined = with_spans(own, spans).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "spans")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -325,4 +332,4 @@ def suffix_stage(spark, docs: DataFrame, sf_dir: str, length: int = 400) -> Data
             rows = pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
             yield rows.filter(pa.array([bool(b) or not a for a, b in zip(old, new, strict=True)], pa.bool_()))
 
-    return own.join(spans, ["id", "h"], "left").select("row", "text", "spans").mapInArrow(run, docs.schema)
+    return with_spans(own, spans).select("row", "text", "spans").mapInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kinetra.llm import components, decontaminate, extract, language, mixing, mixing_lm, quality, rules, simhash, suffix, toxicity
+from kinetra.llm.common import part_by_keys
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, h string, y int, word string, size string, key string, row string"
 RND = random.Random(5)
@@ -90,6 +91,15 @@ def test_large_buckets_split_without_losing_links(spark):
     assert classes[0] == classes[1] and max(classes[0]) >= 140
 
 
+def test_filter_ahead_of_a_shuffle_misses_no_key(spark):
+    df = spark.range(3000).selectExpr("id", "xxhash64(id) as k")
+    keys = df.where("id % 7 = 0")
+    may, never = part_by_keys(df, F.col("k"), keys, F.col("k"))
+    got = {r.id for r in may.collect()}
+    assert got >= set(range(0, 3000, 7)) and len(got) < 450 and got.isdisjoint({r.id for r in never.collect()}) and may.count() + never.count() == 3000
+    assert part_by_keys(df, F.col("k"), keys.limit(0), F.col("k"))[0].count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u bigint, v bigint")
     assert dict(map(tuple, components.components(edges).collect())) == {**{i: 0 for i in range(1, 61)}, 101: 100}
