@@ -11,7 +11,8 @@
    prefixes. Intervals whose common prefix is a whole window and that hold two windows are repeated.
 4. Repeated windows go back to all documents that have the context, and their bytes are removed.
 
-An anchor with very many different contexts (a common short string) is dealt on by a longer core of its windows.
+An anchor with very many different contexts (a common short string or passage) is dealt on by longer cores of its
+windows, in cells that fold by their bytes; a core with very many different cells is decided by single windows.
 """
 
 from __future__ import annotations
@@ -194,38 +195,98 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 CELL = 8
 
 
-def _fetch(length: int):
-    """Documents with the contexts asked of them -> key, anchor, ctx, shift, n, c, bytes of each context or cell."""
-    names = ["key", "anchor", "ctx", "shift", "n", "c", "bytes"]
+DEALT = "id bigint, h bigint, anchor bigint, ctx bigint, c bigint, key bigint, cell bigint, shift int, a bigint, n int"
+
+
+def _deal(length: int, size: int):
+    """Documents with the contexts asked of them -> DEALT: each context's runs of `size` windows at equal distance from the anchor.
+
+    key: the hash of the bytes that all windows of a run share, cell: that of all its bytes. No bytes are sent.
+    """
+    names = [c.split()[0] for c in DEALT.split(", ")]
+    types = [{"bigint": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in DEALT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, signed = xxhash.xxh3_64_intdigest, lambda x: x - (1 << 64) if x >> 63 else x
         for batch in slices(batches, 8 << 20):
             out: list[tuple] = []
-            for text, asked in zip(texts(batch), batch.column(batch.schema.get_field_index("asked")).to_pylist(), strict=True):
+            for i, h, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch), batch.column(3).to_pylist(), strict=True):
                 for x in asked:
                     a, n, off = x["a"], x["n"], x["off"]
-                    if not x["hot"]:
-                        out.append((x["anchor"], x["anchor"], x["ctx"], 0, n, x["c"], text[a : a + n + length - 1]))
-                        continue
-                    first = -off // CELL
-                    for cell in range(first, (n - 1 - off) // CELL + 1):  # cells of windows at equal distance from the anchor
-                        lo, hi = max(0, cell * CELL + off), min(n, (cell + 1) * CELL + off)
-                        p = a + off + cell * CELL
-                        core = xxhash.xxh3_64_intdigest(text[p + CELL - 1 : p + length], cell & 0xFFFFFFFF)
-                        out.append((core - (1 << 64) if core >> 63 else core, x["anchor"], x["ctx"], lo, hi - lo, x["c"], text[a + lo : a + hi + length - 1]))
+                    for cell in range(-off // size, (n - 1 - off) // size + 1):
+                        lo, hi = max(0, cell * size + off), min(n, (cell + 1) * size + off)
+                        p = a + off + cell * size
+                        core = digest(text[p + size - 1 : p + length], cell & 0xFFFFFFFF)
+                        out.append((i, h, x["anchor"], x["ctx"], x["c"], signed(core), signed(digest(text[a + lo : a + hi + length - 1])), lo, a + lo, hi - lo))
+                    if len(out) > 16384:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=names)
+                        out = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=names)
+
+    return run
+
+
+def _fetch(length: int):
+    """Documents with the contexts and cells asked of them -> anchor, ctx, dealt, n, c, bytes of each."""
+    names, types = ["anchor", "ctx", "dealt", "n", "c", "bytes"], [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 8 << 20):
+            out: list[tuple] = []
+            for text, asked in zip(texts(batch), batch.column(3).to_pylist(), strict=True):
+                out += [(x["anchor"], x["ctx"], x["dealt"], x["n"], x["c"], text[x["a"] : x["a"] + x["n"] + length - 1]) for x in asked]
                 if len(out) > 4096:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     return run
 
 
+def _asked_of(docs: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
+    """id, h, text, asked (structs of the columns) of the rows of docs that something is asked of."""
+    by_doc = asked.groupBy("id", "h").agg(F.collect_list(F.struct(*columns)).alias("asked"))
+    may, _ = part_by_keys(docs, F.col("h"), asked, F.col("h"))
+    return may.join(by_doc, ["id", "h"]).select("id", "h", "text", "asked")
+
+
+def _spread(cells: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells folded by their bytes, with summed c: those of (all keys, keys of 2 to `most` different cells, keys of more)."""
+    folded = durable(cells.groupBy("key", "cell").agg(F.sum("c").alias("c"), F.min(F.struct("id", "h", "a", "n")).alias("one")))
+    mixed = durable(folded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    met = durable(folded.join(mixed, "key").select(F.col("key").alias("anchor"), F.col("cell").alias("ctx"), "c", "one.*", "m"))
+    return folded, met.where(F.col("m") <= most).drop("m"), met.where(F.col("m") > most).drop("m")
+
+
+def merged_strings(docs: DataFrame, asked: DataFrame, length: int, most: int) -> tuple[DataFrame, int, DataFrame | None, DataFrame | None]:
+    """(strings to merge, about how many, cells of hot anchors or None, marks of these cells that need no merge or None).
+
+    No anchor and no key has more than `most` strings, whatever its documents: contexts of hot anchors are dealt into
+    cells, which fold by their bytes; keys with still more different cells are decided by single windows.
+    """
+    few = asked.where("not hot").select("anchor", "ctx", "c", "id", "h", "a", "n", F.lit(False).alias("dealt"))
+    cells = marks = None
+    hot = asked.where("hot")
+    if hot.take(1):
+        cells = durable(_asked_of(docs, hot, "anchor", "ctx", "c", "a", "n", "off").mapInArrow(_deal(length, CELL), DEALT))
+        folded, some, wide = _spread(cells, most)
+        few = few.unionByName(some.withColumn("dealt", F.lit(True)))
+        marks = folded.where("c > 1").select(F.col("key").alias("anchor"), F.col("cell").alias("ctx"), F.array(F.lit(0).cast("bigint")).alias("lo"), F.array(F.col("one.n").cast("bigint")).alias("hi"))
+        if wide.take(1):
+            single = durable(_asked_of(docs, wide.withColumn("off", F.lit(0)), "anchor", "ctx", "c", "a", "n", "off").mapInArrow(_deal(length, 1), DEALT))
+            twice = single.groupBy("cell").agg(F.sum("c").alias("k")).where("k > 1").select("cell")
+            found = single.where("c = 1").join(twice, "cell").groupBy("anchor", "ctx").agg(F.sort_array(F.collect_set(F.col("shift").cast("bigint"))).alias("lo"))  # CELL of them at most
+            marks = marks.unionByName(found.withColumn("hi", F.transform("lo", lambda x: x + 1)))
+    n = few.count()
+    strings = _asked_of(docs, few, "anchor", "ctx", "dealt", "c", "a", "n").mapInArrow(_fetch(length), "anchor bigint, ctx bigint, dealt boolean, n int, c bigint, bytes binary")
+    return strings, n, cells, marks
+
+
 def repeated(docs: DataFrame, length: int = 400, block: int = 100, bucket: int = 1000, most: int = 1000) -> DataFrame:
     """id, h, spans (sorted, merged [from, until) pairs of removable bytes) of the rows of docs that have any.
 
-    docs: id, h, text. bucket: contexts a bucket holds; most: contexts of one anchor before it is dealt by cores.
+    docs: id, h, text. bucket: contexts a bucket holds; most: contexts of one anchor before it is dealt by cores, and
+    different cells of one core before they are decided by windows.
     """
     occurrences = staged(contexts(docs, length))
     twice = durable(occurrences.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))  # plain shuffles on both sides let Spark split hot anchors
@@ -233,23 +294,26 @@ def repeated(docs: DataFrame, length: int = 400, block: int = 100, bucket: int =
     folded = durable(kept.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "a", "n", "off")).alias("one")))
     mixed = durable(folded.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
     asked = durable(folded.join(mixed, "anchor").select("anchor", "ctx", "c", "one.*", (F.col("m") > most).alias("hot")))
-    rows = asked.agg(F.coalesce(F.sum(F.when(F.col("hot"), F.ceil(F.col("n") / CELL) + 1).otherwise(1)), F.lit(0))).first()[0]
-    by_doc = asked.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "ctx", "c", "a", "n", "off", "hot")).alias("asked"))
-    may, _ = part_by_keys(docs, F.col("h"), asked, F.col("h"))
-    strings = may.join(by_doc, ["id", "h"]).select("text", "asked").mapInArrow(_fetch(length), "key bigint, anchor bigint, ctx bigint, shift int, n int, c bigint, bytes binary")
+    strings, n, cells, dealt_marks = merged_strings(docs, asked, length, most)
 
     def merge(got: pa.Table) -> pa.Table:
-        strings = got.column("bytes").to_pylist()
-        flags = repeated_windows(strings, got.column("n").to_numpy().astype(np.int64), got.column("c").to_numpy(), length, block)
-        runs = [_runs(f) for f in flags]
-        shift = got.column("shift").to_pylist()
-        return pa.table({"anchor": got.column("anchor"), "ctx": got.column("ctx"), "lo": pa.array([(r[0] + s).tolist() for r, s in zip(runs, shift, strict=True)], pa.list_(pa.int64())), "hi": pa.array([(r[1] + s).tolist() for r, s in zip(runs, shift, strict=True)], pa.list_(pa.int64()))})
-
-    dealt = strings.withColumn("bucket", F.pmod("key", F.lit(max(1, -(-rows // bucket)))))
-    found = dealt.groupBy("bucket").applyInArrow(merge, "anchor bigint, ctx bigint, lo array<bigint>, hi array<bigint>").where(F.size("lo") > 0)
-    whole = folded.where("c > 1").select("anchor", "ctx", F.array(F.lit(0).cast("bigint")).alias("lo"), F.array(F.col("one.n").cast("bigint")).alias("hi"))
+        c = got.column("c").to_numpy()
+        flags = repeated_windows(got.column("bytes").to_pylist(), got.column("n").to_numpy().astype(np.int64), c, length, block)
+        runs = [_runs(f & (w < 2)) for f, w in zip(flags, c.tolist(), strict=True)]  # with c of two or more all is marked anyway
+        return pa.table({"anchor": got.column("anchor"), "ctx": got.column("ctx"), "dealt": got.column("dealt"), "lo": pa.array([r[0].tolist() for r in runs], pa.list_(pa.int64())), "hi": pa.array([r[1].tolist() for r in runs], pa.list_(pa.int64()))})
+
+    buckets = strings.withColumn("bucket", F.pmod("anchor", F.lit(max(1, -(-n // bucket)))))
+    found = buckets.groupBy("bucket").applyInArrow(merge, "anchor bigint, ctx bigint, dealt boolean, lo array<bigint>, hi array<bigint>").where(F.size("lo") > 0)
     # A folded context is repeated as a whole; the merge adds the windows of the others.
-    marks = whole.union(found.join(whole.select("anchor", "ctx"), ["anchor", "ctx"], "left_anti"))
+    marks = folded.where("c > 1").select("anchor", "ctx", F.array(F.lit(0).cast("bigint")).alias("lo"), F.array(F.col("one.n").cast("bigint")).alias("hi"))
+    if cells is None:
+        marks = marks.union(found.drop("dealt"))
+    else:
+        found = durable(found)
+        marks = marks.union(found.where("not dealt").drop("dealt"))
+        told = dealt_marks.union(found.where("dealt").drop("dealt")).select(F.col("anchor").alias("key"), F.col("ctx").alias("cell"), "lo", "hi")
+        moved = lambda c: F.transform(c, lambda x: x + F.col("shift"))
+        marks = marks.union(cells.where("c = 1").join(told, ["key", "cell"]).select("anchor", "ctx", moved("lo").alias("lo"), moved("hi").alias("hi")))
     at = kept.join(durable(marks), ["anchor", "ctx"]).select("id", "h", F.explode(F.arrays_zip("lo", "hi")).alias("w"), "a")
     spans = at.select("id", "h", F.struct((F.col("a") + F.col("w.lo")).alias("s"), (F.col("a") + F.col("w.hi") + length - 1).alias("e")).alias("w"))
     return durable(spans.groupBy("id", "h").agg(F.collect_list("w").alias("spans")))

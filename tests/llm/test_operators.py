@@ -140,6 +140,24 @@ def test_suffix_dedup_of_near_copies(spark):
     assert got == {w[0]: w[2] for w in want if w[2]}
 
 
+@pytest.mark.parametrize("size", [400, 404, 470])
+def test_a_passage_of_many_documents_fills_no_group(spark, size):
+    rnd = random.Random(size)
+    passage = sentence(200, rnd)[:size]
+    rows = [(i, sentence(60, rnd) + f" {i} " + passage + f" {i * 7} " + sentence(60, rnd)) for i in range(80)]
+    df = suffix.keyed(spark.createDataFrame(rows, "doc_id bigint, text string")).select("id", "h", "text").cache()
+    want = brute_suffix([(i, t.encode()) for i, t in rows], 400)
+    spans = suffix.repeated(df, most=8)
+    assert {r.id: sum(e - s for s, e in suffix.merged_spans(r.spans)) for r in spans.collect()} == {w[0]: w[2] for w in want if w[2]}
+    kept = suffix.contexts(df, 400)
+    folded = kept.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "a", "n", "off")).alias("one"))
+    many = folded.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    asked = folded.join(many, "anchor").select("anchor", "ctx", "c", "one.*", (F.col("m") > 8).alias("hot"))
+    assert asked.where("hot").count() >= 80
+    strings = suffix.merged_strings(df, asked, 400, 8)[0]
+    assert (strings.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0) <= 8
+
+
 def test_merged_transforms_are_the_sorted_suffixes():
     rng = np.random.default_rng(2)
     strings = [bytes(rng.integers(97, 99, 60).astype(np.uint8)) for _ in range(12)]
