@@ -45,15 +45,17 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp (bigint) of each row; a null text counts as one without words."""
 
+    schema = "doc_id bigint, " + "".join(f"{c} bigint, " for c in keep) + "fp bigint"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 32 << 20):
             fps = np.array([fingerprint(t, words) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=["doc_id", *keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def covering_masks(free: list[int], radius: int) -> list[int]:
@@ -122,6 +124,12 @@ def links(fps: DataFrame, radius: int = 3, most: int = 4096) -> DataFrame:
     return found
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints (fp, ...) with the root of their component."""
+    roots = components(links(distinct.select("fp"), radius))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
@@ -130,21 +138,28 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFram
     Only doc_id and text are read. An empty table gives no rows.
     """
     prints = durable(fingerprints(docs, words))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))), radius)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the least doc_id stays (one of them, where rows repeat the id)."""
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")
-    ids = durable(simhash_groups(docs).groupBy("doc_id").agg(F.sum(stays).alias("n")))
-    gone = ids.where("n = 0 and doc_id is not null").select("doc_id")
-    may, never = part_by_keys(docs, F.xxhash64(F.col("doc_id").cast("bigint")), gone, F.xxhash64("doc_id"))
-    out = never.unionByName(may.join(gone, "doc_id", "left_anti"))
-    if ids.where("n = 0 and doc_id is null").take(1):
-        out = out.where("doc_id is not null")
-    return out.dropDuplicates(["doc_id"]) if ids.where("n > 1").take(1) else out
+    """Pipeline stage: of each component exactly one row stays, the least by (doc_id, hash of the row), null ids last.
+
+    Rows are told apart by id and hash, so that rows that repeat an id, or have none, are each decided by their own
+    component. Rows equal in all columns shrink to one.
+    """
+    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_h": F.xxhash64("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])})
+    rows = durable(fingerprints(own, keep=("_id", "_h")).groupBy("doc_id", "_id", "_h", "fp").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")
+    rooted = durable(_rooted(durable(rows.groupBy("fp").agg(F.min(order).alias("least"))), 3))
+    named = rooted.groupBy("root").agg(F.min("least").alias("stays"))
+    told = rows.join(rooted.join(named, "root").select("fp", "stays"), "fp").select("_id", "_h", "n", order.eqNullSafe(F.col("stays")).alias("stays"))
+    told = durable(told.where("not stays or n > 1"))
+    gone = told.where("not stays").select("_id", "_h")
+    may, never = part_by_keys(own, F.col("_h"), told, F.col("_h"))
+    left = may.join(gone, ["_id", "_h"], "left_anti")
+    if told.where("stays").take(1):
+        left = left.dropDuplicates(["_id", "_h"])
+    return never.unionByName(left).select(*docs.columns)

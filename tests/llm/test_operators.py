@@ -73,6 +73,19 @@ def test_simhash_against_brute_force(docs):
     assert Counter(tuple(r) for r in simhash.simhash_groups(docs).collect()) == want
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    rnd = random.Random(6)
+    a, b, c, d = (sentence(n, rnd) for n in (900, 80, 80, 80))
+    near = a + " ."
+    assert (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(near.encode())).bit_count() <= 3
+    rows = [(1, a, "x"), (1, b, "x"), (1, near, "x"), (2, a, "y"), (None, c, "x"), (None, d, "x"), (None, d, "x"), (None, a, "x"), (3, b, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(spark, df.repartition(3), "").collect()]
+    again = [(r.doc_id, r.text) for r in simhash.keep_one(spark, df.repartition(2), "").collect()]
+    assert Counter(got) == Counter(again)
+    assert [i for i, t in got if t in (a, near)] == [1] and Counter(x for x in got if x[1] not in (a, near)) == Counter([(1, b), (None, c), (None, d)])
+
+
 def test_every_pair_in_the_radius_shares_a_bucket():
     masks = simhash.covering_masks(list(range(64)), 3)
     rng = np.random.default_rng(0)
