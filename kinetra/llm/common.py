@@ -67,18 +67,21 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, most: int) -> DataFrame:
-    """doc_id, text, y of about `most` labelled rows at most for each of the values 0 and 1, by hash of the id.
+    """doc_id, text, y, weight of about `most` labelled rows at most for each of the values 0 and 1, by hash of the id.
 
-    fold: a condition on doc_id that training rows meet. The picked ids are so few by construction that they are
+    weight: how many labelled rows a picked one stands for (one over its class's share), so that weighted rows have the
+    labels' base rate at every size. fold: a condition on doc_id that training rows meet. The picked ids are so few by construction that they are
     broadcast; the documents are not shuffled.
     """
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & fold).select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = {r[0]: min(1.0, most / r[1]) for r in own.groupBy("y").count().collect()}
-    chosen = F.lit(False)
+    chosen, weight = F.lit(False), F.lit(1.0)
     for y, part in share.items():
-        chosen |= (F.col("y") == y) & (F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1_000_000)) < int(part * 1_000_000))
-    picks = own.where(chosen).select(F.col("doc_id").alias("_pick"), "y")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picks), F.col("doc_id") == F.col("_pick")).select("doc_id", "text", "y")
+        cut = int(part * 1_000_000)
+        chosen |= (F.col("y") == y) & (F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1_000_000)) < cut)
+        weight = F.when(F.col("y") == y, F.lit(1_000_000 / max(cut, 1))).otherwise(weight)
+    picks = own.where(chosen).select(F.col("doc_id").alias("_pick"), "y", weight.alias("weight"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picks), F.col("doc_id") == F.col("_pick")).select("doc_id", "text", "y", "weight")
 
 
 def flag(column: str, n: int, remainder: int):

@@ -92,8 +92,9 @@ class Network:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Network:
-        """Adam on the logistic loss over four fifths of the rows; the temperature then fits the rest."""
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7, weight: np.ndarray | None = None) -> Network:
+        """Adam on the weighted logistic loss over four fifths of the rows; the temperature then fits the rest."""
+        weight = np.ones(len(x)) if weight is None else weight / weight.mean()
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(x))
         held, used = order[: len(x) // 5], order[len(x) // 5 :]
@@ -105,7 +106,7 @@ class Network:
             for part in np.array_split(rng.permutation(used), max(1, len(used) // batch)):
                 z = (x[part] - self.mean) / self.scale
                 h = np.tanh(z @ self.w1 + self.b1)
-                d = (1 / (1 + np.exp(-np.clip(h @ self.w2 + self.b2[0], -500, 500))) - y[part]) / len(part)
+                d = (1 / (1 + np.exp(-np.clip(h @ self.w2 + self.b2[0], -500, 500))) - y[part]) * weight[part] / len(part)
                 back = np.outer(d, self.w2) * (1 - h * h)
                 grads = [z.T @ back + decay * self.w1, back.sum(axis=0), h.T @ d + decay * self.w2, np.array([d.sum()])]
                 step += 1
@@ -116,12 +117,12 @@ class Network:
         if len(held):
             logits, sign = self.logits(x[held]), 2 * y[held] - 1
             grid = np.geomspace(0.25, 8, 61)
-            self.temperature = float(min(grid, key=lambda t: np.logaddexp(0, -sign * logits / t).mean()))
+            self.temperature = float(min(grid, key=lambda t: (weight[held] * np.logaddexp(0, -sign * logits / t)).mean()))
         return self
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, size: int = 20_000) -> tuple[list[str], np.ndarray, Network] | None:
-    """Vocabulary, vectors and network from at most about `most` labelled training rows of each class; None without both classes."""
+    """Vocabulary, vectors and network from at most about `most` labelled training rows of each class, weighted to the labels' base rate; None without both classes."""
     spark = docs.sparkSession
     sample = durable(labelled_sample(docs, labels, "quality", ~crc_mod("doc_id", 3).eqNullSafe(1), most))
 
@@ -159,13 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, size: int = 20_0
         vocabulary = Vocabulary(shared.value[0])
         for batch in slices(batches, 4 << 20):
             x = pooled(vocabulary, shared.value[1], [t.decode("utf-8", "ignore") for t in texts(batch)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32())), batch.column(2)], names=["doc_id", "y", "x", "weight"])
 
-    rows = sorted(tuple(r) for r in sample.select("doc_id", "y", "text").mapInArrow(features, "doc_id bigint, y int, x array<float>").collect())
+    rows = sorted(tuple(r) for r in sample.select("doc_id", "y", "weight", "text").mapInArrow(features, "doc_id bigint, y int, x array<float>, weight double").collect())
     y = np.array([r[1] for r in rows], float)
     if len(set(y)) < 2:
         return None
-    return tokens, vectors, Network(WIDTH).fit(np.array([r[2] for r in rows]), y)
+    return tokens, vectors, Network(WIDTH).fit(np.array([r[2] for r in rows]), y, weight=np.array([r[3] for r in rows]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:

@@ -80,18 +80,19 @@ class Linear:
             self.b -= move[-1]
         return self
 
-    def calibrate(self, rows: list[np.ndarray], y: np.ndarray, steps: int = 50) -> Linear:
-        """Scale and offset by Newton's method on the logistic loss, with smoothed targets; the scale stays positive."""
+    def calibrate(self, rows: list[np.ndarray], y: np.ndarray, steps: int = 50, weight: np.ndarray | None = None) -> Linear:
+        """Scale and offset by Newton's method on the weighted logistic loss, with smoothed targets; the scale stays positive."""
         z = self.logits(rows)
         spread = max(float(np.std(z)), 1e-6)
         x = np.stack([z / spread, np.ones(len(z))], axis=1)
         n1, n0 = y.sum(), (1 - y).sum()
         target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+        weight = np.ones(len(z)) if weight is None else weight / weight.mean()
         a = np.array([1.0, 0.0])
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-            hess = x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + 1e-3 * np.eye(2)
-            a = a - np.clip(np.linalg.solve(hess, x.T @ (p - target) + 1e-3 * np.array([a[0] - 1, 0])), -2, 2)
+            hess = x.T @ (x * (weight * (p * (1 - p) + 1e-9))[:, None]) + 1e-3 * np.eye(2)
+            a = a - np.clip(np.linalg.solve(hess, x.T @ (weight * (p - target)) + 1e-3 * np.array([a[0] - 1, 0])), -2, 2)
         if a[0] > 0:
             self.scale, self.shift = float(a[0] / spread), float(a[1])
         return self
@@ -129,9 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, size: int = 60_0
         ids = {w: i for i, w in enumerate(held.value)}
         for batch in slices(batches, 4 << 20):
             x = [present(ids, t.decode("utf-8", "ignore")) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "y", "x", "weight"])
 
-    rows = sorted(((r[0], r[1], np.array(r[2], np.int64)) for r in sample.select("doc_id", "y", "text").mapInArrow(features, "doc_id bigint, y int, x array<int>").toLocalIterator()), key=lambda r: (r[0], r[1], r[2].tobytes()))
+    rows = sorted(((r[0], r[1], np.array(r[2], np.int64), r[3]) for r in sample.select("doc_id", "y", "weight", "text").mapInArrow(features, "doc_id bigint, y int, x array<int>, weight double").toLocalIterator()), key=lambda r: (r[0], r[1], r[2].tobytes()))
     toxic, other = [r[2] for r in rows if r[1] == 1], [r[2] for r in rows if r[1] == 0]
     if not toxic or not other:
         return None
@@ -139,10 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, size: int = 60_0
     chosen = telling(toxic, unlabelled, len(words))
     place = np.full(len(words), -1)
     place[chosen] = np.arange(len(chosen))
-    toxic, other, unlabelled = ([x[x >= 0] for x in (place[r] for r in rows)] for rows in (toxic, other, unlabelled))
+    toxic, other, unlabelled = ([x[x >= 0] for x in (place[r] for r in part)] for part in (toxic, other, unlabelled))
     words = [words[i] for i in chosen.tolist()]
     model = Linear(len(words)).fit(toxic, unlabelled, prior)
-    return words, model.calibrate(toxic + other, np.array([1.0] * len(toxic) + [0.0] * len(other)))
+    weight = np.array([r[3] for y in (1, 0) for r in rows if r[1] == y])
+    return words, model.calibrate(toxic + other, np.array([1.0] * len(toxic) + [0.0] * len(other)), weight=weight)
 
 
 def detect(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kinetra.llm import components, decontaminate, extract, language, mixing, mixing_lm, quality, rules, simhash, suffix, toxicity
-from kinetra.llm.common import part_by_keys
+from kinetra.llm.common import labelled_sample, part_by_keys
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, h string, y int, word string, size string, key string, row string"
 RND = random.Random(5)
@@ -295,6 +295,26 @@ def test_two_classes_are_told_apart(spark):
     assert all(r.predicted == int(r.doc_id % 3 == 0) for r in toxicity.detect(docs, labels).where("held_out").collect())
 
 
+def test_sampled_rows_weigh_what_they_stand_for(spark):
+    docs = spark.range(4000).selectExpr("id doc_id", "'x' text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 10 > 0 as int) quality")
+    got = {r.y: (r.n, r.w) for r in labelled_sample(docs, labels, "quality", F.lit(True), 500).groupBy("y").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert got[0] == (400, 400) and got[1][0] < 700 and abs(got[1][1] - 3600) < 500
+
+
+def test_probabilities_follow_the_base_rate():
+    rng = np.random.default_rng(4)
+    y = np.repeat([0.0, 1.0], 1000)
+    x, weight = rng.normal(0, 1, (2000, 2)) + y[:, None], np.where(y == 1, 9.0, 1.0)
+    p = quality.Network(2).fit(x, y, weight=weight).probability(x)
+    assert abs(np.average(p, weights=weight) - 0.9) < 0.03
+    rows = [np.array([0] * int(a)) for a in rng.integers(0, 3, 2000) + (1 - y) * 2]
+    model = toxicity.Linear(1)
+    model.w[0] = 1.0
+    model.calibrate(rows, 1 - y, weight=weight)
+    assert abs(np.average(model.probability(rows), weights=weight) - 0.1) < 0.03
+
+
 def test_rules(docs, none, labels, no_labels):
     got = {(r.doc_id, r.n_words): r for r in rules.filter_rules(docs, labels).collect()}
     for i, b in pairs(docs):
