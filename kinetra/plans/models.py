@@ -125,7 +125,7 @@ def _(spark, d):
 
 
 def _study(spark, d, methods, study):
-    w = _windows(spark, d).where("y > 0 and subject_id % 25 < 2")  # a study on two subjects in 25
+    w = _windows(spark, d).where("y > 0")
     f = rocket.Extractor("custom_ppv", 32).fit(w, "x", "row_id", 2).transform(w, "x")
     sides = split.repetition_split(w, "y", "rep", study.calibration, keys=("subject_id",))
     rows = f.join(sides.select("subject_id", "y", "rep", "side"), ["subject_id", "y", "rep"]).withColumn("subject_id", F.col("subject_id").cast("int"))

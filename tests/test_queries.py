@@ -40,3 +40,9 @@ def test_against_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).columns
+
+
+def test_studies_take_all_subjects(spark):
+    want = {r[0] for r in models._windows(spark, SF).where("y > 0").select("subject_id").distinct().collect()}
+    got = [r.subject_id for r in QUERIES["ex1_leave_one_subject_out"](spark, SF).collect()]
+    assert set(got) == want and len(got) == 4 * len(want)
