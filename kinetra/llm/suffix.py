@@ -8,7 +8,8 @@
    one string for each phase, so that length / block symbols decide a window. Shards of the bucket sort their own
    suffixes and give their transform; the transforms are merged by iterative interleave refinement, each round a
    stable deal of the interleave by the symbols before its suffixes, and each round adds one symbol to the common
-   prefixes. Intervals whose common prefix is a whole window and that hold two windows are repeated.
+   prefixes. Intervals whose common prefix is a whole window and that hold two windows are repeated. The same common
+   prefixes tell repeated strings of a second, greater length (the reach), as contexts hold their bytes too.
 4. Repeated windows go back to all documents that have the context, and their bytes are removed.
 
 An anchor with very many different contexts (a common short string or passage) is dealt on by longer cores of its
@@ -77,21 +78,28 @@ def windows_by_anchor(parts: list[bytes], length: int) -> tuple[np.ndarray, np.n
     return part, begin - base, until - begin, anchor - base
 
 
-def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """id, h (row key), anchor, ctx (hashes), a (first window), n (windows), off (anchor's offset in it)."""
-    schema = "id bigint, h bigint, anchor bigint, ctx bigint, a bigint, n int, off int"
+def contexts(docs: DataFrame, length: int, reach: int | None = None) -> DataFrame:
+    """id, h (row key), anchor, ctx (hashes), a (first window), n (windows), off (anchor's offset in it), m (bytes).
+
+    A context's bytes go on to the end of the string of `reach` bytes that begins at its last window, or to the text's
+    end: its windows of `length` bytes are decided by them, and so are strings of `reach` bytes that begin there.
+    """
+    reach = reach or length
+    schema = "id bigint, h bigint, anchor bigint, ctx bigint, a bigint, n int, off int, m int"
 
     def rows(owner: list[tuple], parts: list[bytes]) -> pa.RecordBatch:
         part, begin, n, at = windows_by_anchor(parts, length)
         digest, mask = xxhash.xxh3_64_intdigest, (1 << 64) - 1
-        anchor, ctx = [], []
+        anchor, ctx, m = [], [], []
         for p, b, k, x in zip(part.tolist(), begin.tolist(), n.tolist(), at.tolist(), strict=True):
-            text = parts[p]
-            anchor.append(digest(text[x : x + GRAM]))
-            ctx.append(digest(text[b : b + k + length - 1], x - b) & mask)
+            whole, s = owner[p][3], owner[p][2]
+            piece = whole[s + b : s + b + k + reach - 1]
+            anchor.append(digest(whole[s + x : s + x + GRAM]))
+            ctx.append(digest(piece, (x - b) << 32 | k) & mask)
+            m.append(len(piece))
         own = [np.array([o[i] for o in owner], np.int64)[part] if owner else np.empty(0, np.int64) for i in range(3)]
-        columns = [own[0], own[1], np.array(anchor, np.uint64).view(np.int64), np.array(ctx, np.uint64).view(np.int64), own[2] + begin, n.astype(np.int32), (at - begin).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "h", "anchor", "ctx", "a", "n", "off"])
+        columns = [own[0], own[1], np.array(anchor, np.uint64).view(np.int64), np.array(ctx, np.uint64).view(np.int64), own[2] + begin, n.astype(np.int32), (at - begin).astype(np.int32), np.array(m, np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "h", "anchor", "ctx", "a", "n", "off", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, parts, held = [], [], 0
@@ -102,7 +110,7 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
                     if held and held + len(piece) > (2 << 20):
                         yield rows(owner, parts)
                         owner, parts, held = [], [], 0
-                    owner.append((i, h, s))
+                    owner.append((i, h, s, text))
                     parts.append(piece)
                     held += len(piece)
         if parts:
@@ -111,6 +119,14 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("id", "h", "text").mapInArrow(run, schema)
 
 
+def stable_order(ranks: np.ndarray) -> np.ndarray:
+    """Stable order of small integers: 16 bits at a time go by counting."""
+    order = np.argsort((ranks & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(ranks) and int(ranks.max()) > 0xFFFF:
+        order = order[np.argsort((ranks[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 def shard_transform(symbols: np.ndarray, following: np.ndarray, before: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of one shard in order of their first `depth` symbols, and the symbol before each: its transform."""
     chain = [np.arange(len(symbols))]
@@ -118,7 +134,7 @@ def shard_transform(symbols: np.ndarray, following: np.ndarray, before: np.ndarr
         chain.append(following[chain[-1]])
     order = np.arange(len(symbols))
     for step in reversed(chain):
-        order = order[np.argsort(symbols[step[order]], kind="stable")]
+        order = order[stable_order(symbols[step[order]])]
     return order, symbols[before[order]]
 
 
@@ -131,11 +147,11 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     """
     interleave = np.repeat(np.arange(len(transforms), dtype=np.int8), [len(t) for t in transforms])
     interval, common = np.zeros(len(interleave), np.int64), np.zeros(len(interleave), np.int8)
-    symbols = np.empty(len(interleave), transforms[0].dtype if transforms else np.uint64)
+    symbols = np.empty(len(interleave), transforms[0].dtype if transforms else np.int64)
     for _ in range(depth):
         for j, transform in enumerate(transforms):
             symbols[interleave == j] = transform
-        deal = np.argsort(symbols, kind="stable")
+        deal = stable_order(symbols)
         interleave, dealt, source = interleave[deal], symbols[deal], interval[deal]
         same = np.concatenate(([False], (dealt[1:] == dealt[:-1]) & (source[1:] == source[:-1])))
         common += same
@@ -143,13 +159,25 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     return interleave, common
 
 
-def repeated_windows(strings: list[bytes], windows: np.ndarray, weight: np.ndarray, length: int, block: int, shards: int = 4) -> list[np.ndarray]:
-    """For each string, which of its first windows[i] windows of `length` bytes occur twice (by weight) among all.
+def block_of(*lengths: int) -> int:
+    """The largest symbol that divides all lengths: of 8 bytes at least, and of so many that 100 symbols make the longest."""
+    for block in range(min(100, *lengths), 7, -1):
+        if not any(x % block for x in lengths) and max(lengths) // block <= 100:
+            return block
+    raise ValueError(f"lengths {lengths} have no common divisor from 8 to 100 bytes")
 
-    block divides length. Symbols are 64-bit hashes of `block` bytes; zero ends a string.
+
+def repeated_windows(strings: list[bytes], windows: np.ndarray, weight: np.ndarray, lengths: tuple[int, ...], block: int, shards: int = 4) -> list[list[np.ndarray]]:
+    """For each of the lengths and each string, which of its first windows[i] positions begin a string of that many
+    bytes that occurs twice (by weight) among all.
+
+    block divides all lengths; one merge serves them, since common prefixes tell all depths. Symbols are ranks of
+    64-bit hashes of `block` bytes; the least ends a string.
     """
+    if any(x % block for x in lengths):
+        raise ValueError(f"symbols of {block} bytes do not divide {lengths}")
     if not strings:
-        return []
+        return [[] for _ in lengths]
     sizes = np.array([len(s) for s in strings], np.int64)
     slots = sizes + 1  # positions 0 to size; the last `block` of them end the string of their phase
     data = np.frombuffer(b"\0".join(strings) + bytes(block + 16), np.uint8)
@@ -163,28 +191,32 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, weight: np.ndarr
     symbols = ((symbols ^ (symbols >> np.uint64(33))) * MIX_C) | np.uint64(1)
     inside = local + block <= size
     symbols[~inside] = 0
+    ranks = np.unique(symbols, return_inverse=True)[1]
     here = np.arange(total)
     following = np.where(inside, here + block, here - local + local % block)
     before = np.where(local >= block, here - block, here + block * ((size - local) // block))
-    depth = length // block
+    depth = max(lengths) // block
     cuts = np.unique(np.searchsorted(starts, np.linspace(0, total, shards + 1)[1:-1]))
     bounds = [0, *[int(starts[c]) for c in cuts if 0 < c < len(strings)], total]
     orders, transforms = [], []
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        order, transform = shard_transform(symbols[lo:hi], following[lo:hi] - lo, before[lo:hi] - lo, depth)
+        order, transform = shard_transform(ranks[lo:hi], following[lo:hi] - lo, before[lo:hi] - lo, depth)
         orders.append(order + lo)
         transforms.append(transform)
     interleave, common = merge_transforms(transforms, depth)
     merged = np.empty(total, np.int64)
     for j, order in enumerate(orders):
         merged[interleave == j] = order
-    window = local < windows[own]
-    interval = np.cumsum(common < depth) - 1
-    held = np.bincount(interval, weights=np.where(window, weight[own], 0)[merged])
-    flags = np.zeros(total, bool)
-    flags[merged] = held[interval] >= 2
-    flags &= window
-    return [flags[s : s + w] for s, w in zip(starts.tolist(), windows.tolist(), strict=True)]
+    out = []
+    for length in lengths:
+        window = (local < windows[own]) & (local + length <= size)
+        interval = np.cumsum(common < length // block) - 1
+        held = np.bincount(interval, weights=np.where(window, weight[own], 0)[merged])
+        flags = np.zeros(total, bool)
+        flags[merged] = held[interval] >= 2
+        flags &= window
+        out.append([flags[s : s + w] for s, w in zip(starts.tolist(), windows.tolist(), strict=True)])
+    return out
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,13 +227,14 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 CELL = 8
 
 
-DEALT = "id bigint, h bigint, anchor bigint, ctx bigint, c bigint, key bigint, cell bigint, shift int, a bigint, n int"
+DEALT = "id bigint, h bigint, anchor bigint, ctx bigint, c bigint, key bigint, cell bigint, far bigint, shift int, a bigint, n int, m int"
 
 
-def _deal(length: int, size: int):
+def _deal(length: int, reach: int, size: int):
     """Documents with the contexts asked of them -> DEALT: each context's runs of `size` windows at equal distance from the anchor.
 
-    key: the hash of the bytes that all windows of a run share, cell: that of all its bytes. No bytes are sent.
+    key: the hash of the bytes that all windows of a run share, cell: that of all its bytes (of one window alone: of
+    its `length` bytes, far: of `reach` bytes, null where the text ends before). No bytes are sent.
     """
     names = [c.split()[0] for c in DEALT.split(", ")]
     types = [{"bigint": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in DEALT.split(", ")]
@@ -215,9 +248,11 @@ def _deal(length: int, size: int):
                     a, n, off = x["a"], x["n"], x["off"]
                     for cell in range(-off // size, (n - 1 - off) // size + 1):
                         lo, hi = max(0, cell * size + off), min(n, (cell + 1) * size + off)
-                        p = a + off + cell * size
+                        p, m = a + off + cell * size, min(hi - lo + reach - 1, x["m"] - lo)
                         core = digest(text[p + size - 1 : p + length], cell & 0xFFFFFFFF)
-                        out.append((i, h, x["anchor"], x["ctx"], x["c"], signed(core), signed(digest(text[a + lo : a + hi + length - 1])), lo, a + lo, hi - lo))
+                        whole = digest(text[a + lo : a + lo + (m if size > 1 else length)], hi - lo)
+                        far = signed(digest(text[a + lo : a + lo + reach])) if size == 1 and m >= reach else None
+                        out.append((i, h, x["anchor"], x["ctx"], x["c"], signed(core), signed(whole), far, lo, a + lo, hi - lo, m))
                     if len(out) > 16384:
                         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=names)
                         out = []
@@ -226,7 +261,7 @@ def _deal(length: int, size: int):
     return run
 
 
-def _fetch(length: int):
+def _fetch():
     """Documents with the contexts and cells asked of them -> anchor, ctx, dealt, n, c, bytes of each."""
     names, types = ["anchor", "ctx", "dealt", "n", "c", "bytes"], [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()]
 
@@ -234,7 +269,7 @@ def _fetch(length: int):
         for batch in slices(batches, 8 << 20):
             out: list[tuple] = []
             for text, asked in zip(texts(batch), batch.column(3).to_pylist(), strict=True):
-                out += [(x["anchor"], x["ctx"], x["dealt"], x["n"], x["c"], text[x["a"] : x["a"] + x["n"] + length - 1]) for x in asked]
+                out += [(x["anchor"], x["ctx"], x["dealt"], x["n"], x["c"], text[x["a"] : x["a"] + x["m"]]) for x in asked]
                 if len(out) > 4096:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
                     out = []
@@ -252,70 +287,110 @@ def _asked_of(docs: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
 
 def _spread(cells: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cells folded by their bytes, with summed c: those of (all keys, keys of 2 to `most` different cells, keys of more)."""
-    folded = durable(cells.groupBy("key", "cell").agg(F.sum("c").alias("c"), F.min(F.struct("id", "h", "a", "n")).alias("one")))
-    mixed = durable(folded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    met = durable(folded.join(mixed, "key").select(F.col("key").alias("anchor"), F.col("cell").alias("ctx"), "c", "one.*", "m"))
-    return folded, met.where(F.col("m") <= most).drop("m"), met.where(F.col("m") > most).drop("m")
+    folded = durable(cells.groupBy("key", "cell").agg(F.sum("c").alias("c"), F.min(F.struct("id", "h", "a", "n", "m")).alias("one")))
+    mixed = durable(folded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
+    met = durable(folded.join(mixed, "key").select(F.col("key").alias("anchor"), F.col("cell").alias("ctx"), "c", "one.*", "k"))
+    return folded, met.where(F.col("k") <= most).drop("k"), met.where(F.col("k") > most).drop("k")
+
 
+def _whole(folded: DataFrame, reach: int) -> list[DataFrame]:
+    """Marks of what occurs twice as a whole: all its windows, and those that begin a string of `reach` bytes (far)."""
+    lists = lambda n: (F.array(F.lit(0).cast("bigint")).alias("lo"), F.array(n.cast("bigint")).alias("hi"))
+    twice, far = folded.where("c > 1"), F.least(F.col("one.n"), F.col("one.m") - reach + 1)
+    return [twice.select("anchor", "ctx", F.lit(False).alias("far"), *lists(F.col("one.n"))), twice.where(far > 0).select("anchor", "ctx", F.lit(True).alias("far"), *lists(far))]
 
-def merged_strings(docs: DataFrame, asked: DataFrame, length: int, most: int) -> tuple[DataFrame, int, DataFrame | None, DataFrame | None]:
+
+def merged_strings(docs: DataFrame, asked: DataFrame, length: int, reach: int, most: int) -> tuple[DataFrame, int, DataFrame | None, DataFrame | None]:
     """(strings to merge, about how many, cells of hot anchors or None, marks of these cells that need no merge or None).
 
     No anchor and no key has more than `most` strings, whatever its documents: contexts of hot anchors are dealt into
     cells, which fold by their bytes; keys with still more different cells are decided by single windows.
     """
-    few = asked.where("not hot").select("anchor", "ctx", "c", "id", "h", "a", "n", F.lit(False).alias("dealt"))
+    few = asked.where("not hot").select("anchor", "ctx", "c", "id", "h", "a", "n", "m", F.lit(False).alias("dealt"))
     cells = marks = None
     hot = asked.where("hot")
     if hot.take(1):
-        cells = durable(_asked_of(docs, hot, "anchor", "ctx", "c", "a", "n", "off").mapInArrow(_deal(length, CELL), DEALT))
+        cells = durable(_asked_of(docs, hot, "anchor", "ctx", "c", "a", "n", "off", "m").mapInArrow(_deal(length, reach, CELL), DEALT))
         folded, some, wide = _spread(cells, most)
         few = few.unionByName(some.withColumn("dealt", F.lit(True)))
-        marks = folded.where("c > 1").select(F.col("key").alias("anchor"), F.col("cell").alias("ctx"), F.array(F.lit(0).cast("bigint")).alias("lo"), F.array(F.col("one.n").cast("bigint")).alias("hi"))
+        near, far = _whole(folded.select(F.col("key").alias("anchor"), F.col("cell").alias("ctx"), "c", "one"), reach)
+        marks = near.unionByName(far)
         if wide.take(1):
-            single = durable(_asked_of(docs, wide.withColumn("off", F.lit(0)), "anchor", "ctx", "c", "a", "n", "off").mapInArrow(_deal(length, 1), DEALT))
-            twice = single.groupBy("cell").agg(F.sum("c").alias("k")).where("k > 1").select("cell")
-            found = single.where("c = 1").join(twice, "cell").groupBy("anchor", "ctx").agg(F.sort_array(F.collect_set(F.col("shift").cast("bigint"))).alias("lo"))  # CELL of them at most
-            marks = marks.unionByName(found.withColumn("hi", F.transform("lo", lambda x: x + 1)))
+            single = durable(_asked_of(docs, wide.withColumn("off", F.lit(0)), "anchor", "ctx", "c", "a", "n", "off", "m").mapInArrow(_deal(length, reach, 1), DEALT))
+            for key, is_far in (("cell", False), ("far", True)):
+                twice = single.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("c").alias("k")).where("k > 1").select(key)
+                found = single.where("c = 1").join(twice, key).groupBy("anchor", "ctx").agg(F.sort_array(F.collect_set(F.col("shift").cast("bigint"))).alias("lo"))  # CELL of them at most
+                marks = marks.unionByName(found.select("anchor", "ctx", F.lit(is_far).alias("far"), "lo", F.transform("lo", lambda x: x + 1).alias("hi")))
     n = few.count()
-    strings = _asked_of(docs, few, "anchor", "ctx", "dealt", "c", "a", "n").mapInArrow(_fetch(length), "anchor bigint, ctx bigint, dealt boolean, n int, c bigint, bytes binary")
+    strings = _asked_of(docs, few, "anchor", "ctx", "dealt", "c", "a", "n", "m").mapInArrow(_fetch(), "anchor bigint, ctx bigint, dealt boolean, n int, c bigint, bytes binary")
     return strings, n, cells, marks
 
 
-def repeated(docs: DataFrame, length: int = 400, block: int = 100, bucket: int = 1000, most: int = 1000) -> DataFrame:
-    """id, h, spans (sorted, merged [from, until) pairs of removable bytes) of the rows of docs that have any.
+#: Positions that one merge holds, unless one anchor has more: ranks of symbols then have 16 bits.
+AT_ONCE = 60_000
+
 
-    docs: id, h, text. bucket: contexts a bucket holds; most: contexts of one anchor before it is dealt by cores, and
-    different cells of one core before they are decided by windows.
+def repeated(docs: DataFrame, length: int = 400, reach: int | None = None, bucket: int = 1000, most: int = 1000) -> DataFrame:
+    """id, h, spans (s, e, far: from, until) of bytes in repeated strings, of the rows of docs that have any.
+
+    docs: id, h, text. far: of strings of `reach` bytes (a multiple of the symbol that divides length), else of
+    `length` bytes; both come from one merge. bucket: contexts a bucket holds; most: contexts of one anchor before it
+    is dealt by cores, and different cells of one core before they are decided by windows.
     """
-    occurrences = staged(contexts(docs, length))
+    reach = reach or length
+    lengths = (length, reach) if reach > length else (length,)
+    block = block_of(*lengths)
+    occurrences = staged(contexts(docs, length, reach))
     twice = durable(occurrences.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))  # plain shuffles on both sides let Spark split hot anchors
     kept = durable(occurrences.join(twice, "anchor"))
-    folded = durable(kept.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "a", "n", "off")).alias("one")))
-    mixed = durable(folded.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
-    asked = durable(folded.join(mixed, "anchor").select("anchor", "ctx", "c", "one.*", (F.col("m") > most).alias("hot")))
-    strings, n, cells, dealt_marks = merged_strings(docs, asked, length, most)
+    folded = durable(kept.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "a", "n", "off", "m")).alias("one")))
+    mixed = durable(folded.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"))
+    asked = durable(folded.join(mixed, "anchor").select("anchor", "ctx", "c", "one.*", (F.col("k") > most).alias("hot")))
+    strings, n, cells, dealt_marks = merged_strings(docs, asked, length, reach, most)
 
     def merge(got: pa.Table) -> pa.Table:
-        c = got.column("c").to_numpy()
-        flags = repeated_windows(got.column("bytes").to_pylist(), got.column("n").to_numpy().astype(np.int64), c, length, block)
-        runs = [_runs(f & (w < 2)) for f, w in zip(flags, c.tolist(), strict=True)]  # with c of two or more all is marked anyway
-        return pa.table({"anchor": got.column("anchor"), "ctx": got.column("ctx"), "dealt": got.column("dealt"), "lo": pa.array([r[0].tolist() for r in runs], pa.list_(pa.int64())), "hi": pa.array([r[1].tolist() for r in runs], pa.list_(pa.int64()))})
+        got = got.sort_by("anchor")
+        c, n = got.column("c").to_numpy(), got.column("n").to_numpy().astype(np.int64)
+        strings, anchor = got.column("bytes").to_pylist(), got.column("anchor").to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))  # equal strings have equal anchors: parts of whole anchors are merged apart
+        cost = np.add.reduceat(np.array([len(s) + 1 for s in strings]), first)
+        parts, held = [0], 0
+        for at, k in zip(first.tolist(), cost.tolist(), strict=True):
+            if held and held + k > AT_ONCE:
+                parts.append(at)
+                held = 0
+            held += k
+        rows: list[list] = [[], [], [], []]
+        for lo, hi in zip(parts, [*parts[1:], len(strings)], strict=True):
+            flags = repeated_windows(strings[lo:hi], n[lo:hi], c[lo:hi], lengths, block)
+            for far, each in enumerate(flags):
+                for i, f in enumerate(each, lo):
+                    if c[i] < 2 and f.any():  # with c of two or more all is marked anyway
+                        for column, x in zip(rows, (i, bool(far), *_runs(f)), strict=True):
+                            column.append(x)
+        own = got.select(["anchor", "ctx", "dealt"]).take(pa.array(rows[0], pa.int64()))
+        for name, column, kind in zip(("far", "lo", "hi"), rows[1:], (pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True):
+            own = own.append_column(name, pa.array(column, kind))
+        return own
 
     buckets = strings.withColumn("bucket", F.pmod("anchor", F.lit(max(1, -(-n // bucket)))))
-    found = buckets.groupBy("bucket").applyInArrow(merge, "anchor bigint, ctx bigint, dealt boolean, lo array<bigint>, hi array<bigint>").where(F.size("lo") > 0)
+    found = buckets.groupBy("bucket").applyInArrow(merge, "anchor bigint, ctx bigint, dealt boolean, far boolean, lo array<bigint>, hi array<bigint>")
     # A folded context is repeated as a whole; the merge adds the windows of the others.
-    marks = folded.where("c > 1").select("anchor", "ctx", F.array(F.lit(0).cast("bigint")).alias("lo"), F.array(F.col("one.n").cast("bigint")).alias("hi"))
+    near, far = _whole(folded, reach)
+    marks = near.unionByName(far) if reach > length else near
     if cells is None:
-        marks = marks.union(found.drop("dealt"))
+        marks = marks.unionByName(found.drop("dealt"))
     else:
         found = durable(found)
-        marks = marks.union(found.where("not dealt").drop("dealt"))
-        told = dealt_marks.union(found.where("dealt").drop("dealt")).select(F.col("anchor").alias("key"), F.col("ctx").alias("cell"), "lo", "hi")
+        marks = marks.unionByName(found.where("not dealt").drop("dealt"))
+        told = dealt_marks.unionByName(found.where("dealt").drop("dealt")).select(F.col("anchor").alias("key"), F.col("ctx").alias("cell"), F.col("far").alias("_far"), "lo", "hi")
         moved = lambda c: F.transform(c, lambda x: x + F.col("shift"))
-        marks = marks.union(cells.where("c = 1").join(told, ["key", "cell"]).select("anchor", "ctx", moved("lo").alias("lo"), moved("hi").alias("hi")))
-    at = kept.join(durable(marks), ["anchor", "ctx"]).select("id", "h", F.explode(F.arrays_zip("lo", "hi")).alias("w"), "a")
-    spans = at.select("id", "h", F.struct((F.col("a") + F.col("w.lo")).alias("s"), (F.col("a") + F.col("w.hi") + length - 1).alias("e")).alias("w"))
+        marks = marks.unionByName(cells.where("c = 1").drop("far").join(told, ["key", "cell"]).select("anchor", "ctx", F.col("_far").alias("far"), moved("lo").alias("lo"), moved("hi").alias("hi")))
+    if reach == length:
+        marks = marks.where("not far")
+    at = kept.join(durable(marks), ["anchor", "ctx"]).select("id", "h", F.explode(F.arrays_zip("lo", "hi")).alias("w"), "a", "far")
+    size = F.when(F.col("far"), reach).otherwise(length)
+    spans = at.select("id", "h", F.struct((F.col("a") + F.col("w.lo")).alias("s"), (F.col("a") + F.col("w.hi") + size - 1).alias("e"), "far").alias("w"))
     return durable(spans.groupBy("id", "h").agg(F.collect_list("w").alias("spans")))
 
 
@@ -330,10 +405,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "h": F.xxhash64("doc_id", "text")})
 
 
-def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Overlapping and touching spans made one."""
+def merged_spans(spans: list[dict] | None, far: bool = False) -> list[tuple[int, int]]:
+    """Overlapping and touching spans made one: of strings of the reach (far), or of the length."""
     out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or []):
+    for s, e in sorted((x["s"], x["e"]) for x in spans or [] if x["far"] == far):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -341,6 +416,11 @@ def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def passages(text: bytes, spans: list[tuple[int, int]], words: int, length: int) -> list[tuple[int, int]]:
+    """Spans of more than `words` words, or of `length` bytes."""
+    return [(s, e) for s, e in spans if e - s >= length or len(text[s:e].split()) > words]
+
+
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     at, kept = 0, []
     for s, e in spans:
@@ -349,44 +429,54 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+#: A repeated passage of more than WORDS words counts as one whatever its bytes; PASSAGE: bytes that any such has.
+WORDS, PASSAGE = 50, 240
+
+
+def suffix_dedup(docs: DataFrame, length: int = 400, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes.
 
     A byte is removed if a string of `length` bytes that covers it starts at another place too, in this or another
-    document. Null texts are empty; texts shorter than length lose nothing; equal rows lose all of their long text.
+    document. n_passage_bytes counts, beside that, the bytes of repeated passages of more than `words` words (runs
+    covered by repeated strings of `passage` bytes) or of `length` bytes: passages of short words do not reach `length`.
+    Null texts are empty; texts shorter than passage lose nothing; equal rows lose all of their long text.
     A null doc_id is kept. Other columns are not read. An empty table gives no rows.
     """
     own = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    spans = repeated(own.select("id", "h", "text"), length)
+    spans = repeated(own.select("id", "h", "text"), passage, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
             out = []
             for text, found in zip(texts(batch), batch.column(2).to_pylist(), strict=True):
-                cuts = merged_spans(found)
-                out.append((len(text), sum(e - s for s, e in cuts), len(cuts), hashlib.sha256(cut(text, cuts)).hexdigest()))
-            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                cuts = merged_spans(found, far=True)
+                told = passages(text, merged_spans(found), words, length)
+                out.append((len(text), sum(e - s for s, e in cuts), len(cuts), hashlib.sha256(cut(text, cuts)).hexdigest(), sum(e - s for s, e in told)))
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
 
     joined = with_spans(own, spans).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_bytes bigint")
 
 
-def suffix_stage(spark, docs: DataFrame, sf_dir: str, length: int = 400) -> DataFrame:
-    """Pipeline stage: docs with the repeated bytes cut out of text, as suffix_dedup finds them: at all places.
+def suffix_stage(spark, docs: DataFrame, sf_dir: str, passage: int = PASSAGE, words: int = WORDS, length: int = 400) -> DataFrame:
+    """Pipeline stage: docs with repeated passages cut out of text: runs of bytes that strings of `passage` bytes cover
+    which start at another place too, where a run has more than `words` words or `length` bytes.
 
+    A passage goes at all its places: verbatim runs of that length are boilerplate or what near copies share, no place
+    is its source, and no cut depends on another document's. Shorter runs stay. Equal rows lose their long texts whole.
     What a cut leaves of a split character is dropped; n_chars, where docs has it, follows the new text. Rows whose
-    whole text was removed go; null texts stay.
+    whole text was removed go; null and empty texts, null ids and other columns stay as they are. No rows give no rows.
     """
     names = docs.columns
     own = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("id"), F.xxhash64("doc_id", "text").alias("h"))
-    spans = repeated(own.select("id", "h", "text"), length)
+    spans = repeated(own.select("id", "h", "text"), passage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
             columns = dict(zip(names, batch.column(0).flatten(), strict=True))
             old = texts(batch)
-            new = [cut(t, merged_spans(s)) if s else t for t, s in zip(old, batch.column(2).to_pylist(), strict=True)]
+            new = [cut(t, passages(t, merged_spans(s), words, length)) if s else t for t, s in zip(old, batch.column(2).to_pylist(), strict=True)]
             missing = batch.column(1).is_null().to_pylist()
             new_text = [None if m else t.decode("utf-8", "ignore") for t, m in zip(new, missing, strict=True)]
             columns["text"] = pa.array(new_text, columns["text"].type)

@@ -131,8 +131,25 @@ def brute_suffix(rows, length):
     return Counter(out)
 
 
+def brute_passages(rows, length, words=50, most=400):
+    """Bytes of runs covered by repeated strings of `length` bytes that have more than `words` words, or `most` bytes."""
+    seen = Counter(t[k : k + length] for _, t in rows for k in range(len(t) - length + 1))
+    out = Counter()
+    for i, t in rows:
+        n = end = start = 0
+        for k in [*(k for k in range(len(t) - length + 1) if seen[t[k : k + length]] > 1), len(t) + 1]:
+            if k > end:
+                n += end - start if end - start >= most or len(t[start:end].split()) > words else 0
+                start = k
+            end = k + length
+        out[(i, len(t), n)] += 1
+    return out
+
+
 def test_suffix_dedup_against_brute_force(docs):
-    assert Counter(tuple(r) for r in suffix.suffix_dedup(docs).collect()) == brute_suffix(pairs(docs), 400)
+    got = suffix.suffix_dedup(docs).collect()
+    assert Counter(tuple(r)[:5] for r in got) == brute_suffix(pairs(docs), 400)
+    assert Counter((r.doc_id, r.n_bytes, r.n_passage_bytes) for r in got) == brute_passages(pairs(docs), 240)
 
 
 def test_suffix_dedup_of_near_copies(spark):
@@ -146,11 +163,14 @@ def test_suffix_dedup_of_near_copies(spark):
         rows.append((i, "".join(t)[rnd.randint(0, 300) :]))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute_suffix([(i, t.encode()) for i, t in rows], 400)
-    assert Counter(tuple(r) for r in suffix.suffix_dedup(df).collect()) == want
+    short = brute_passages([(i, t.encode()) for i, t in rows], 240)
+    got = suffix.suffix_dedup(df).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want and Counter((r.doc_id, r.n_bytes, r.n_passage_bytes) for r in got) == short
     own = suffix.keyed(df)
-    spans = suffix.repeated(own.select("id", "h", "text"), most=3)  # hot anchors go by cores
-    got = {r.id: sum(e - s for s, e in suffix.merged_spans(r.spans)) for r in spans.collect()}
-    assert got == {w[0]: w[2] for w in want if w[2]}
+    for length, reach in ((400, None), (240, 400)):
+        spans = suffix.repeated(own.select("id", "h", "text"), length, reach, most=3)  # hot anchors go by cores
+        got = {r.id: sum(e - s for s, e in suffix.merged_spans(r.spans, far=bool(reach))) for r in spans.collect()}
+        assert {k: v for k, v in got.items() if v} == {w[0]: w[2] for w in want if w[2]}
 
 
 @pytest.mark.parametrize("size", [400, 404, 470])
@@ -160,14 +180,15 @@ def test_a_passage_of_many_documents_fills_no_group(spark, size):
     rows = [(i, sentence(60, rnd) + f" {i} " + passage + f" {i * 7} " + sentence(60, rnd)) for i in range(80)]
     df = suffix.keyed(spark.createDataFrame(rows, "doc_id bigint, text string")).select("id", "h", "text").cache()
     want = brute_suffix([(i, t.encode()) for i, t in rows], 400)
-    spans = suffix.repeated(df, most=8)
-    assert {r.id: sum(e - s for s, e in suffix.merged_spans(r.spans)) for r in spans.collect()} == {w[0]: w[2] for w in want if w[2]}
+    for length, reach in ((400, None), (240, 400)):
+        got = {r.id: sum(e - s for s, e in suffix.merged_spans(r.spans, far=bool(reach))) for r in suffix.repeated(df, length, reach, most=8).collect()}
+        assert {k: v for k, v in got.items() if v} == {w[0]: w[2] for w in want if w[2]}
     kept = suffix.contexts(df, 400)
-    folded = kept.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "a", "n", "off")).alias("one"))
+    folded = kept.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "a", "n", "off", "m")).alias("one"))
     many = folded.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
     asked = folded.join(many, "anchor").select("anchor", "ctx", "c", "one.*", (F.col("m") > 8).alias("hot"))
     assert asked.where("hot").count() >= 80
-    strings = suffix.merged_strings(df, asked, 400, 8)[0]
+    strings = suffix.merged_strings(df, asked, 400, 400, 8)[0]
     assert (strings.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0) <= 8
 
 
@@ -175,9 +196,30 @@ def test_merged_transforms_are_the_sorted_suffixes():
     rng = np.random.default_rng(2)
     strings = [bytes(rng.integers(97, 99, 60).astype(np.uint8)) for _ in range(12)]
     windows = np.array([len(s) - 20 + 1 for s in strings])
-    flags = suffix.repeated_windows(strings, windows, np.ones(12, int), 20, 10, shards=3)
-    seen = Counter(s[k : k + 20] for s in strings for k in range(41))
-    assert [f.tolist() for f in flags] == [[seen[s[k : k + 20]] > 1 for k in range(41)] for s in strings]
+    strings += [s[:55] for s in strings[:3]]
+    windows = np.append(windows, [36] * 3)
+    flags = suffix.repeated_windows(strings, windows, np.ones(15, int), (20, 30), 10, shards=3)
+    for length, got in zip((20, 30), flags, strict=True):
+        seen = Counter(s[k : k + length] for s in strings for k in range(len(s) - length + 1))
+        assert [f.tolist() for f in got] == [[len(s) - k >= length and seen[s[k : k + length]] > 1 for k in range(n)] for s, n in zip(strings, windows.tolist(), strict=True)]
+    with pytest.raises(ValueError):
+        suffix.repeated_windows(strings, windows, np.ones(15, int), (25,), 10)
+    with pytest.raises(ValueError):
+        suffix.block_of(240, 401)
+
+
+def test_a_text_in_pieces_loses_the_same_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "PIECE", 1000)
+    rnd = random.Random(12)
+    passage = sentence(90, rnd)
+    rows = [(i, sentence(400, rnd) + " " + passage + " " + sentence(300, rnd) + " " + passage[: 200 + 30 * i]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert Counter(tuple(r)[:5] for r in suffix.suffix_dedup(df).collect()) == brute_suffix([(i, t.encode()) for i, t in rows], 400)
+
+
+def test_symbols_of_large_parts_order_alike():
+    ranks = np.random.default_rng(9).integers(0, 1 << 20, 100_000)
+    assert (suffix.stable_order(ranks) == np.argsort(ranks, kind="stable")).all()
 
 
 def test_suffix_stage_cuts_text(spark, docs):
