@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,20 +122,20 @@ def contexts(docs: DataFrame, length: int, reach: int | None = None) -> DataFram
 
 def stable_order(ranks: np.ndarray) -> np.ndarray:
     """Stable order of small integers: 16 bits at a time go by counting."""
-    order = np.argsort((ranks & 0xFFFF).astype(np.uint16), kind="stable")
-    if len(ranks) and int(ranks.max()) > 0xFFFF:
+    order = np.argsort(ranks.astype(np.uint16), kind="stable")  # the low bits
+    if ranks.dtype.itemsize > 2:
         order = order[np.argsort((ranks[order] >> 16).astype(np.uint16), kind="stable")]
     return order
 
 
 def shard_transform(symbols: np.ndarray, following: np.ndarray, before: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of one shard in order of their first `depth` symbols, and the symbol before each: its transform."""
-    chain = [np.arange(len(symbols))]
+    ahead = [symbols]
     for _ in range(depth - 1):
-        chain.append(following[chain[-1]])
-    order = np.arange(len(symbols))
-    for step in reversed(chain):
-        order = order[stable_order(symbols[step[order]])]
+        ahead.append(ahead[-1][following])
+    order = stable_order(ahead[-1])
+    for each in reversed(ahead[:-1]):
+        order = order[stable_order(each[order])]
     return order, symbols[before[order]]
 
 
@@ -146,16 +147,16 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     one interval of the last round. No suffix is compared or sorted anew.
     """
     interleave = np.repeat(np.arange(len(transforms), dtype=np.int8), [len(t) for t in transforms])
-    interval, common = np.zeros(len(interleave), np.int64), np.zeros(len(interleave), np.int8)
-    symbols = np.empty(len(interleave), transforms[0].dtype if transforms else np.int64)
+    interval, common = np.zeros(len(interleave), np.int32), np.zeros(len(interleave), np.int8)
+    symbols, same = np.empty(len(interleave), transforms[0].dtype), np.zeros(len(interleave), bool)
     for _ in range(depth):
         for j, transform in enumerate(transforms):
             symbols[interleave == j] = transform
         deal = stable_order(symbols)
         interleave, dealt, source = interleave[deal], symbols[deal], interval[deal]
-        same = np.concatenate(([False], (dealt[1:] == dealt[:-1]) & (source[1:] == source[:-1])))
+        same[1:] = (dealt[1:] == dealt[:-1]) & (source[1:] == source[:-1])
         common += same
-        interval = np.cumsum(~same)
+        interval = np.cumsum(~same, dtype=np.int32)
     return interleave, common
 
 
@@ -167,9 +168,29 @@ def block_of(*lengths: int) -> int:
     raise ValueError(f"lengths {lengths} have no common divisor from 8 to 100 bytes")
 
 
-def repeated_windows(strings: list[bytes], windows: np.ndarray, weight: np.ndarray, lengths: tuple[int, ...], block: int, shards: int = 4) -> list[list[np.ndarray]]:
-    """For each of the lengths and each string, which of its first windows[i] positions begin a string of that many
-    bytes that occurs twice (by weight) among all.
+def _hashes(data: np.ndarray, n: int, block: int) -> np.ndarray:
+    """Odd hashes of the `block` bytes (8 at least) from each of the first n bytes on, by doubling the size hashed."""
+    size, out = 8, _words(data, n + block - 8, 0) * MIX_A
+
+    def joined(step: int) -> np.ndarray:
+        first = out[:-step] if step else out
+        both = first >> np.uint64(31)
+        both ^= first
+        both *= MIX_B
+        both += out[step:]
+        both ^= both >> np.uint64(29)
+        both *= MIX_A
+        return both
+
+    while size * 2 <= block:
+        out, size = joined(size), size * 2
+    return joined(block - size)[:n] | np.uint64(1)
+
+
+def repeated_windows(strings: list[bytes], windows: np.ndarray, weight: np.ndarray, lengths: tuple[int, ...], block: int, shards: int = 2) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the lengths, runs (string, from, until) of positions among the first windows[i] of each string that
+    begin a string of that many bytes which occurs twice (by weight) among all. Strings of a weight of two are left out:
+    they repeat as a whole.
 
     block divides all lengths; one merge serves them, since common prefixes tell all depths. Symbols are ranks of
     64-bit hashes of `block` bytes; the least ends a string.
@@ -177,22 +198,20 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, weight: np.ndarr
     if any(x % block for x in lengths):
         raise ValueError(f"symbols of {block} bytes do not divide {lengths}")
     if not strings:
-        return [[] for _ in lengths]
+        return [(np.empty(0, np.int64),) * 3 for _ in lengths]
     sizes = np.array([len(s) for s in strings], np.int64)
     slots = sizes + 1  # positions 0 to size; the last `block` of them end the string of their phase
     data = np.frombuffer(b"\0".join(strings) + bytes(block + 16), np.uint8)
     total = int(slots.sum())
     starts = np.cumsum(slots) - slots
-    own = np.repeat(np.arange(len(strings)), slots)
-    local, size = np.arange(total) - starts[own], sizes[own]
-    symbols = np.zeros(total, np.uint64)
-    for at in [*range(0, block - 8, 8), block - 8]:
-        symbols = (symbols ^ (symbols >> np.uint64(31))) * MIX_A + _words(data, total, at) * MIX_B
-    symbols = ((symbols ^ (symbols >> np.uint64(33))) * MIX_C) | np.uint64(1)
+    own = np.repeat(np.arange(len(strings), dtype=np.int32), slots)
+    here = np.arange(total, dtype=np.int32)
+    local, size = here - starts.astype(np.int32)[own], sizes.astype(np.int32)[own]
+    symbols = _hashes(data, total, block)
     inside = local + block <= size
     symbols[~inside] = 0
     ranks = np.unique(symbols, return_inverse=True)[1]
-    here = np.arange(total)
+    ranks = ranks.astype(np.uint16 if total <= 0xFFFF else np.uint32)
     following = np.where(inside, here + block, here - local + local % block)
     before = np.where(local >= block, here - block, here + block * ((size - local) // block))
     depth = max(lengths) // block
@@ -204,18 +223,19 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, weight: np.ndarr
         orders.append(order + lo)
         transforms.append(transform)
     interleave, common = merge_transforms(transforms, depth)
-    merged = np.empty(total, np.int64)
+    merged = np.empty(total, np.int32)
     for j, order in enumerate(orders):
         merged[interleave == j] = order
     out = []
     for length in lengths:
         window = (local < windows[own]) & (local + length <= size)
-        interval = np.cumsum(common < length // block) - 1
-        held = np.bincount(interval, weights=np.where(window, weight[own], 0)[merged])
+        interval = np.cumsum(common < length // block, dtype=np.int32) - 1
+        held = np.bincount(interval, weights=np.where(window, weight[own], 0)[merged])  # sums of whole numbers
         flags = np.zeros(total, bool)
         flags[merged] = held[interval] >= 2
-        flags &= window
-        out.append([flags[s : s + w] for s, w in zip(starts.tolist(), windows.tolist(), strict=True)])
+        flags &= window & (weight[own] < 2)
+        lo, hi = _runs(flags)  # no run goes on into the next string: no window begins at the end of one
+        out.append((own[lo], local[lo], hi - lo + local[lo]))
     return out
 
 
@@ -295,9 +315,9 @@ def _spread(cells: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFram
 
 def _whole(folded: DataFrame, reach: int) -> list[DataFrame]:
     """Marks of what occurs twice as a whole: all its windows, and those that begin a string of `reach` bytes (far)."""
-    lists = lambda n: (F.array(F.lit(0).cast("bigint")).alias("lo"), F.array(n.cast("bigint")).alias("hi"))
+    run = lambda n: (F.lit(0).cast("bigint").alias("lo"), n.cast("bigint").alias("hi"))
     twice, far = folded.where("c > 1"), F.least(F.col("one.n"), F.col("one.m") - reach + 1)
-    return [twice.select("anchor", "ctx", F.lit(False).alias("far"), *lists(F.col("one.n"))), twice.where(far > 0).select("anchor", "ctx", F.lit(True).alias("far"), *lists(far))]
+    return [twice.select("anchor", "ctx", F.lit(False).alias("far"), *run(F.col("one.n"))), twice.where(far > 0).select("anchor", "ctx", F.lit(True).alias("far"), *run(far))]
 
 
 def merged_strings(docs: DataFrame, asked: DataFrame, length: int, reach: int, most: int) -> tuple[DataFrame, int, DataFrame | None, DataFrame | None]:
@@ -319,8 +339,8 @@ def merged_strings(docs: DataFrame, asked: DataFrame, length: int, reach: int, m
             single = durable(_asked_of(docs, wide.withColumn("off", F.lit(0)), "anchor", "ctx", "c", "a", "n", "off", "m").mapInArrow(_deal(length, reach, 1), DEALT))
             for key, is_far in (("cell", False), ("far", True)):
                 twice = single.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("c").alias("k")).where("k > 1").select(key)
-                found = single.where("c = 1").join(twice, key).groupBy("anchor", "ctx").agg(F.sort_array(F.collect_set(F.col("shift").cast("bigint"))).alias("lo"))  # CELL of them at most
-                marks = marks.unionByName(found.select("anchor", "ctx", F.lit(is_far).alias("far"), "lo", F.transform("lo", lambda x: x + 1).alias("hi")))
+                found = single.where("c = 1").join(twice, key)
+                marks = marks.unionByName(found.select("anchor", "ctx", F.lit(is_far).alias("far"), F.col("shift").cast("bigint").alias("lo"), (F.col("shift") + 1).cast("bigint").alias("hi")))
     n = few.count()
     strings = _asked_of(docs, few, "anchor", "ctx", "dealt", "c", "a", "n", "m").mapInArrow(_fetch(), "anchor bigint, ctx bigint, dealt boolean, n int, c bigint, bytes binary")
     return strings, n, cells, marks
@@ -342,7 +362,7 @@ def repeated(docs: DataFrame, length: int = 400, reach: int | None = None, bucke
     block = block_of(*lengths)
     occurrences = staged(contexts(docs, length, reach))
     twice = durable(occurrences.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))  # plain shuffles on both sides let Spark split hot anchors
-    kept = durable(occurrences.join(twice, "anchor"))
+    kept = durable(part_by_keys(occurrences, F.col("anchor"), twice, F.col("anchor"))[0].join(twice, "anchor"))
     folded = durable(kept.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "a", "n", "off", "m")).alias("one")))
     mixed = durable(folded.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"))
     asked = durable(folded.join(mixed, "anchor").select("anchor", "ctx", "c", "one.*", (F.col("k") > most).alias("hot")))
@@ -360,21 +380,17 @@ def repeated(docs: DataFrame, length: int = 400, reach: int | None = None, bucke
                 parts.append(at)
                 held = 0
             held += k
-        rows: list[list] = [[], [], [], []]
-        for lo, hi in zip(parts, [*parts[1:], len(strings)], strict=True):
-            flags = repeated_windows(strings[lo:hi], n[lo:hi], c[lo:hi], lengths, block)
-            for far, each in enumerate(flags):
-                for i, f in enumerate(each, lo):
-                    if c[i] < 2 and f.any():  # with c of two or more all is marked anyway
-                        for column, x in zip(rows, (i, bool(far), *_runs(f)), strict=True):
-                            column.append(x)
-        own = got.select(["anchor", "ctx", "dealt"]).take(pa.array(rows[0], pa.int64()))
-        for name, column, kind in zip(("far", "lo", "hi"), rows[1:], (pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True):
-            own = own.append_column(name, pa.array(column, kind))
-        return own
+        rows: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+        for begin, end in zip(parts, [*parts[1:], len(strings)], strict=True):
+            for far, (own, lo, hi) in enumerate(repeated_windows(strings[begin:end], n[begin:end], c[begin:end], lengths, block)):
+                for column, x in zip(rows, (own + begin, np.full(len(own), far), lo, hi), strict=True):
+                    column.append(x)
+        own, far, lo, hi = (np.concatenate(column) for column in rows)
+        out = got.select(["anchor", "ctx", "dealt"]).take(pa.array(own))
+        return out.append_column("far", pa.array(far > 0)).append_column("lo", pa.array(lo)).append_column("hi", pa.array(hi))
 
     buckets = strings.withColumn("bucket", F.pmod("anchor", F.lit(max(1, -(-n // bucket)))))
-    found = buckets.groupBy("bucket").applyInArrow(merge, "anchor bigint, ctx bigint, dealt boolean, far boolean, lo array<bigint>, hi array<bigint>")
+    found = buckets.groupBy("bucket").applyInArrow(merge, "anchor bigint, ctx bigint, dealt boolean, far boolean, lo bigint, hi bigint")
     # A folded context is repeated as a whole; the merge adds the windows of the others.
     near, far = _whole(folded, reach)
     marks = near.unionByName(far) if reach > length else near
@@ -384,13 +400,13 @@ def repeated(docs: DataFrame, length: int = 400, reach: int | None = None, bucke
         found = durable(found)
         marks = marks.unionByName(found.where("not dealt").drop("dealt"))
         told = dealt_marks.unionByName(found.where("dealt").drop("dealt")).select(F.col("anchor").alias("key"), F.col("ctx").alias("cell"), F.col("far").alias("_far"), "lo", "hi")
-        moved = lambda c: F.transform(c, lambda x: x + F.col("shift"))
+        moved = lambda c: F.col(c) + F.col("shift")
         marks = marks.unionByName(cells.where("c = 1").drop("far").join(told, ["key", "cell"]).select("anchor", "ctx", F.col("_far").alias("far"), moved("lo").alias("lo"), moved("hi").alias("hi")))
     if reach == length:
         marks = marks.where("not far")
-    at = kept.join(durable(marks), ["anchor", "ctx"]).select("id", "h", F.explode(F.arrays_zip("lo", "hi")).alias("w"), "a", "far")
     size = F.when(F.col("far"), reach).otherwise(length)
-    spans = at.select("id", "h", F.struct((F.col("a") + F.col("w.lo")).alias("s"), (F.col("a") + F.col("w.hi") + size - 1).alias("e"), "far").alias("w"))
+    at = kept.join(durable(marks), ["anchor", "ctx"])
+    spans = at.select("id", "h", F.struct((F.col("a") + F.col("lo")).alias("s"), (F.col("a") + F.col("hi") + size - 1).alias("e"), "far").alias("w"))
     return durable(spans.groupBy("id", "h").agg(F.collect_list("w").alias("spans")))
 
 
@@ -405,15 +421,31 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "h": F.xxhash64("doc_id", "text")})
 
 
-def merged_spans(spans: list[dict] | None, far: bool = False) -> list[tuple[int, int]]:
-    """Overlapping and touching spans made one: of strings of the reach (far), or of the length."""
-    out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or [] if x["far"] == far):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+def merged_spans(spans, far: bool = False) -> list[tuple[int, int]]:
+    """Overlapping and touching spans made one: of strings of the reach (far), or of the length. spans: rows, or None."""
+    if not spans:
+        return []
+    return merged(*(np.array([x[k] for x in spans]) for k in ("s", "e", "far")), far)
+
+
+def merged(s: np.ndarray, e: np.ndarray, kind: np.ndarray, far: bool) -> list[tuple[int, int]]:
+    own = kind == far
+    s, e = s[own], e[own]
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum.accumulate(e[order])
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(s), 1), bool), s[1:] > e[:-1])))
+    return list(zip(s[first].tolist(), e[np.append(first[1:], len(s))[: len(first)] - 1].tolist(), strict=True))
+
+
+def spans_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """s, e, far of each row's spans, None where there are none."""
+    flat = column.flatten()
+    s, e, far = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+    at = 0
+    for n in sizes:
+        yield (s[at : at + n], e[at : at + n], far[at : at + n]) if n else None
+        at += n
 
 
 def passages(text: bytes, spans: list[tuple[int, int]], words: int, length: int) -> list[tuple[int, int]]:
@@ -448,9 +480,9 @@ def suffix_dedup(docs: DataFrame, length: int = 400, passage: int = PASSAGE, wor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
             out = []
-            for text, found in zip(texts(batch), batch.column(2).to_pylist(), strict=True):
-                cuts = merged_spans(found, far=True)
-                told = passages(text, merged_spans(found), words, length)
+            for text, found in zip(texts(batch), spans_of(batch.column(2)), strict=True):
+                cuts = merged(*found, True) if found else []
+                told = passages(text, merged(*found, False), words, length) if found else []
                 out.append((len(text), sum(e - s for s, e in cuts), len(cuts), hashlib.sha256(cut(text, cuts)).hexdigest(), sum(e - s for s, e in told)))
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
@@ -476,7 +508,7 @@ def suffix_stage(spark, docs: DataFrame, sf_dir: str, passage: int = PASSAGE, wo
         for batch in slices(batches, 8 << 20):
             columns = dict(zip(names, batch.column(0).flatten(), strict=True))
             old = texts(batch)
-            new = [cut(t, passages(t, merged_spans(s), words, length)) if s else t for t, s in zip(old, batch.column(2).to_pylist(), strict=True)]
+            new = [cut(t, passages(t, merged(*s, False), words, length)) if s else t for t, s in zip(old, spans_of(batch.column(2)), strict=True)]
             missing = batch.column(1).is_null().to_pylist()
             new_text = [None if m else t.decode("utf-8", "ignore") for t, m in zip(new, missing, strict=True)]
             columns["text"] = pa.array(new_text, columns["text"].type)

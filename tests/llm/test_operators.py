@@ -198,10 +198,11 @@ def test_merged_transforms_are_the_sorted_suffixes():
     windows = np.array([len(s) - 20 + 1 for s in strings])
     strings += [s[:55] for s in strings[:3]]
     windows = np.append(windows, [36] * 3)
-    flags = suffix.repeated_windows(strings, windows, np.ones(15, int), (20, 30), 10, shards=3)
-    for length, got in zip((20, 30), flags, strict=True):
+    runs = suffix.repeated_windows(strings, windows, np.ones(15, int), (20, 30), 10, shards=3)
+    for length, got in zip((20, 30), runs, strict=True):
         seen = Counter(s[k : k + length] for s in strings for k in range(len(s) - length + 1))
-        assert [f.tolist() for f in got] == [[len(s) - k >= length and seen[s[k : k + length]] > 1 for k in range(n)] for s, n in zip(strings, windows.tolist(), strict=True)]
+        want = [(i, k) for i, (s, n) in enumerate(zip(strings, windows.tolist(), strict=True)) for k in range(n) if len(s) - k >= length and seen[s[k : k + length]] > 1]
+        assert [(i, k) for i, lo, hi in zip(*(x.tolist() for x in got), strict=True) for k in range(lo, hi)] == want
     with pytest.raises(ValueError):
         suffix.repeated_windows(strings, windows, np.ones(15, int), (25,), 10)
     with pytest.raises(ValueError):
@@ -218,7 +219,7 @@ def test_a_text_in_pieces_loses_the_same_bytes(spark, monkeypatch):
 
 
 def test_symbols_of_large_parts_order_alike():
-    ranks = np.random.default_rng(9).integers(0, 1 << 20, 100_000)
+    ranks = np.random.default_rng(9).integers(0, 1 << 20, 100_000).astype(np.uint32)
     assert (suffix.stable_order(ranks) == np.argsort(ranks, kind="stable")).all()
 
 
