@@ -27,7 +27,11 @@ BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
+    """Runs of letters, lower case. Fractions, superscripts and number forms are no letters, though they count as word characters."""
+    lower = text.lower()
+    found = LETTERS.findall(lower)
+    if found and not "".join(found).isalpha():
+        found = LETTERS.findall("".join(c if c.isalpha() else " " for c in lower))
     if any(len(w) > LONGEST for w in found):
         return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
@@ -213,7 +217,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row; the language `und` (score 0) where no letter is to score.
 
     Whole texts are scored. Null and empty texts are `und`; a null doc_id is kept and not held out; repeated rows are
-    scored each. lang, source and doc_id are no inputs. An empty table gives no rows.
+    scored each. Of languages that tie the first by code point is told. lang, source and doc_id are no inputs. An empty
+    table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.vocab, model.table))
 
@@ -232,7 +237,11 @@ def identify(docs: DataFrame, path: str = VOCABULARY, most_docs: int = 2000) ->
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents whose language is told with a posterior of `least` or more; und goes. No shuffle."""
+    """Pipeline stage: documents whose language is told with a posterior of `least` or more; und goes. No shuffle.
+
+    Null and empty texts, and texts without a letter, go; a null id, a repeated row and columns of any name stay as
+    they are. Without a learned language all rows go; an empty table gives no rows.
+    """
     model = train(docs)
     held = spark.sparkContext.broadcast((model.langs, model.vocab, model.table))
 
