@@ -12,7 +12,9 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from kinetra.llm.common import slices, texts
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+SIGN = re.compile(r"[>\"']")
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
 # Fixed values of HTML: elements without content, elements whose content is no text, elements within a line.
@@ -30,20 +33,152 @@ RAW = set("script style template noscript iframe svg math canvas object textarea
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol table dl div section article aside main nav header footer form body blockquote td th".split())
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+class Path(NamedTuple):
+    """What a block is within: a feature for each tag and each class or id word, the innermost two block tags."""
+
+    names: frozenset[str]
+    inner: str
+    outer: str
+
+
+TOP = Path(frozenset(), "", "")
 
 
 class Block:
     __slots__ = ("label", "links", "path", "text")
 
-    def __init__(self, text: str, path: tuple, links: int, label: int):
+    def __init__(self, text: str, path: Path, links: int, label: int):
         self.text, self.path, self.links, self.label = text, path, links, label
 
 
-def blocks(page: str) -> list[Block]:
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(from, until, slash, tag, attributes) of each piece of markup in order; no tag for comments and declarations.
+
+    A tag ends at the first > outside of quotes. One that never ends counts up to the next <. Each quote opens a value
+    for at most one failing tag, and what does not come again is not searched for again: time is in proportion to the page.
+    """
+    at, n, dead, last, sign = 0, len(page), set(), page.rfind(">"), None
+    gone = {'"': n + 1, "'": n + 1}  # from here on the quote does not come again
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield at, end, "", "", ""
+            at = end
+            continue
+        name = NAME.match(page, at + 1)
+        if not name and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
+            continue
+        if at > last:  # nothing ends any more
+            end = page.find("<", at + 1)
+            end = n if end < 0 else end
+            yield at, end, "", "", ""
+            at = end
+            continue
+        if not name:
+            end = page.find(">", at) + 1
+            yield at, end, "", "", ""
+            at = end
+            continue
+        where, opened, end = name.end(), [], -1
+        while True:
+            if sign is None or sign.start() < where:
+                sign = SIGN.search(page, where)
+            if sign is None or sign.start() in dead:
+                break
+            if sign[0] == ">":
+                end = sign.end()
+                break
+            opened.append(sign.start())
+            close = -1 if sign.end() >= gone[sign[0]] else page.find(sign[0], sign.end())
+            if close < 0:
+                gone[sign[0]] = min(gone[sign[0]], sign.end())
+                break
+            where = close + 1
+        if end > 0:
+            yield at, end, name[1], name[2].lower(), page[name.end() : end - 1]
+        else:
+            dead.update(opened)
+            end = page.find("<", at + 1)
+            end = n if end < 0 else end
+            yield at, end, "", "", ""
+        at = end
+
+
+class Stack:
+    """Open elements, with what closing needs counted: by tag, by tag within the innermost block and the innermost scope."""
+
+    def __init__(self, known: dict | None):
+        self.known = known  # features that matter; others are not carried, so that depth costs nothing
+        self.tags: list[str] = []
+        self.paths: list[Path] = [TOP]
+        self.marks: list[int] = [0]
+        self.open: Counter[str] = Counter()
+        self.lines, self.scopes = [Counter()], [Counter()]
+
+    def push(self, tag: str, attributes: str) -> None:
+        path = self.paths[-1]
+        names = {f"t={tag}"}
+        if attributes:
+            names |= {f"c={t}" for a in NAMES.finditer(attributes) for t in TOKEN.findall((a[1] or a[2] or a[3] or "").lower())}
+        if self.known is not None:
+            names = {x for x in names if x in self.known}
+        names = path.names if names <= path.names else path.names | names
+        solid = tag not in INLINE
+        self.paths.append(Path(names, tag, path.inner) if solid else path._replace(names=names))
+        self.marks.append(0 if "data-off" in attributes else 1 if "data-main" in attributes else self.marks[-1])
+        self.tags.append(tag)
+        self.open[tag] += 1
+        if solid:
+            self.lines.append(Counter())
+        else:
+            self.lines[-1][tag] += 1
+        if tag in SCOPES:
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][tag] += 1
+
+    def pop_to(self, tags: set[str]) -> None:
+        """Close elements up to the innermost of these tags."""
+        found = False
+        while not found and self.tags:
+            tag = self.tags.pop()
+            self.paths.pop()
+            self.marks.pop()
+            self.open[tag] -= 1
+            if tag in INLINE:
+                self.lines[-1][tag] -= 1
+            else:
+                self.lines.pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][tag] -= 1
+            found = tag in tags
+
+    def close(self, tag: str) -> None:
+        """An end tag: passed over where nothing is open by that name; one within a line reaches no further than its block."""
+        if (self.lines[-1] if tag in INLINE else self.open)[tag] > 0:
+            self.pop_to({tag})
+
+    def make_room(self, tag: str) -> None:
+        """A block ends the paragraph, and an item its sibling, that is open in the same scope."""
+        ends = CLOSES.get(tag, set()) | {"p"}
+        held = ends - SCOPES
+        if any(self.scopes[-1][t] > 0 for t in held):
+            self.pop_to(held)
+        elif len(self.scopes) > 1 and (ends & SCOPES) and self.tags and self.tags[-1] in ends:
+            self.pop_to(ends & SCOPES)
+
+
+def blocks(page: str, known: dict | None = None) -> list[Block]:
     """The page's leaf blocks in order. Marks data-main and data-off, which only training pages have, give labels."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []  # tag, its feature names
-    marks: list[int] = []  # 1 within data-main, 0 within data-off
+    stack = Stack(known)
     parts: list[str] = []
     links, at, n = 0, 0, len(page)
 
@@ -52,70 +187,46 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(x for _, x in stack), links, marks[-1] if marks else 0))
+                out.append(Block(text, stack.paths[-1], links, stack.marks[-1]))
             parts, links = [], 0
 
-    def close(k: int) -> None:
-        del stack[k:], marks[k:]
-
-    while at < n:
-        m = MARKUP.search(page, at)
-        text = page[at : m.start() if m else n]
+    def take(text: str) -> None:
+        nonlocal links
         if text:
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if stack.open["a"] > 0:
                 links += len(text)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+
+    for begin, end, slash, tag, attributes in markup(page):
+        if begin < at:  # within what an element without text holds
+            continue
+        take(page[at:begin])
+        at = end
         if not tag:
             continue
+        empty = attributes.rstrip().endswith("/")
         if tag not in INLINE:
             flush()
         elif tag == "br":
             parts.append(" ")
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
-                at = end.end() if end else n
-            continue
-        if tag in VOID or m[3].rstrip().endswith("/"):
-            continue
-        ends = CLOSES.get(tag, set())
-        if tag not in INLINE:  # a paragraph ends where a block begins
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] in SCOPES:
-                    break
-        attributes = m[3]
-        names = (tag,)
-        if attributes:
-            names += tuple(sorted({t for a in NAMES.finditer(attributes) for t in TOKEN.findall((a[1] or a[2] or a[3] or "").lower())}))
-        marks.append(0 if "data-off" in attributes else 1 if "data-main" in attributes else marks[-1] if marks else 0)
-        stack.append((tag, names))
+        if slash:
+            stack.close(tag)
+        elif tag in RAW:
+            if not empty:
+                found = RAW_END[tag].search(page, at)
+                at = found.end() if found else n
+        elif tag not in VOID and not empty:
+            if tag not in INLINE:
+                stack.make_room(tag)
+            stack.push(tag, attributes)
+    take(page[at:])
     flush()
     return out
 
 
-def path_features(path: tuple) -> list[str]:
+def path_features(path: Path) -> list[str]:
     """Features of the ancestors: each tag, each class or id word, the innermost block tag and its parent."""
-    tags = [names[0] for names in path]
-    out = {f"t={t}" for t in tags} | {f"c={c}" for names in path for c in names[1:]}
-    solid = [t for t in tags if t not in INLINE]
-    out.add(f"in={solid[-1] if solid else ''}")
-    out.add(f"up={'/'.join(solid[-2:])}")
-    return sorted(out)
+    return sorted(path.names | {f"in={path.inner}", f"up={path.outer}/{path.inner}"})
 
 
 def text_features(block: Block) -> list[str]:
@@ -130,7 +241,7 @@ class Field:
     def __init__(self):
         self.weights: dict[str, float] = {}
         self.start, self.moves = np.zeros(2), np.zeros((2, 2))
-        self.paths: dict[tuple, float] = {}
+        self.paths: dict[Path, float] = {}
 
     def emission(self, block: Block) -> float:
         held = self.paths.get(block.path)
@@ -291,7 +402,8 @@ def extract(pages: DataFrame, most: int = 200) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages.
 
     Whole pages are read. A null or empty html, or a page without an article, gives an empty text. Broken markup is
-    read on: what is open stays open, what is closed without being open is passed over. A null page_id or url is kept;
+    read on, in time in proportion to the page: what is open stays open, what is closed without being open is passed
+    over, a tag that never ends is dropped up to the next one. Labels that tie are 0. A null page_id or url is kept;
     repeated rows are done each. A table in which no page names its article by tag gives empty texts, having taught
     nothing. An empty table gives no rows.
     """
@@ -302,7 +414,7 @@ def extract(pages: DataFrame, most: int = 200) -> DataFrame:
         for batch in slices(batches, 4 << 20):
             out = []
             for t in texts(batch):
-                found = blocks(t.decode("utf-8", "ignore"))
+                found = blocks(t.decode("utf-8", "ignore"), field.weights)
                 out.append("\n".join(b.text for b, label in zip(found, field.decode(found), strict=True) if label))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -300,6 +301,12 @@ def test_language(docs, none):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_letters_and_ties_of_languages():
+    assert language.words("½ ² Ⅷ ① 7 _ - x² Éa") == ["x", "éa"]
+    model = language.Model(["de", "en"], ["a", "▁"], np.full((3, 2), 1 / 3))
+    assert model.score(["½ ²", "", "a aa"]) == [("und", 0.0), ("und", 0.0), ("de", 0.5)]
+
+
 def test_forward_sums_all_segmentations():
     vocab = sorted({"▁", "a", "b", "ab", "▁a", "ba", "aba"})
     pieces, rng = language.Pieces(vocab), np.random.default_rng(0)
@@ -424,10 +431,39 @@ def test_extraction(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
+HOSTILE = ['<a "', "<p x", "<a '\"", "<div>x", "<b>x", "</section>", "<div></section>", "<b><h1>", "<li>y", '<p class="a b">z', "<!", "<svg/>", "<", "&#x;", '<a "x" ', "<table><tr><td>q"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_broken_markup_takes_time_in_proportion_to_the_page(piece):
+    page = piece * (1_000_000 // len(piece))
+    for tail in ("", "\">", "'>"):
+        began = time.process_time()
+        found = extract.blocks(page + tail, {"t=div": 1.0})
+        assert time.process_time() - began < 20 and all(b.text for b in found)  # a few seconds at most; quadratic time takes hours
+
+
+def test_blocks_of_a_small_page():
+    page = "<div class='a'><p>one<p>two <b>bold<div>in</b></div></p>x<ul><li>i<li>j</ul><td>c<td>d<!-- no --><script>if (a<b) '</p>'</script>e<a href=\"a>b\">l</a> &lt;&amp;"
+    found = extract.blocks(page)
+    assert [b.text for b in found] == ["one", "two bold", "in", "x", "i", "j", "c", "d", "el <&"]
+    assert all("c=a" in b.path.names for b in found) and found[0].path.inner == "p" and found[1].path.inner == "p" and found[4].path[1:] == ("li", "ul")
+    assert [b.text for b in extract.blocks("a<b class='x y>never ends")] == ["a"]
+
+
+def test_extraction_of_awkward_rows(spark):
+    body = "<article><p>" + "A sentence of the article that is long enough, as they are. " * 3 + "</p></article>"
+    rows = [(i % 5, f"u{i % 5}", f"<body><nav><a href='/'>Home</a></nav>{body}<footer>f</footer>" if i != 7 else "<body><article>" + "<p>word</p>" * 100_000 + "</article>", "x", i) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
+    got = extract.extract(pages).collect()
+    assert len(got) == 20 and got[0].__fields__ == ["page_id", "url", "text", "n_chars"]
+    assert max(r.n_chars for r in got) == 100_000 * 5 - 1 and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_viterbi_is_the_best_labelling():
     field, rng = extract.Field(), np.random.default_rng(7)
     field.start, field.moves = rng.normal(size=2), rng.normal(size=(2, 2))
-    blocks = [extract.Block("text", ((f"t{i}",),), 0, 0) for i in range(7)]
+    blocks = [extract.Block("text", extract.Path(frozenset([f"t=t{i}"]), "", ""), 0, 0) for i in range(7)]
     field.weights = {f"t=t{i}": float(rng.normal()) for i in range(7)}
     e = [field.emission(b) for b in blocks]
     score = lambda s: field.start[s[0]] + sum(e[i] * s[i] for i in range(7)) + sum(field.moves[s[i], s[i + 1]] for i in range(6))
