@@ -1,11 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier over the presence of words and of word beginnings (insults are inflected) is trained on confirmed
-toxic texts and on unlabelled ones. With the class
-prior p the risk is p * R+(toxic) + max(0, R-(unlabelled) - p * R-(toxic)); where the second part turns negative, its
-gradient is taken back, which keeps the classifier from fitting the unlabelled texts. The prior is the share of toxic
-rows among the labelled training rows. The features are those that toxic texts have more often than unlabelled ones by
-many standard errors: with fewer toxic texts than features, all others would only fit noise. A last step fits scale and offset of the logit to labelled training rows.
+toxic texts and on unlabelled ones: a bounded sample of all training-fold documents, whatever their label and mostly
+without one. With the class prior p the risk is p * R+(toxic) + max(0, R-(unlabelled) - p * R-(toxic)); where the second
+part turns negative, its gradient is taken back, which keeps the classifier from fitting the unlabelled texts. The prior
+begins as the labels' base rate and becomes the mean probability of the unlabelled texts. The features are those that
+toxic texts have more often than unlabelled ones by many standard errors, told by Spark from counts over both samples:
+with fewer toxic texts than features, all others would only fit noise. A last step fits scale and offset of the logit
+to labelled training rows.
 """
 
 from __future__ import annotations
@@ -38,6 +40,22 @@ def present(ids: dict[str, int], text: str) -> list[int]:
     return sorted({ids[w] for w in marks(text) if w in ids})
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def risk(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """prior * R+(toxic), R-(unlabelled) - prior * R-(toxic), and the step's gradients by the logits p and u.
+
+    Logistic loss. The risk is the first plus the second where that is not negative; else the step walks the second
+    part back up.
+    """
+    plus = prior * np.logaddexp(0, -p).mean()
+    rest = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+    d_plus, d_rest_p, d_rest_u = -prior * _sigmoid(-p) / len(p), -prior * _sigmoid(p) / len(p), _sigmoid(u) / len(u)
+    return (plus, rest, d_plus + d_rest_p, d_rest_u) if rest >= 0 else (plus, rest, -d_rest_p, -d_rest_u)
+
+
 class Linear:
     """Sparse rows of word ids -> logit."""
 
@@ -63,15 +81,8 @@ class Linear:
         flat_p, flat_u = (np.concatenate([*r, []]).astype(np.int64) for r in (toxic, unlabelled))
         own_p, own_u = (np.repeat(np.arange(len(r)), [len(x) for x in r]) for r in (toxic, unlabelled))
         moments = [np.zeros(size + 1), np.zeros(size + 1)]
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         for step in range(1, steps + 1):
-            p, u = self.logits(toxic), self.logits(unlabelled)
-            rest = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-            d_pos, d_neg_p, d_neg_u = -prior * sigmoid(-p) / len(p), -prior * sigmoid(p) / len(p), sigmoid(u) / len(u)
-            if rest >= 0:
-                d_p, d_u = d_pos + d_neg_p, d_neg_u
-            else:  # walk back out of the negative part only
-                d_p, d_u = -d_neg_p, -d_neg_u
+            _, _, d_p, d_u = risk(self.logits(toxic), self.logits(unlabelled), prior)
             grad = np.append(np.bincount(flat_p, d_p[own_p], size) + np.bincount(flat_u, d_u[own_u], size) + decay * self.w, d_p.sum() + d_u.sum())
             moments[0] += 0.1 * (grad - moments[0])
             moments[1] += 0.001 * (grad * grad - moments[1])
@@ -98,33 +109,42 @@ class Linear:
         return self
 
 
-def telling(toxic: list[np.ndarray], unlabelled: list[np.ndarray], size: int, errors: float = 5.0, least: int = 4, most: int = 512) -> np.ndarray:
-    """The at most `most` words that toxic texts have more often than unlabelled ones, by `errors` standard errors."""
-    has_p, has_u = (np.bincount(np.concatenate([*rows, []]).astype(np.int64), minlength=size) for rows in (toxic, unlabelled))
-    p, u = has_p / len(toxic), (has_u + 0.5) / (len(unlabelled) + 1)
-    z = (p - u) / np.sqrt(u * (1 - u) * (1 / len(toxic) + 1 / len(unlabelled)))
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[(z[best] >= errors) & (has_p[best] >= least)])
+def telling(marked: DataFrame, toxic: int, unlabelled: int, errors: float = 5.0, least: int = 4) -> list[str]:
+    """Marks that toxic texts have more often than unlabelled ones by `errors` standard errors, `least` texts at least.
+
+    marked: mark, p, u (toxic and unlabelled texts that have it).
+    """
+    p, u = F.col("p") / toxic, (F.col("u") + 0.5) / (unlabelled + 1)
+    z = (p - u) / F.sqrt(u * (1 - u) * (1 / toxic + 1 / unlabelled))
+    return sorted(r[0] for r in marked.where((F.col("p") >= least) & (F.col("u") <= unlabelled) & (z >= errors)).select("mark").collect())
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000, size: int = 60_000) -> tuple[list[str], Linear] | None:
-    """Vocabulary and classifier from at most about `most` confirmed toxic texts and as many of the others, which go
-    without their label into the unlabelled side together with the toxic ones in the share of the prior."""
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, unlabelled: int = 20_000, rounds: int = 2) -> tuple[list[str], Linear] | None:
+    """Words and classifier from about `most` labelled rows a class and about `unlabelled` documents, all of the training fold."""
     fold = ~crc_mod("doc_id", 5).eqNullSafe(0)
     known = {r[0]: r[1] for r in labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & fold).groupBy("toxic").count().collect()}
     if len(known) < 2:
         return None
     prior = known[1] / (known[0] + known[1])
-    sample = durable(labelled_sample(docs, labels, "toxic", fold, most))
+    own = docs.where(fold).select("doc_id", F.col("text").cast("string").alias("text"))
+    share = min(1_000_000, int(1e6 * unlabelled / max(own.count(), 1)) + 1)
+    free = own.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("unlabelled")), F.lit(1_000_000)) < share)  # labels are not looked at
+    sample = durable(labelled_sample(docs, labels, "toxic", fold, most).unionByName(free.withColumns({"y": F.lit(-1), "weight": F.lit(1.0)})))
+    sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
+    if not all(sizes.get(y) for y in (-1, 0, 1)):
+        return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
-            seen = Counter(w for x in texts(batch) for w in marks(x.decode("utf-8", "ignore")))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            p, u = Counter(), Counter()
+            for y, x in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+                (p if y == 1 else u).update(marks(x.decode("utf-8", "ignore")))
+            every = list(p.keys() | u.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([p[w] for w in every], pa.int64()), pa.array([u[w] for w in every], pa.int64())], names=["mark", "p", "u"])
 
-    counted = sample.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 3")
-    words = [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
-    held = docs.sparkSession.sparkContext.broadcast(words)  # at most `size` words
+    marked = sample.where("y <> 0").select("y", "text").mapInArrow(count, "mark string, p bigint, u bigint").groupBy("mark").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    words = telling(marked, sizes[1], sizes[-1])
+    held = docs.sparkSession.sparkContext.broadcast(words)  # each in `least` toxic texts of the sample at least
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = {w: i for i, w in enumerate(held.value)}
@@ -132,19 +152,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, size: int = 60_0
             x = [present(ids, t.decode("utf-8", "ignore")) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "y", "x", "weight"])
 
-    rows = sorted(((r[0], r[1], np.array(r[2], np.int64), r[3]) for r in sample.select("doc_id", "y", "weight", "text").mapInArrow(features, "doc_id bigint, y int, x array<int>, weight double").toLocalIterator()), key=lambda r: (r[0], r[1], r[2].tobytes()))
-    toxic, other = [r[2] for r in rows if r[1] == 1], [r[2] for r in rows if r[1] == 0]
-    if not toxic or not other:
-        return None
-    unlabelled = other + toxic[: int(len(other) * prior / (1 - prior))]
-    chosen = telling(toxic, unlabelled, len(words))
-    place = np.full(len(words), -1)
-    place[chosen] = np.arange(len(chosen))
-    toxic, other, unlabelled = ([x[x >= 0] for x in (place[r] for r in part)] for part in (toxic, other, unlabelled))
-    words = [words[i] for i in chosen.tolist()]
-    model = Linear(len(words)).fit(toxic, unlabelled, prior)
+    rows = [(r[0], r[1], np.array(r[2], np.int64), r[3]) for r in sample.select("doc_id", "y", "weight", "text").mapInArrow(features, "doc_id bigint, y int, x array<int>, weight double").toLocalIterator()]
+    rows.sort(key=lambda r: (r[0] is None, r[0], r[1], r[2].tobytes()))
+    toxic, other, free_rows = ([r[2] for r in rows if r[1] == y] for y in (1, 0, -1))
     weight = np.array([r[3] for y in (1, 0) for r in rows if r[1] == y])
-    return words, model.calibrate(toxic + other, np.array([1.0] * len(toxic) + [0.0] * len(other)), weight=weight)
+    target = np.repeat([1.0, 0.0], [len(toxic), len(other)])
+    for _ in range(rounds):
+        model = Linear(len(words)).fit(toxic, free_rows, prior).calibrate(toxic + other, target, weight=weight)
+        prior = float(np.clip(model.probability(free_rows).mean(), 1e-4, 0.5))
+    return words, model
 
 
 def detect(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:
@@ -152,7 +168,8 @@ def detect(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:
 
     Whole texts are scored; null and empty texts as a text without words; a null doc_id is kept and not held out;
     repeated rows are scored each. Without training rows of both classes every score is 0. Labels, lang, source and
-    doc_id are no inputs of a score. An empty table gives no rows.
+    doc_id are no inputs of a score. Labels that contradict each other for an id count as toxic. An empty table gives no
+    rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
 

@@ -365,6 +365,55 @@ def test_probabilities_follow_the_base_rate():
     assert abs(np.average(model.probability(rows), weights=weight) - 0.1) < 0.03
 
 
+def test_risk_and_its_gradient_against_a_plain_version():
+    rng = np.random.default_rng(3)
+    loss = lambda z, y: float(np.log1p(np.exp(-y * z)))
+    for shift, prior in ((0.0, 0.2), (-4.0, 0.6)):
+        p, u = rng.normal(1, 1, 7), rng.normal(shift, 0.5, 11)
+        plus, rest, d_p, d_u = toxicity.risk(p, u, prior)
+        plain_plus = prior * sum(loss(z, 1) for z in p) / 7
+        plain_rest = lambda p, u, prior=prior: sum(loss(z, -1) for z in u) / 11 - prior * sum(loss(z, -1) for z in p) / 7
+        assert abs(plus - plain_plus) < 1e-12 and abs(rest - plain_rest(p, u)) < 1e-12 and (rest >= 0) == (shift == 0.0)
+        step = lambda p, u, prior=prior, rest=rest, plain_rest=plain_rest: prior * sum(loss(z, 1) for z in p) / 7 + plain_rest(p, u) if rest >= 0 else -plain_rest(p, u)
+        for x, d in ((p, d_p), (u, d_u)):
+            for i in range(len(x)):
+                x[i] += 1e-6
+                up = step(p, u)
+                x[i] -= 2e-6
+                assert abs((up - step(p, u)) / 2e-6 - d[i]) < 1e-6
+                x[i] += 1e-6
+
+
+def test_unlabelled_texts_teach_without_their_labels(spark):
+    """Labels cover one in eight; a clean kind of text that no label covers is still left alone."""
+    rnd = random.Random(18)
+    kind = lambda i: " vile" if i % 10 == 0 else " odd" if i % 10 in (1, 2, 3) else ""
+    docs = spark.createDataFrame([(i, sentence(30, rnd) + kind(i)) for i in range(3000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1500) if i % 10 in (0, 5)], "doc_id bigint, quality int, toxic int")
+    assert all(r.predicted == int(r.doc_id % 10 == 0) for r in toxicity.detect(docs, labels).collect())
+
+
+def test_pooled_vectors_and_network_against_a_plain_version():
+    rng = np.random.default_rng(5)
+    vocabulary = quality.Vocabulary(["aa", "bb", "!!"])
+    vectors = rng.normal(size=(len(vocabulary.tokens), quality.DIM)).astype(np.float32)
+    ids = [vocabulary.ids[t] for t in ("aa", "bb", "<title>", "!!", "<number>", "aa")]
+    v = vectors[ids].astype(float)
+    mean = v.mean(axis=0)
+    want = [*mean, float(np.sqrt((mean**2).sum())), sum(float(v[i] @ v[i + 1]) for i in range(5)) / 6, sum(float(v[i] @ v[i + 2]) for i in range(4)) / 6, np.log1p(6) / 10]
+    got = quality.pooled(vocabulary, vectors, ["aa bb Cc !! 77 aa", ""])
+    assert np.allclose(got[0], want, atol=1e-5) and not got[1].any()
+    net = quality.Network(3, hidden=4)
+    x = rng.normal(size=(5, 3))
+    plain = [sum(np.tanh(sum(x[r, i] * net.w1[i, j] for i in range(3)) + net.b1[j]) * net.w2[j] for j in range(4)) + net.b2[0] for r in range(5)]
+    assert np.allclose(net.logits(x), plain)
+    y = (rng.random(3000) < 0.5).astype(float)
+    z = rng.normal(size=(3000, 3)) + y[:, None]
+    fitted = quality.Network(3, hidden=4).fit(z, y)
+    exact = 1 / (1 + np.exp(-(z.sum(axis=1) - 1.5)))  # the true probability of these rows
+    assert np.abs(fitted.probability(z) - exact).mean() < 0.06
+
+
 def test_rules(docs, none, labels, no_labels):
     got = {(r.doc_id, r.n_words): r for r in rules.filter_rules(docs, labels).collect()}
     for i, b in pairs(docs):
