@@ -82,7 +82,8 @@ class Linear:
         own_p, own_u = (np.repeat(np.arange(len(r)), [len(x) for x in r]) for r in (toxic, unlabelled))
         moments = [np.zeros(size + 1), np.zeros(size + 1)]
         for step in range(1, steps + 1):
-            _, _, d_p, d_u = risk(self.logits(toxic), self.logits(unlabelled), prior)
+            p, u = (np.bincount(own, self.w[flat], len(r)) + self.b for own, flat, r in ((own_p, flat_p, toxic), (own_u, flat_u, unlabelled)))
+            _, _, d_p, d_u = risk(p, u, prior)
             grad = np.append(np.bincount(flat_p, d_p[own_p], size) + np.bincount(flat_u, d_u[own_u], size) + decay * self.w, d_p.sum() + d_u.sum())
             moments[0] += 0.1 * (grad - moments[0])
             moments[1] += 0.001 * (grad * grad - moments[1])
