@@ -451,6 +451,40 @@ def test_language_model(docs, none):
     assert mixing_lm.lm_score(none).count() == 0
 
 
+def test_tables_and_dealt_streams_take_every_use(spark):
+    rnd = random.Random(2)
+    words = sorted({w.encode() for w in WORDS} | {f"rare{i}".encode() for i in range(400)})
+    rows = [(w, 1 + rnd.randrange(40), rnd.randrange(9)) for w in words]
+    counts = spark.createDataFrame(rows, "word binary, n bigint, m bigint").selectExpr("word", "n + m as n", "m").repartition(3)
+    zeros, ones = (np.zeros(int(mixing_lm.OFFSETS[-1]), np.int64) for _ in range(2))
+    for w, n, _ in rows:  # one word at a time, each use counted
+        for _, slots, bit in mixing_lm.Stream([w]).bits():
+            for k in range(len(mixing_lm.TABLES)):
+                for at, b in zip(slots[k].tolist(), bit.tolist(), strict=True):
+                    (ones if b else zeros)[at] += n
+    logit, seen = mixing_lm.tables(counts)
+    assert (seen == np.digitize(zeros + ones, mixing_lm.LEVELS)).all()
+    assert (logit == np.log((ones + 0.1) / (zeros + 0.1)).astype(np.float16)).all()
+    shared = spark.sparkContext.broadcast((logit, seen))
+    one, many = (mixing_lm.learned(mixing_lm.Model(logit, seen), shared, counts, n) for n in (10**9, 500))
+    again = mixing_lm.learned(mixing_lm.Model(logit, seen), shared, counts.repartition(2), 500)
+    assert (many.by_place == again.by_place).all() and (many.refined == again.refined).all()
+    stream = [w for w, _, m in rows for _ in range(m)]
+    plain = mixing_lm.Model(logit, seen)
+    assert one.score(stream).sum() > plain.score(stream).sum() and many.score(stream).sum() > plain.score(stream).sum()
+
+
+def test_scores_do_not_depend_on_how_words_travel(docs):
+    a, b = ({(r.doc_id, r.n_tokens): round(r.score, 6) for r in mixing_lm.lm_score(docs, most).collect()} for most in (300_000, 3))
+    assert a == b
+
+
+def test_language_model_without_training_rows(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = mixing_lm.lm_score(spark.createDataFrame([(i, "some words") for i in held], "doc_id bigint, text string")).collect()
+    assert len(rows) == 4 and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) for r in rows)
+
+
 def test_language_model_is_a_distribution():
     """The probabilities of all bytes after a prefix sum to one: each bit's two outcomes share it."""
     rng = np.random.default_rng(6)
