@@ -30,9 +30,12 @@ class Database:
     groups: dict[int, int] = field(default_factory=dict)
 
 
+#: Functional group of each of 17 movements: grasp, wrist, rotation, precision, pinch, thumb (fixed values).
+FUNCTIONS = (0, 0, 0, 0, 1, 1, 2, 2, 3, 3, 3, 3, 4, 4, 5, 5, 5)
+
 DATABASES = {
     "db7": Database(22, 40, 12, 2000),
-    "db3": Database(11, 17, 12, 2000, first_exercise_only=True),
+    "db3": Database(11, 17, 12, 2000, first_exercise_only=True, groups=dict(zip(range(1, 18), FUNCTIONS, strict=True))),
     "db2": Database(40, 49, 12, 2000),
 }
 
@@ -72,3 +75,8 @@ def path(spark: SparkSession, database: str) -> str:
 def movement_map(spark: SparkSession, database: str) -> DataFrame:
     """movement_id -> class_idx of a database, as a dimension table."""
     return spark.range(1, DATABASES[database].n_movements + 1).selectExpr("cast(id as int) movement_id", "cast(id - 1 as int) class_idx")
+
+
+def group_map(spark: SparkSession, database: str) -> DataFrame:
+    """movement_id -> group_id of a database with functional groups."""
+    return spark.createDataFrame(sorted(DATABASES[database].groups.items()), "movement_id int, group_id int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -55,13 +56,19 @@ def normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def signed_rank_p(w: float, n: int) -> float:
-    """Exact two-sided p of a signed-rank sum w <= its mean over n pairs without ties, by counting subsets of ranks."""
-    ways = [1] + [0] * (n * (n + 1) // 2)
-    for r in range(1, n + 1):
-        for s in range(len(ways) - 1, r - 1, -1):
-            ways[s] += ways[s - r]
-    return min(1.0, 2 * sum(ways[: int(math.floor(w)) + 1]) / 2**n)
+def signed_rank_p(w: float, n: int, squares: float, exact: int = 50) -> float:
+    """Two-sided p of a signed-rank sum w <= its mean over n pairs, squares: the sum of their squared ranks.
+
+    Up to `exact` pairs without ties by counting subsets of ranks; else by the normal distribution, whose variance of
+    squares / 4 has the correction for ties in it.
+    """
+    if n <= exact and squares == n * (n + 1) * (2 * n + 1) / 6:
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for r in range(1, n + 1):
+            ways[r:] += ways[:-r].copy()
+        return min(1.0, 2 * float(ways[: int(w) + 1].sum()) / 2.0**n)
+    return normal_tail((w - n * (n + 1) / 4) / math.sqrt(squares / 4))
 
 
 @F.pandas_udf(DoubleType())
@@ -80,5 +87,5 @@ def t_tail_udf(t: pd.Series, df: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(DoubleType())
-def signed_rank_udf(w: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) or k < 3 else signed_rank_p(v, int(k)) for v, k in zip(w, n, strict=True)])
+def signed_rank_udf(w: pd.Series, n: pd.Series, squares: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) or k < 3 else signed_rank_p(v, int(k), q) for v, k, q in zip(w, n, squares, strict=True)])

@@ -11,10 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def matrix(column: pd.Series) -> np.ndarray:
+def matrix(column: pd.Series | pa.Array) -> np.ndarray:
+    """Equal-length lists as rows: an Arrow column's values lie in one buffer already."""
+    if isinstance(column, pa.Array):
+        return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
     return np.array(column.tolist(), np.float64) if len(column) else np.empty((0, 0))
 
 
+def lists(x: np.ndarray) -> pa.Array:
+    """Rows as an Arrow column of lists."""
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def gram(df: DataFrame, features: str, tile: int = 1024) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, covariance) by partial sums of X and X'X a task, added up by row tiles of the matrix on Spark.
 
@@ -24,7 +32,7 @@ def gram(df: DataFrame, features: str, tile: int = 1024) -> tuple[int, np.ndarra
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, square = 0, None, None
         for batch in batches:
-            x = matrix(batch.column(0).to_pandas())
+            x = matrix(batch.column(0))
             if not len(x):
                 continue
             if total is None:
@@ -53,10 +61,10 @@ def affine(df: DataFrame, features: str, shift: np.ndarray, weights: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, w, b = held.value
         for batch in batches:
-            x = matrix(batch.column(at).to_pandas())
+            x = matrix(batch.column(at))
             y = (x - a) @ w + b if len(x) else x
             columns = list(batch.columns)
-            columns[at] = pa.array(list(y), pa.list_(pa.float64()))
+            columns[at] = lists(y)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return df.mapInArrow(run, schema)
@@ -99,33 +107,80 @@ def subspace_alignment(source: DataFrame, target: DataFrame, features: str, comp
     return affine(source, features, ms, ps @ (ps.T @ pt), mt[:k]), affine(target, features, mt, pt, mt[:k])
 
 
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T, 0)
+
+
 def transfer_components(source: np.ndarray, target: np.ndarray, k: int, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, sd, projection) of transfer component analysis with a linear kernel on a bounded sample of both sides.
+    """(mean, sd, projection) of transfer component analysis with a linear kernel on a bounded sample of both sides; the projection X'W serves all rows."""
+    mean, sd, z = _jointly(source, target)
+    return mean, sd, z.T @ _components(z @ z.T, len(source), k, mu)
 
-    The generalised problem B w = l A w is reduced by the Cholesky factor of A; the projection X'W serves all rows.
-    """
+
+def _jointly(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, spread and standardised rows of both sides together."""
     x = np.concatenate((source, target))
     mean, sd = x.mean(axis=0), x.std(axis=0)
     sd[sd < 1e-8] = 1
-    z, n = (x - mean) / sd, len(x)
-    kernel = z @ z.T
-    e = np.concatenate((np.full(len(source), 1 / len(source)), np.full(len(target), -1 / len(target))))
+    return mean, sd, (x - mean) / sd
+
+
+def _components(kernel: np.ndarray, n_source: int, k: int, mu: float) -> np.ndarray:
+    """The leading vectors of B w = l A w, reduced by the Cholesky factor of A."""
+    n, n_target = len(kernel), len(kernel) - n_source
+    e = np.concatenate((np.full(n_source, 1 / n_source), np.full(n_target, -1 / n_target)))
     a = kernel @ np.outer(e, e) @ kernel + mu * np.eye(n)
     centred = kernel - kernel.mean(axis=0)
     b = centred.T @ centred
     r = _cholesky((a + a.T) / 2)
     half = np.linalg.solve(r, (b + b.T) / 2)
     values, vectors = np.linalg.eigh((lambda m: (m + m.T) / 2)(np.linalg.solve(r, half.T)))
-    w = np.linalg.solve(r.T, vectors[:, np.argsort(-values, kind="stable")[:k]])
-    return mean, sd, z.T @ w
+    return np.linalg.solve(r.T, vectors[:, np.argsort(-values, kind="stable")[:k]])
 
 
-def tca(source: DataFrame, target: DataFrame, features: str, identity: str, components: int = 50, mu: float = 1.0, most: int = 6000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(source, target) projected. The kernel is on at most `most` rows, drawn by hash from both sides in proportion."""
+def gaussian_components(source: np.ndarray, target: np.ndarray, k: int, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+    """(mean, sd, sample, gamma, weights) with a Gaussian kernel, as wide as the median distance of sampled rows."""
+    mean, sd, z = _jointly(source, target)
+    d2 = squared_distances(z, z)
+    np.fill_diagonal(d2, 0)
+    some = d2[d2 > 1e-9]
+    gamma = float(1 / (2 * np.median(np.sqrt(some)) ** 2 + 1e-12)) if len(some) else 1.0
+    return mean, sd, z, gamma, _components(np.exp(-gamma * d2), len(source), k, mu)
+
+
+def tca_gaussian(source: DataFrame, target: DataFrame, features: str, identity: str, components: int = 50, mu: float = 1.0, most: int = 6000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(source, target) as their kernels with the sampled rows (a broadcast of at most `most` rows), times the weights."""
+    sample = _both_sides(source, target, features, identity, most, seed)
+    held = source.sparkSession.sparkContext.broadcast(gaussian_components(*sample, min(components, sum(map(len, sample))), mu))
+
+    def mapped(df: DataFrame) -> DataFrame:
+        at = df.columns.index(features)
+        schema = ", ".join(f"`{c}` {'array<double>' if c == features else t}" for c, t in df.dtypes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mean, sd, z, gamma, w = held.value
+            for batch in batches:
+                columns = list(batch.columns)
+                if len(batch):
+                    columns[at] = lists(np.exp(-gamma * squared_distances((matrix(batch.column(at)) - mean) / sd, z)) @ w)
+                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        return df.mapInArrow(run, schema)
+
+    return mapped(source), mapped(target)
+
+
+def _both_sides(source: DataFrame, target: DataFrame, features: str, identity: str, most: int, seed: int) -> list[np.ndarray]:
+    """At most `most` rows, by hash from both sides in proportion."""
     ns, nt = source.count(), target.count()
     caps = (ns, nt) if ns + nt <= most else (max(100, most * ns // (ns + nt)), max(50, most * nt // (ns + nt)))
-    sample = [matrix(df.orderBy(F.xxhash64(F.lit(seed), identity), identity).limit(n).select(features).toPandas()[features]) for df, n in zip((source, target), caps, strict=True)]
-    mean, sd, projection = transfer_components(*sample, min(components, sum(caps)), mu)
+    return [matrix(df.orderBy(F.xxhash64(F.lit(seed), identity), identity).limit(n).select(features).toPandas()[features]) for df, n in zip((source, target), caps, strict=True)]
+
+
+def tca(source: DataFrame, target: DataFrame, features: str, identity: str, components: int = 50, mu: float = 1.0, most: int = 6000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(source, target) projected. The kernel is on at most `most` rows, drawn by hash from both sides in proportion."""
+    sample = _both_sides(source, target, features, identity, most, seed)
+    mean, sd, projection = transfer_components(*sample, min(components, sum(map(len, sample))), mu)
     w = projection / sd[:, None]
     zero = np.zeros(w.shape[1])
     return affine(source, features, mean, w, zero), affine(target, features, mean, w, zero)
@@ -149,10 +204,8 @@ def _centred(source: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _on_target(method, s: DataFrame, c: DataFrame, t: DataFrame, identity: str, study) -> tuple[DataFrame, DataFrame]:
     """Fit on source and calibration rows, apply to source and final rows."""
     if method is tca:
-        ns, nt = s.count(), c.count()
-        caps = (ns, nt) if ns + nt <= study.tca_rows else (max(100, study.tca_rows * ns // (ns + nt)), max(50, study.tca_rows * nt // (ns + nt)))
-        sample = [matrix(df.orderBy(F.xxhash64(F.lit(study.seed), identity), identity).limit(n).select("features").toPandas()["features"]) for df, n in zip((s, c), caps, strict=True)]
-        mean, sd, projection = transfer_components(*sample, min(study.tca_components, sum(caps)), study.tca_mu)
+        sample = _both_sides(s, c, "features", identity, study.tca_rows, study.seed)
+        mean, sd, projection = transfer_components(*sample, min(study.tca_components, sum(map(len, sample))), study.tca_mu)
         args = (mean, projection / sd[:, None], np.zeros(projection.shape[1]))
         return affine(s, "features", *args), affine(t, "features", *args)
     (_, ms, cs), (_, mt, ct) = gram(s, "features"), gram(c, "features")

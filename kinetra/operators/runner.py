@@ -47,6 +47,8 @@ def evaluate(xs: np.ndarray, ys: np.ndarray, xc: np.ndarray, xt: np.ndarray, yt:
         sd = np.where(sd < 1e-8, 1, sd)
         return (source - mean) / sd, (target - mean) / sd
 
+    if min(len(xs), len(xt)) < 1 or (method in ("coral", "sa", "tca") and min(len(xs), len(xc)) < 2):
+        raise ValueError(f"too few rows for {method}: {len(xs)} source, {len(xc)} calibration, {len(xt)} final")
     before = shift(*z(xs, xt))
     a, t = xs, xt
     if method == "centering":
@@ -100,3 +102,29 @@ def run_folds(features: DataFrame, pool: DataFrame, folds: DataFrame, study: Stu
 
     return rows.groupBy("fold", "method", "seed", "config_hash").applyInPandas(one, RESULT)
 
+
+
+WITHIN = "subject_id int, seed int, accuracy double, balanced_accuracy double, macro_f1 double, best_alpha double, n_train int, n_test int, error string"
+
+
+def within_subject(rows: DataFrame) -> DataFrame:
+    """One result a (subject, split seed): a ridge on the subject's kept rows, tested on its held ones.
+
+    rows: subject_id, seed, y, side (held: tested), features. Scaled by the kept rows; the strength by leave-one-out
+    accuracy over the fine grid. A group is one subject's recording. An error is a row, not a failed job.
+    """
+
+    def one(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        out = dict.fromkeys([c.split()[0] for c in WITHIN.split(", ")]) | {"subject_id": key[0], "seed": key[1]}
+        train, test = got[got["side"] == "kept"], got[got["side"] == "held"]
+        out |= {"n_train": len(train), "n_test": len(test)}
+        if not len(test) or train["y"].nunique() < 2:
+            return pd.DataFrame([out | {"error": "too few rows or classes to split"}])
+        x, t = (np.array(d["features"].tolist(), float) for d in (train, test))
+        mean, sd = x.mean(axis=0), x.std(axis=0)
+        sd = np.where(sd < 1e-8, 1, sd)
+        model = ridge.fit((x - mean) / sd, train["y"].to_numpy(), ridge.FINE_ALPHAS, by_accuracy=True)
+        acc, bal, f1 = scores(test["y"].to_numpy(), model.predict((t - mean) / sd))
+        return pd.DataFrame([out | {"accuracy": acc, "balanced_accuracy": bal, "macro_f1": f1, "best_alpha": model.alpha}])
+
+    return rows.groupBy("subject_id", "seed").applyInPandas(one, WITHIN)

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 
 def hashed(seed: int, *columns: str) -> Column:
-    return F.xxhash64(F.lit(seed), *columns)
+    """An order that looks random and that any engine can compute: md5 of seed and values, joined by colons."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
 def repetition_split(df: DataFrame, label: str, rep: str, share: float, order: Column | None = None, seed: int = 42, least: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -96,14 +96,14 @@ def paired_effects(paired: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def signed_ranks(paired: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
-    """w_plus, w_minus over non-zero differences, the rank-biserial effect over all of them, and the exact p on request."""
+    """w_plus, w_minus over non-zero differences, the rank-biserial effect over all of them, and p on request (exact up to 50 without ties)."""
     sized = paired.withColumn("_a", F.abs("d"))
     sized = sized.withColumn("_all", average_rank(keys, "_a", descending=False))
     some = sized.where("d <> 0").withColumn("_r", average_rank(keys, "_a", descending=False))
     effect = sized.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("_all")).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col("d") < 0, F.col("_all")).otherwise(0.0)).alias("_m"))
-    ranks = some.groupBy(*keys).agg(F.count("*").alias("n_nonzero"), F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"))
+    ranks = some.groupBy(*keys).agg(F.count("*").alias("n_nonzero"), F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("_r") * F.col("_r")).alias("_q"))
     out = effect.join(ranks, keys, "left").withColumn("rank_biserial", 1 - 2 * F.least("_p", "_m") / (F.col("n") * (F.col("n") + 1) / 2)).drop("_p", "_m")
-    return out.withColumn("p", F.when(F.col("n_nonzero").isNull(), 1.0).otherwise(signed_rank_udf(F.least("w_plus", "w_minus"), "n_nonzero"))) if exact else out
+    return out.withColumn("p", F.when(F.col("n_nonzero").isNull(), 1.0).otherwise(signed_rank_udf(F.least("w_plus", "w_minus"), "n_nonzero", "_q"))).drop("_q") if exact else out.drop("_q")
 
 
 def holm_sidak(df: DataFrame, family: list[str], p: str, ties: list[str]) -> DataFrame:

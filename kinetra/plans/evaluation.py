@@ -191,13 +191,19 @@ def _(spark, d):
     return s.groupBy("db", "method").agg(F.round(F.avg("a"), 4).alias("mean"), F.round(F.stddev_pop("a"), 4).alias("sd"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("seed")), lambda x: x.cast("string"))).alias("seeds"))
 
 
-@query("ag36_window_ablation")
+def _width_sql(width: int) -> str:
+    step = width // 2
+    return f"""SELECT CAST({width} AS INT) AS width, count(*) AS n, round(avg(m), 6) AS mean FROM (SELECT subject_id, w, avg(value) AS m
+ FROM (SELECT *, unnest(generate_series(CAST(greatest(0, ceil((i - {width - 1}) / {step}.0)) AS BIGINT), CAST(floor(i / {step}.0) AS BIGINT))) AS w FROM sig) GROUP BY 1, 2 HAVING count(*) = {width})"""
+
+
+@query("ag36_window_ablation", f"WITH {B.SIG} " + " UNION ALL ".join(_width_sql(w) for w in (8, 16, 32)))
 def _(spark, d):
     from kinetra.operators import segment
 
     out = None
     for width in (8, 16, 32):  # each width is a plan of its own over one scan
-        part = segment.windows(B.signal(spark, d), ["subject_id"], width, 0.5, [F.avg("value").alias("m")]).agg(F.count("*").alias("n"), F.avg("m").alias("mean")).withColumn("width", F.lit(width))
+        part = segment.windows(B.signal(spark, d), ["subject_id"], width, 0.5, [F.avg("value").alias("m")]).agg(F.count("*").alias("n"), *r6(mean=F.avg("m"))).withColumn("width", F.lit(width))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -386,9 +392,12 @@ def _(spark, d):
     return row(fr, "friedman", None, None, "chi2", "p").unionByName(row(wil, "wilcoxon", "a", "b", "w_plus", "p_adjusted")).unionByName(row(nem, "nemenyi", "a", "b", "rank_diff", None)).unionByName(row(nem.select("db", "cd").distinct(), "CD", None, None, "cd", None))
 
 
-@query("snk2_g6", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS size FROM part")
+@query("snk2_g6", "SELECT p_partkey, printf('%.6g', v) AS v, printf('%.6g', w) AS w FROM (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS v, (p_partkey % 7 - 3) * pow(10.0, p_partkey % 23 - 11) * 1.25 AS w FROM part)")
 def _(spark, d):
-    return B.table(spark, d, "part").select("p_partkey", F.format_string("%d", "p_size").alias("size"))
+    from kinetra.sources.results import g6
+
+    w = (F.col("p_partkey") % 7 - 3) * F.pow(F.lit(10.0), F.col("p_partkey") % 23 - 11) * 1.25
+    return B.table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("v"), w.alias("w")).select("p_partkey", *g6("v", "w"))
 
 
 @query("snk12_phantom_row", "SELECT s_suppkey FROM supplier WHERE s_suppkey < 41")

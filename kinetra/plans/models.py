@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from kinetra.config import INFERENTIAL, Study
+from kinetra.config import INFERENTIAL, SEEDS, Study
 from kinetra.operators import adapt, ridge, rocket, runner, scale, split
 from kinetra.plans import bindings as B
 from kinetra.plans.registry import query, r6
@@ -66,6 +66,18 @@ def _(spark, d):
     return a.unionByName(b)
 
 
+@query("ml16_tca_gaussian")
+def _(spark, d):
+    a, b = adapt.tca_gaussian(_role(spark, d, "source"), _role(spark, d, "calibration"), "features", "vec_id", 16, most=1500)
+    return a.unionByName(b)
+
+
+@query("ml8_ridge_all_rows")
+def _(spark, d):
+    """Fitted on all source rows by sums on Spark; no sample."""
+    return ridge.predict(_role(spark, d, "final"), ridge.fit_all(_role(spark, d, "source")), keep=("vec_id", "y"))
+
+
 @query("ml18_dispatch")
 def _(spark, d):
     s, c, t = (_role(spark, d, r) for r in ("source", "calibration", "final"))
@@ -124,14 +136,14 @@ def _(spark, d):
     return B.channels(spark, d).select("subject_id", "window_id", F.round(share, 6).alias("ppv"))
 
 
-def _study(spark, d, methods, study):
+def _study(spark, d, methods, study, seeds=None):
     w = _windows(spark, d).where("y > 0")
     f = rocket.Extractor("custom_ppv", 32).fit(w, "x", "row_id", 2).transform(w, "x")
     sides = split.repetition_split(w, "y", "rep", study.calibration, keys=("subject_id",))
     rows = f.join(sides.select("subject_id", "y", "rep", "side"), ["subject_id", "y", "rep"]).withColumn("subject_id", F.col("subject_id").cast("int"))
     counts = rows.groupBy("subject_id").agg(F.count("*").alias("n"))
     pool = split.source_pool(counts, counts.select(F.col("subject_id").alias("fold")), study.pool).select("fold", "subject_id")
-    grid = spark.createDataFrame([(m, study.seed) for m in methods], "method string, seed int")
+    grid = spark.createDataFrame([(m, s) for m in methods for s in seeds or (study.seed,)], "method string, seed int")
     folds = counts.select("subject_id").crossJoin(F.broadcast(grid)).withColumn("config_hash", runner.config_hash(study, "custom_ppv"))
     return runner.run_folds(rows, pool, runner.pending(folds, None), study)
 
@@ -141,6 +153,26 @@ def _(spark, d):
     return _study(spark, d, INFERENTIAL, Study(tca_components=8, sa_components=8, tca_rows=600, pool=2000))
 
 
+@query("ex7_multi_seed")
+def _(spark, d):
+    """Per method: each seed's mean over subjects, then mean and spread over seeds."""
+    rows = _study(spark, d, ("raw", "coral"), Study(pool=2000), SEEDS).where("error is null")
+    return rows.groupBy("method", "seed").agg(F.avg("accuracy").alias("a")).groupBy("method").agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("sd"), F.count("*").alias("seeds"))
+
+
+@query("ex6_within_subject")
+def _(spark, d):
+    """Every subject, two split seeds: repetitions of each class are held out, never single windows."""
+    w = _windows(spark, d).where("y > 0")
+    f = rocket.Extractor("custom_ppv", 32).fit(w, "x", "row_id", 2).transform(w, "x")
+    sides = None
+    for seed in SEEDS[:2]:
+        part = split.repetition_split(w, "y", "rep", Study().test_share, seed=seed, keys=("subject_id",)).withColumn("seed", F.lit(seed))
+        sides = part if sides is None else sides.unionByName(part)
+    rows = f.join(sides.select("subject_id", "y", "rep", "side", "seed"), ["subject_id", "y", "rep"])
+    return runner.within_subject(rows.select(F.col("subject_id").cast("int").alias("subject_id"), "seed", "y", "side", "features"))
+
+
 @query("ex8_sensitivity")
 def _(spark, d):
     out = None

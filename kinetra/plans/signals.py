@@ -144,10 +144,14 @@ def _(spark, d):
     return split.source_pool(counts, folds, 100)
 
 
-@query("w8_repetition_packing")
+@query("w8_repetition_packing", f"""WITH {B.SIG}, {B.WIN}, r AS (SELECT subject_id, rep, count(*) AS n FROM win GROUP BY 1, 2),
+ l AS (SELECT subject_id, list({{'total': n, 'reps': CAST(rep AS VARCHAR)}} ORDER BY md5('42:' || CAST(rep AS VARCHAR)), rep) AS x FROM r GROUP BY 1),
+ p AS (SELECT subject_id, list_reduce(x, lambda a, b: CASE WHEN a.total + b.total <= 6 THEN {{'total': a.total + b.total, 'reps': a.reps || ',' || b.reps}} ELSE a END) AS p FROM l)
+ SELECT subject_id, CAST(p.total AS BIGINT) AS total, p.reps AS reps FROM p""")
 def _(spark, d):
-    reps = B.windows(spark, d).groupBy("subject_id", "rep").agg(F.count("*").alias("n")).withColumn("o", F.xxhash64(F.lit(42), "rep"))
-    return split.pack_repetitions(reps, ["subject_id"], 6, "o")
+    reps = B.windows(spark, d).groupBy("subject_id", "rep").agg(F.count("*").alias("n")).withColumn("o", split.hashed(42, "rep"))
+    packed = split.pack_repetitions(reps, ["subject_id"], 6, "o")
+    return packed.select("subject_id", "total", F.concat_ws(",", F.transform("reps", lambda r: r.cast("string"))).alias("reps"))
 
 
 @query("jn5_broadcast_lookup", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -200,7 +204,9 @@ def _(spark, d):
     return _split(spark, d)
 
 
-@query("sp1_hashed_repetition_split")
+@query("sp1_hashed_repetition_split", f"""WITH {B.SIG}, {B.WIN}, u AS (SELECT DISTINCT subject_id, y, rep FROM win), k AS (SELECT *, count(*) OVER (PARTITION BY subject_id, y) AS n,
+ row_number() OVER (PARTITION BY subject_id, y ORDER BY md5('42:' || CAST(y AS VARCHAR) || ':' || CAST(rep AS VARCHAR)), rep) AS r FROM u)
+ SELECT subject_id, y, rep, CASE WHEN n >= 2 AND r <= least(greatest(1, CAST(round_even(n * 0.5, 0) AS INT)), n - 1) THEN 'held' ELSE 'kept' END AS side, n < 2 AS warned FROM k""")
 def _(spark, d):
     return split.repetition_split(B.windows(spark, d), "y", "rep", 0.5, keys=("subject_id",))
 
@@ -221,12 +227,12 @@ def _(spark, d):
     return split.stratified(B.table(spark, d, "lineitem"), "l_returnflag", 50, ["l_orderkey"], ("l_suppkey",)).groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query("sp3_exact_sample")
+@query("sp3_exact_sample", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 500")
 def _(spark, d):
     return split.exact_sample(B.table(spark, d, "orders"), 500, 42, "o_orderkey").select("o_orderkey")
 
 
-@query("sp4_subject_subset")
+@query("sp4_subject_subset", "SELECT n_nationkey FROM nation ORDER BY md5('42:' || CAST(n_nationkey AS VARCHAR)), n_nationkey LIMIT 5")
 def _(spark, d):
     return split.exact_sample(B.table(spark, d, "nation"), 5, 42, "n_nationkey").select("n_nationkey")
 

@@ -65,8 +65,17 @@ def rename_shift_keys(experiments: DataFrame, names: dict[str, str]) -> DataFram
 
 
 def g6(*columns: str) -> list:
-    """Doubles as text with six significant digits."""
-    return [F.format_string("%.6g", c).alias(c) for c in columns]
+    """Doubles as text with six significant digits, without trailing zeros; beyond 1e-4 and 1e6 with an exponent."""
+
+    def text(c: str):
+        parts = F.split(F.format_string("%.5e", c), "e")  # 1.25000e+02
+        bare = lambda x: F.when(x.contains("."), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x)
+        out = F.concat(bare(parts[0]), F.lit("e"), parts[1])
+        for e in range(-4, 6):
+            out = F.when(parts[1].cast("int") == e, bare(F.format_string(f"%.{5 - e}f", c))).otherwise(out)
+        return F.when(F.col(c) == 0, F.lit("0")).otherwise(out).alias(c)
+
+    return [text(c) for c in columns]
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
@@ -84,11 +93,24 @@ def read_features(spark: SparkSession, path: str, config_hash: str) -> DataFrame
     return spark.read.parquet(path).where(F.col("config_hash") == config_hash)
 
 
-def latex(df: DataFrame, caption: str, most: int = 200) -> str:
-    """A small table as LaTeX."""
-    rows = df.limit(most).collect()
-    cell = lambda x: "---" if x is None else f"{x:.2f}" if isinstance(x, float) else str(x).replace("_", r"\_")
-    body = " \\\\\n".join(" & ".join(cell(x) for x in r) for r in rows)
+def latex(df: DataFrame, caption: str, p: str | None = None, best: str | None = None, most: int = 200) -> str:
+    """A small table as LaTeX: an em dash for null and NaN, stars after column p, the row with the greatest `best` in bold.
+
+    More than `most` rows are an error: such a table is no page's.
+    """
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows")
+    stars = lambda x: "".join("*" for cut in (0.05, 0.01, 0.001) if x < cut)
+    top = max((r[best] for r in rows if r[best] is not None), default=None) if best else None
+
+    def cell(name: str, x, bold: bool) -> str:
+        if x is None or x != x:
+            return "---"
+        text = ("$<$0.001" if x < 0.001 else f"{x:.3f}") + stars(x) if name == p else f"{x:.2f}" if isinstance(x, float) else str(x).replace("_", r"\_")
+        return rf"\textbf{{{text}}}" if bold else text
+
+    body = " \\\\\n".join(" & ".join(cell(c, r[c], top is not None and r[best] == top) for c in df.columns) for r in rows)
     return f"\\begin{{table}}\n\\caption{{{caption}}}\n\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{' & '.join(c.replace('_', ' ') for c in df.columns)} \\\\\n\\hline\n{body} \\\\\n\\end{{tabular}}\n\\end{{table}}\n"
 
 
@@ -99,3 +121,16 @@ def drop_phantom_row(df: DataFrame, order: str, values: list[str], rows: int = 4
     for v in values:
         zero &= F.col(v) == 0
     return df.crossJoin(F.broadcast(last)).where(~((F.col(order) == F.col("_last")) & (F.col("_n") == rows) & zero)).drop("_last", "_n")
+
+
+def write_experiments(folds: DataFrame, path: str, *keys: str) -> None:
+    """Experiments as JSON lines: one a group of keys, with its summary over folds without an error and its folds."""
+    good = lambda c: F.when(F.col("error").isNull(), F.col(c))
+    summary = F.struct(F.avg(good("accuracy")).alias("mean"), F.stddev_pop(good("accuracy")).alias("std"), F.avg(good("balanced_accuracy")).alias("balanced_accuracy_mean"), F.avg(good("macro_f1")).alias("macro_f1_mean"))
+    own = [c for c in folds.columns if c not in keys]
+    folds.groupBy(*keys).agg(summary.alias("summary"), F.sort_array(F.collect_list(F.struct(*own))).alias("per_subject")).write.mode("overwrite").json(path)
+
+
+def write_importance(importance: DataFrame, path: str) -> None:
+    """Kernel importance by fold: zstd Parquet, one folder a database and method."""
+    importance.write.mode("overwrite").option("compression", "zstd").partitionBy("database", "method").parquet(path)

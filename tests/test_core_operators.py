@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ def test_special_functions():
     assert abs(special.t_quantile(0.975, 10) - 2.228139) < 1e-5
     assert abs(special.f_tail(4.0, 3, 20) - 0.022084) < 1e-5
     assert abs(special.t_tail(2.0, 5) - 0.101939) < 1e-5
-    assert special.signed_rank_p(0, 5) == 2 / 32 and special.signed_rank_p(7.5, 5) == 1.0
+    assert special.signed_rank_p(0, 5, 55) == 2 / 32 and special.signed_rank_p(7.5, 5, 54.5) == 1.0
 
 
 def test_statistics_on_known_rows(spark):
@@ -197,3 +198,88 @@ def test_count_windows_on_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.user_id, r.window_id): r["mean"] for r in spark.sql("select * from counted").collect()}
     assert len(got) == 2 * 5 and got[(0, 1)] == np.mean(np.arange(0, 50, 2)[4:12])
+
+
+#: dimensions, source rows, target rows, mean offset, spreads of both sides, seed -> covariance distance before, after (fixed published values)
+SYNTHETIC = [
+    (8, 20000, 20000, 1.0, 1.0, 1.6, 0, 96.4995, 1.27837),
+    (20, 20000, 5000, 2.0, 1.0, 1.5, 1, 261.934, 20.074),
+    (100, 20000, 5000, 1.0, 1.0, 2.5, 2, 8536.75, 1260.75),
+    (200, 20000, 5000, 0.5, 0.5, 1.2, 3, 5342.43, 1148.95),
+    (100, 20000, 3000, 3.0, 0.3, 3.0, 4, 12599.1, 2392.33),
+]
+
+
+@pytest.mark.parametrize("case", SYNTHETIC)
+def test_coral_meets_the_published_synthetic_distances(spark, case):
+    d, ns, nt, offset, spread_s, spread_t, seed, want_before, want_after = case
+    rng = np.random.RandomState(seed)
+    roots = [rng.standard_normal((d, d)) * spread for spread in (spread_s, spread_t)]
+    cs, ct = (a @ a.T + 0.01 * np.eye(d) for a in roots)
+    xs, xc, xt = (rng.multivariate_normal(np.full(d, m), c, n) for m, c, n in ((0, cs, ns), (offset, ct, nt), (offset, ct, nt)))
+    frame = lambda x: spark.createDataFrame(pa.table({"features": adapt.lists(x)}))
+    source, target = frame(xs), adapt.gram(frame(xt), "features")[2]
+    distance = lambda df: float(np.linalg.norm(adapt.gram(df, "features")[2] - target))
+    after = distance(adapt.coral(source, frame(xc), "features", 1e-3))
+    assert abs(distance(source) / want_before - 1) < 1e-4 and abs(after / want_after - 1) < 1e-3
+
+
+def test_ridge_on_all_rows_is_the_ridge_of_its_strength(spark):
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 3, 300)
+    x = rng.normal(size=(300, 6)) + np.eye(6)[y] * 2
+    df = spark.createDataFrame(pa.table({"features": adapt.lists(x), "y": pa.array(y)}))
+    model = ridge.fit_all(df, alphas=np.array([2.0]))
+    plain = ridge.fit(x, y, np.array([2.0]))
+    assert np.allclose(model.coef, plain.coef) and np.allclose(model.intercept, plain.intercept)
+    t = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    hat = lambda a: (c := x - x.mean(axis=0)) @ np.linalg.solve(c.T @ c + a * np.eye(6), c.T) + 1 / 300
+    gcv = lambda a: (((t - hat(a) @ t) ** 2).sum() / 300) / (1 - np.trace(hat(a)) / 300) ** 2
+    assert ridge.fit_all(df).alpha == min(ridge.ALPHAS, key=gcv)
+    left = [ridge.fit(np.delete(x, i, 0), np.delete(y, i), np.array([5.0])).predict(x[i : i + 1])[0] == y[i] for i in range(300)]
+    c = x - x.mean(axis=0)
+    h = np.diag(hat(5.0))
+    loo = t - (t - hat(5.0) @ t) / (1 - h)[:, None]
+    assert abs(np.mean(left) - (loo.argmax(axis=1) == y).mean()) < 0.01 and len(c)
+
+
+def test_gaussian_transfer_components(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(40, 5)), rng.normal(1, 2, size=(30, 5))
+    frame = lambda x, s: spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(x)) + s), "features": adapt.lists(x)}))
+    s, t = adapt.tca_gaussian(frame(a, 0), frame(b, 100), "features", "id", 3)
+    got = np.array([r.features for r in s.unionByName(t).orderBy("id").collect()])
+    x = np.concatenate((a, b))
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d = np.array([[np.linalg.norm(p - q) for q in z] for p in z])
+    k = np.exp(-d**2 / (2 * np.median(d[d > 0]) ** 2))
+    e = np.array([1 / 40] * 40 + [-1 / 30] * 30)
+    low = np.linalg.cholesky(k @ np.outer(e, e) @ k + np.eye(70))
+    centre = np.eye(70) - 1 / 70
+    values, vectors = np.linalg.eigh(np.linalg.solve(low, np.linalg.solve(low, (k @ centre @ k).T).T))
+    want = k @ np.linalg.solve(low.T, vectors[:, ::-1][:, :3])
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_signed_rank_p_by_enumeration_and_with_ties():
+    from itertools import product
+
+    for n, w in ((4, 1), (8, 9), (10, 20)):
+        sums = [sum(r for r, s in zip(range(1, n + 1), signs, strict=True) if s) for signs in product((0, 1), repeat=n)]
+        assert abs(special.signed_rank_p(w, n, n * (n + 1) * (2 * n + 1) / 6) - min(1, 2 * np.mean([x <= w for x in sums]))) < 1e-12
+    ranks = [1.5, 1.5, 3, 4.5, 4.5, 6]
+    z = (4.5 - 10.5) / (sum(r * r for r in ranks) / 4) ** 0.5
+    assert abs(special.signed_rank_p(4.5, 6, sum(r * r for r in ranks)) - special.normal_tail(z)) < 1e-12
+    assert 0 < special.signed_rank_p(4_000_000, 5000, 5000 * 5001 * 10001 / 6) < 1
+
+
+def test_latex_and_experiment_files(spark, tmp_path):
+    df = spark.createDataFrame([("raw", 20.5, 0.2), ("coral", 22.25, 0.0004), ("sa", float("nan"), None)], "method string, acc double, p double")
+    text = results.latex(df, "c", p="p", best="acc")
+    assert r"\textbf{22.25}" in text and "$<$0.001***" in text and "0.200" in text and text.count("---") == 2
+    with pytest.raises(ValueError):
+        results.latex(spark.range(300), "c")
+    folds = spark.createDataFrame([("db7", "raw", 1, 0.5, 0.4, 0.3, None), ("db7", "raw", 2, None, None, None, "bad")], "database string, method string, subject_id int, accuracy double, balanced_accuracy double, macro_f1 double, error string")
+    results.write_experiments(folds, str(tmp_path / "e"), "database", "method")
+    row = spark.read.json(str(tmp_path / "e")).first()
+    assert row.summary.mean == 0.5 and len(row.per_subject) == 2
