@@ -6,11 +6,11 @@ the next one's docs.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinetra.llm.common import shared_folder
 from kinetra.llm.decontaminate import clean_stage
 from kinetra.llm.language import language_stage
 from kinetra.llm.mixing import mix_stage
@@ -25,13 +25,17 @@ STAGES = [
     ("mixing", mix_stage),
 ]
 
-#: The suffix and language stages are beyond SQL; tests/llm holds the pipeline against a brute-force version.
+#: The suffix and language stages are beyond SQL; tests/llm holds run() against a brute-force version of all five.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. Each stage's table stays in the shared folder, where a lost executor finds it again.
+
+    Rows may have null or repeated ids, null, empty or very long texts and columns of any name; each stage says what
+    becomes of them. No documents give no rows.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")

@@ -23,14 +23,22 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables between jobs go: the session's spark.checkpoint.dir. Where that is unset a local master (tests) gets
+    a temporary folder; on a cluster it is an error, since each executor would write to its own disk."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -56,14 +64,9 @@ def slices(batches, most_bytes: int, name: str = "text"):
 
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared checkpoint folder and read it back: for tables too wide to checkpoint as rows."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    base = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, most: int) -> DataFrame:

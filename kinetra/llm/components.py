@@ -28,7 +28,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) integer edges in any order -> (node, root), root the least node reachable; roots themselves are left out.
 
     Each round is checkpointed. It ends when a round changes nothing, told by a count and a sum of row hashes.
-    An empty edge table gives an empty result; loops and repeated edges have no effect.
+    An empty edge table gives an empty result; loops and repeated edges have no effect. Rounds grow with the logarithm
+    of a component's size; one that does not settle in `rounds` (beyond any size that fits on disk) is an error.
     """
     now = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None

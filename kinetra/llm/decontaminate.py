@@ -249,7 +249,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
 
 def clean_stage(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.5, overlap: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents that have no item of the benchmark table; rows and columns pass through unshuffled."""
+    """Pipeline stage: documents that have no item of the benchmark table; rows and columns pass through unshuffled.
+
+    Null and empty texts have no item and stay, as do null ids, repeated rows and columns of any name. Without items all
+    rows stay; no rows give no rows.
+    """
     for index in indexes(table(spark, sf_dir, "benchmark")):
         held = spark.sparkContext.broadcast(index)
 

@@ -122,7 +122,8 @@ def mix(docs: DataFrame, block: int = 32, shards: int = 256, seed: int = 17, sha
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of docs that the mix takes words of, with size, source_size, target and taken beside.
 
-    Columns of docs that have one of these names are replaced.
+    Columns of docs that have one of these names are replaced. Null and empty texts have no words and go; null ids and
+    sources stay, a null source being one of its own; repeated rows are drawn each. No rows give no rows.
     """
     own = ("size", "source_size", "target", "taken")
     return mix(docs, carry=tuple(c for c in docs.columns if c not in own)).where("taken > 0")

@@ -148,7 +148,8 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component exactly one row stays, the least by (doc_id, hash of the row), null ids last.
 
     Rows are told apart by id and hash, so that rows that repeat an id, or have none, are each decided by their own
-    component. Rows equal in all columns shrink to one.
+    component. Rows equal in all columns shrink to one. Null and empty texts are one component; other columns pass
+    through, whatever their names, but _id, _h. No rows give no rows.
     """
     own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_h": F.xxhash64("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])})
     rows = durable(fingerprints(own, keep=("_id", "_h")).groupBy("doc_id", "_id", "_h", "fp").agg(F.count("*").alias("n")))
