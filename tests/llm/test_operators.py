@@ -551,3 +551,19 @@ def test_viterbi_is_the_best_labelling():
     score = lambda s: field.start[s[0]] + sum(e[i] * s[i] for i in range(7)) + sum(field.moves[s[i], s[i + 1]] for i in range(6))
     best = max((tuple(k >> i & 1 for i in range(7)) for k in range(128)), key=score)
     assert tuple(field.decode(blocks)) == best
+
+
+def test_lm_tree_shares_first_bytes():
+    """Sums over shared bytes equal those byte by byte: long, nested and repeated words, zero bytes, in any order."""
+    rng = np.random.default_rng(3)
+    words = [b"".join(rng.choice([b"a", b"b", b"\0", b"long" * 20], size=rng.integers(0, 6)).tolist()) for _ in range(300)] + [mixing_lm.END]
+    counts = rng.integers(1, 9, len(words))
+    table, plain = (np.zeros((int(mixing_lm.OFFSETS[-1]), 2), np.int64) for _ in range(2))
+    mixing_lm.tally(words, counts, table, 700)
+    for w, c in zip(words, counts, strict=True):
+        for _, slots, bit in mixing_lm.Stream([w]).bits():
+            for row in slots:
+                np.add.at(plain, (row, bit), c)
+    assert (table == plain).all()
+    model = mixing_lm.Model(rng.normal(size=len(table)).astype(np.float16), rng.integers(0, mixing_lm.KNOWN, len(table)).astype(np.uint8))
+    np.testing.assert_allclose(model.score(words, 700), [model.score([w])[0] for w in words])
