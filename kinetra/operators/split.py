@@ -34,12 +34,22 @@ def split_summary(assigned: DataFrame, label: str, rep: str) -> DataFrame:
     return assigned.groupBy("side").agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes"), F.count_distinct(rep).alias("reps"))
 
 
-def stratified(df: DataFrame, label: str, most: int, order: list, keys: tuple[str, ...] = ()) -> DataFrame:
-    """At most `most` rows of each keys group: floor of each class's share, one at least; all if there are no more."""
-    group, part = Window.partitionBy(*keys, F.lit(0)), Window.partitionBy(*keys, label)
-    sized = df.withColumns({"_n": F.count("*").over(group), "_c": F.count("*").over(part), "_k": F.row_number().over(part.orderBy(*order))})
-    quota = F.greatest(F.lit(1), F.floor(F.col("_c") / F.col("_n") * most))
-    return sized.where((F.col("_n") <= most) | (F.col("_k") <= quota)).drop("_n", "_c", "_k")
+def stratified(df: DataFrame, label: str, most: int, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """At most `most` rows of each keys group: floor of each class's share, one at least; all if there are no more.
+
+    No class gives more than its first `most` rows, so these are found within salted parts of it first: a class with
+    a large share of all rows is not one task's. Sizes are counts by class, joined to what is left.
+    """
+    part = [*keys, label]
+    salt = F.pmod(F.xxhash64(*order), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = df.withColumn("_salt", salt).withColumn("_k", rank(*part, "_salt")).where(F.col("_k") <= most)
+    ranked = first.withColumn("_k", rank(*part)).where(F.col("_k") <= most)
+    classes = df.groupBy(*part).agg(F.count("*").alias("_c"))
+    sizes = classes.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys, F.lit(0)))).select(*[F.col(c).alias(f"_of_{c}") for c in part], "_c", "_n")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part]
+    quota = F.when(F.col("_n") <= most, F.lit(most)).otherwise(F.greatest(F.lit(1), F.floor(F.col("_c") / F.col("_n") * most)))
+    return ranked.join(sizes, same).where(F.col("_k") <= quota).select(*df.columns)
 
 
 def exact_sample(df: DataFrame, n: int, seed: int, *identity: str) -> DataFrame:
@@ -50,11 +60,18 @@ def exact_sample(df: DataFrame, n: int, seed: int, *identity: str) -> DataFrame:
 def source_pool(counts: DataFrame, folds: DataFrame, cap: int, subject: str = "subject_id", n: str = "n") -> DataFrame:
     """(fold, subject, n): sources of each fold in order of id until their windows reach the cap; the one that reaches it is in.
 
-    counts: one row a subject; folds: one row a held-out subject. The window runs over counts, never over features.
+    counts: one row a subject, subjects without windows are passed over; folds: one row a held-out subject. A subject
+    has a window at least, so every fold's pool lies among the first cap + (windows of the largest subject) subjects:
+    these alone are summed up and broadcast, and each fold leaves its own windows out of the sums after it.
     """
-    pairs = folds.join(counts, counts[subject] != folds["fold"])  # every subject but the held-out one: a grid of counts
-    before = F.sum(n).over(Window.partitionBy("fold").orderBy(subject)) - F.col(n)
-    return pairs.withColumn("_before", before).where(F.col("_before") < cap).drop("_before")
+    some = counts.where(F.col(n) > 0).select(subject, n)
+    bound = cap + int(some.agg(F.max(n)).first()[0] or 0)
+    first = some.orderBy(subject).limit(bound)
+    first = first.withColumn("_before", F.sum(n).over(Window.partitionBy(F.lit(0)).orderBy(subject)) - F.col(n)).where(F.col("_before") < bound)
+    own = some.select(F.col(subject).alias("fold"), F.col(n).alias("_own"))
+    held = folds.join(own, "fold", "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
+    before = F.col("_before") - F.when(F.col("fold") < F.col(subject), F.col("_own")).otherwise(0)
+    return held.join(F.broadcast(first), (F.col("fold") != F.col(subject)) & (before < cap)).drop("_before", "_own")
 
 
 def pack_repetitions(reps: DataFrame, keys: list[str], cap: int, order: str, size: str = "n", rep: str = "rep") -> DataFrame:

@@ -400,13 +400,14 @@ def _(spark, d):
     return B.table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("v"), w.alias("w")).select("p_partkey", *g6("v", "w"))
 
 
-@query("snk12_phantom_row", "SELECT s_suppkey FROM supplier WHERE s_suppkey < 41")
+@query("snk12_phantom_row", "SELECT s_suppkey FROM supplier WHERE s_suppkey < (SELECT max(s_suppkey) FROM supplier)")
 def _(spark, d):
     from kinetra.sources.results import drop_phantom_row
 
-    own = B.table(spark, d, "supplier").where("s_suppkey <= 41").withColumn("v", F.when(F.col("s_suppkey") == 41, 0.0).otherwise(1.0))
-    low = own.agg(F.min("s_suppkey")).first()[0] or 0
-    return drop_phantom_row(own, "s_suppkey", ["v"], rows=41 - low + 1).select("s_suppkey")
+    own = B.table(spark, d, "supplier")
+    last, n = own.agg(F.max("s_suppkey"), F.count("*")).first()
+    own = own.withColumn("v", F.when(F.col("s_suppkey") == last, 0.0).otherwise(1.0))  # the whole table, its last row made empty
+    return drop_phantom_row(own, "s_suppkey", ["v"], rows=n).select("s_suppkey")
 
 
 @query("so3_limits", "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")

@@ -137,11 +137,10 @@ def _(spark, d):
 
 
 @query("w7_source_pool", f"""WITH {B.SIG}, {B.WIN}, c AS (SELECT subject_id, count(*) AS n FROM win GROUP BY subject_id),
- f AS (SELECT subject_id AS fold FROM c WHERE subject_id % 10 = 0) SELECT fold, subject_id, n FROM (SELECT f.fold, c.subject_id, c.n, sum(c.n) OVER (PARTITION BY f.fold ORDER BY c.subject_id) - c.n AS before FROM f JOIN c ON c.subject_id <> f.fold) WHERE before < 100""")
+ f AS (SELECT subject_id AS fold FROM c) SELECT fold, subject_id, n FROM (SELECT f.fold, c.subject_id, c.n, sum(c.n) OVER (PARTITION BY f.fold ORDER BY c.subject_id) - c.n AS before FROM f JOIN c ON c.subject_id <> f.fold) WHERE before < 100""")
 def _(spark, d):
     counts = B.windows(spark, d).groupBy("subject_id").agg(F.count("*").alias("n"))
-    folds = counts.where("subject_id % 10 = 0").select(F.col("subject_id").alias("fold"))
-    return split.source_pool(counts, folds, 100)
+    return split.source_pool(counts, counts.select(F.col("subject_id").alias("fold")), 100)
 
 
 @query("w8_repetition_packing", f"""WITH {B.SIG}, {B.WIN}, r AS (SELECT subject_id, rep, count(*) AS n FROM win GROUP BY 1, 2),
@@ -216,10 +215,9 @@ def _(spark, d):
     return split.split_summary(B.windows(spark, d).join(F.broadcast(_split(spark, d)), ["y", "rep"]), "y", "rep")
 
 
-@query("sp2_stratified_subsample", "SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY l_returnflag) AS c, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem WHERE l_suppkey = 1) WHERE n <= 100 OR r <= greatest(1, floor(c / n * 100))")
+@query("sp2_stratified_subsample", "SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY l_returnflag) AS c, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem) WHERE n <= 100 OR r <= greatest(1, floor(c / n * 100))")
 def _(spark, d):
-    own = B.table(spark, d, "lineitem").where("l_suppkey = 1")
-    return split.stratified(own, "l_returnflag", 100, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber")
+    return split.stratified(B.table(spark, d, "lineitem"), "l_returnflag", 100, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber")
 
 
 @query("sp2_stratified_by_subject", "SELECT l_suppkey, l_returnflag, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS m, count(*) OVER (PARTITION BY l_suppkey, l_returnflag) AS c, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey) AS r FROM lineitem) WHERE m <= 50 OR r <= greatest(1, floor(c / m * 50)) GROUP BY 1, 2")

@@ -1,5 +1,6 @@
 """Properties of the operators that SQL cannot check, and small cases with known answers."""
 
+import random
 import struct
 
 import numpy as np
@@ -283,3 +284,32 @@ def test_latex_and_experiment_files(spark, tmp_path):
     results.write_experiments(folds, str(tmp_path / "e"), "database", "method")
     row = spark.read.json(str(tmp_path / "e")).first()
     assert row.summary.mean == 0.5 and len(row.per_subject) == 2
+
+
+def test_stratified_against_brute_force(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([1, 2, None]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "y string, k int, i int")
+    for most in (40, 1000):
+        want = []
+        for k in (1, 2, None):
+            group = [r for r in rows if r[1] == k]
+            for y in ("a", "b", None):
+                own = [r[2] for r in group if r[0] == y]
+                want += own if len(group) <= most else own[: max(1, int(len(own) / len(group) * most))]
+        assert sorted(r.i for r in split.stratified(df, "y", most, ["i"], ("k",)).collect()) == sorted(want)
+
+
+def test_source_pool_against_brute_force(spark):
+    rnd = random.Random(2)
+    sizes = [(i, rnd.randrange(9)) for i in rnd.sample(range(1000), 120)]
+    counts = spark.createDataFrame(sizes, "subject_id int, n bigint")
+    got = split.source_pool(counts, counts.selectExpr("subject_id as fold"), 30).select("fold", "subject_id", "n")
+    want = []
+    for fold, _ in sizes:
+        taken = 0
+        for i, n in sorted(sizes):
+            if i != fold and n and taken < 30:
+                want.append((fold, i, n))
+                taken += n
+    assert sorted(map(tuple, got.collect())) == sorted(want)
