@@ -7,14 +7,18 @@ from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.config import Study
 from kinetra.operators import adapt as A
 from kinetra.operators import ridge
+from kinetra.operators.adapt import matrix
 
 RESULT = "subject_id int, method string, seed int, accuracy double, balanced_accuracy double, macro_f1 double, best_alpha double, cov_before double, cov_after double, mmd_before double, mmd_after double, n_train int, n_calibration int, n_test int, config_hash string, error string"
+RESULT_ARROW = pa.schema([(n, {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}[t]) for n, t in (c.split() for c in RESULT.split(", "))])
 
 
 def config_hash(study: Study, *inputs: str):
@@ -81,27 +85,39 @@ def run_folds(features: DataFrame, pool: DataFrame, folds: DataFrame, study: Stu
 
     features: subject_id, row_id, y, side (held: calibration, kept: final), features. pool: fold, subject_id pairs, the
     sources of each fold, whose rows are capped by study.per_subject before they are sent to folds. A fold is one
-    group; its size is bounded by the pool's cap. An error is a row, not a failed job.
+    group, whatever its methods and seeds: its rows are sent and decoded once. Its size is bounded by the pool's cap.
+    An error is a row, not a failed job. Folds with nothing pending are sent no rows.
     """
-    own = features.select(F.col("subject_id").alias("fold"), "y", "features", F.when(F.col("side") == "held", "calibration").otherwise("final").alias("role"))
+    own = features.select(F.col("subject_id").alias("fold"), "row_id", "y", "features", F.when(F.col("side") == "held", "calibration").otherwise("final").alias("role"))
     ranked = features.withColumn("_k", F.row_number().over(Window.partitionBy("subject_id").orderBy(F.xxhash64(F.lit(study.seed), "row_id"), "row_id")))
-    sources = ranked.where(F.col("_k") <= study.per_subject).join(F.broadcast(pool), "subject_id").select("fold", "y", "features", F.lit("source").alias("role"))
-    rows = own.unionByName(sources).join(folds.withColumnRenamed("subject_id", "fold"), "fold")
-
-    def one(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-        subject, method, seed, config = key
-        out = dict.fromkeys([c.split()[0] for c in RESULT.split(", ")])
-        out |= {"subject_id": subject, "method": method, "seed": seed, "config_hash": config}
+    asked = folds.select(F.col("subject_id").alias("fold"), "method", "seed", "config_hash")
+    wanted = asked.select("fold").distinct()
+    sources = ranked.where(F.col("_k") <= study.per_subject).join(pool.join(wanted, "fold", "left_semi"), "subject_id").select("fold", "row_id", "y", "features", F.lit("source").alias("role"))
+    rows = own.join(wanted, "fold", "left_semi").unionByName(sources)
+    names = [c.split()[0] for c in RESULT.split(", ")]
+
+    def one(key: tuple, got: pa.Table, grid: pa.Table) -> pa.Table:
+        got = got.combine_chunks().sort_by("row_id")  # draws of rows agree between runs
+        parts = {r: got.filter(pc.equal(got.column("role"), r)) for r in ("source", "calibration", "final")}
+        y = {r: t.column("y").to_numpy() for r, t in parts.items()}
+        failed = None
         try:
-            parts = {r: got[got["role"] == r] for r in ("source", "calibration", "final")}
-            x = {r: np.array(d["features"].tolist(), float) for r, d in parts.items()}
-            out |= evaluate(x["source"], parts["source"]["y"].to_numpy(), x["calibration"], x["final"], parts["final"]["y"].to_numpy(), method, study)
-        except (ValueError, np.linalg.LinAlgError, IndexError) as e:
-            out["error"] = str(e)[:200]
-        return pd.DataFrame([out])
-
-    return rows.groupBy("fold", "method", "seed", "config_hash").applyInPandas(one, RESULT)
-
+            x = {r: matrix(t.column("features").combine_chunks()) for r, t in parts.items()}
+        except ValueError as e:  # rows of unequal width
+            failed = e
+        results = []
+        for a in grid.sort_by([("method", "ascending"), ("seed", "ascending")]).to_pylist():
+            out = dict.fromkeys(names) | {"subject_id": a["fold"], "method": a["method"], "seed": a["seed"], "config_hash": a["config_hash"]}
+            try:
+                if failed:
+                    raise failed
+                out |= evaluate(x["source"], y["source"], x["calibration"], x["final"], y["final"], a["method"], study)
+            except (ValueError, np.linalg.LinAlgError, IndexError) as e:
+                out["error"] = str(e)[:200]
+            results.append(out)
+        return pa.Table.from_pylist(results, RESULT_ARROW)
+
+    return rows.groupBy("fold").cogroup(asked.groupBy("fold")).applyInArrow(one, RESULT)
 
 
 WITHIN = "subject_id int, seed int, accuracy double, balanced_accuracy double, macro_f1 double, best_alpha double, n_train int, n_test int, error string"

@@ -135,18 +135,24 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, tail: bool = False)
     return out.withColumn("p", t_tail_udf(t, (F.col("n") - 2).cast("double")))
 
 
-def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, rounds: int = 10_000, seed: int = 20260101) -> DataFrame:
+def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, rounds: int = 10_000, seed: int = 20260101, block: int = 100) -> DataFrame:
     """Percentile interval (2.5, 97.5) of the mean over resamples of subjects.
 
-    A group's values are one sorted array; each round draws from it by hash of (seed, round, place), so that the rounds
-    spread over tasks and reruns agree.
+    A group's values are one sorted array; each round draws from it by hash of (seed, round, place), so that reruns
+    agree. Blocks of rounds spread over tasks: a group's array is copied once a block, not once a round.
     """
-    spark = df.sparkSession
     held = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, value)))[value].alias("_v"))
-    rows = held.crossJoin(F.broadcast(spark.range(rounds).withColumnRenamed("id", "_b")))  # a row a group and round
+    blocks = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // block) - 1))).alias("_block"))
     n = F.size("_v")
-    drawn = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at("_v", (F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), i), n) + 1).cast("int")))
-    means = rows.withColumn("_m", F.aggregate(drawn, F.lit(0.0), lambda s, x: s + x) / n)
+    places = F.sequence(F.lit(1), n)
+
+    def mean(b):
+        drawn = F.transform(places, lambda i: F.element_at("_v", (F.pmod(F.xxhash64(F.lit(seed), b, i), n) + 1).cast("int")))
+        return F.aggregate(drawn, F.lit(0.0), lambda s, x: s + x) / n
+
+    first = F.col("_block").cast("long") * block
+    own = F.sequence(first, F.least(first + block, F.lit(rounds).cast("long")) - 1)
+    means = blocks.select(*keys, F.explode(F.transform(own, mean)).alias("_m"))
     return means.groupBy(*keys).agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"))
 
 
