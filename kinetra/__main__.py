@@ -1,4 +1,4 @@
-"""python -m kinetra list | query NAME TABLES [--out PATH] | trials FOLDER --out PATH"""
+"""python -m kinetra list | query NAME TABLES [--out PATH] | trials FOLDER --out PATH | study DATABASE=FOLDER... --out PATH"""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from kinetra.config import METHODS, SEEDS, Study
+
 
 def main() -> None:
     p = argparse.ArgumentParser(prog="kinetra")
@@ -19,6 +21,15 @@ def main() -> None:
     t.add_argument("folder")
     t.add_argument("--out", required=True)
     t.add_argument("--min-trial", type=int, default=100)
+    r = sub.add_parser("study", help="leave-one-subject-out over databases of recordings; a rerun does what is missing")
+    r.add_argument("folders", nargs="+", metavar="DATABASE=FOLDER")
+    r.add_argument("--out", required=True)
+    r.add_argument("--extractor", default="canonical")
+    r.add_argument("--kernels", type=int, default=10_000)
+    r.add_argument("--methods", nargs="+", default=list(METHODS), choices=METHODS)
+    r.add_argument("--seeds", nargs="+", type=int, default=list(SEEDS))
+    r.add_argument("--subjects", type=int, help="as many target subjects; all subjects stay sources")
+    r.add_argument("--grouped", action="store_true", help="functional groups in place of movements")
     args = p.parse_args()
     from kinetra.plans import evaluation, models, signals, tables  # noqa: F401
     from kinetra.plans.registry import QUERIES
@@ -31,6 +42,13 @@ def main() -> None:
         df = QUERIES[args.name](spark, args.tables)
         df.write.mode("overwrite").parquet(args.out) if args.out else df.show(50, truncate=False)
         return
+    if args.command == "study":
+        from kinetra.operators import driver
+
+        errors = driver.study_all(spark, dict(f.split("=", 1) for f in args.folders), args.out, Study(kernels=args.kernels), extractor=args.extractor, methods=tuple(args.methods), seeds=tuple(args.seeds), grouped=args.grouped, held_out=args.subjects)
+        for database, error in errors.items():
+            print(f"{database}: {error or 'done'}")
+        raise SystemExit(any(errors.values()))
     from pyspark.sql import functions as F
 
     from kinetra.operators import segment

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,26 +82,29 @@ def evaluate(xs: np.ndarray, ys: np.ndarray, xc: np.ndarray, xt: np.ndarray, yt:
 def run_folds(features: DataFrame, pool: DataFrame, folds: DataFrame, study: Study) -> DataFrame:
     """Result rows of (subject_id, method, seed, config_hash) folds.
 
-    features: subject_id, row_id, y, side (held: calibration, kept: final), features. pool: fold, subject_id pairs, the
+    features: subject_id, row_id, y, features, and side (held: calibration, kept: final) or, where that depends on the
+    seed, held_seeds: the seeds in which a row is held. A fold's seed also draws the rows for ridge and TCA. pool: fold, subject_id pairs, the
     sources of each fold, whose rows are capped by study.per_subject before they are sent to folds. A fold is one
     group, whatever its methods and seeds: its rows are sent and decoded once. Its size is bounded by the pool's cap.
     An error is a row, not a failed job. Folds with nothing pending are sent no rows.
     """
-    own = features.select(F.col("subject_id").alias("fold"), "row_id", "y", "features", F.when(F.col("side") == "held", "calibration").otherwise("final").alias("role"))
+    seeded = "held_seeds" in features.columns
+    held = F.col("held_seeds") if seeded else F.when(F.col("side") == "held", F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    own = features.select(F.col("subject_id").alias("fold"), "row_id", "y", "features", held.cast("array<int>").alias("held"))
     ranked = features.withColumn("_k", F.row_number().over(Window.partitionBy("subject_id").orderBy(F.xxhash64(F.lit(study.seed), "row_id"), "row_id")))
     asked = folds.select(F.col("subject_id").alias("fold"), "method", "seed", "config_hash")
     wanted = asked.select("fold").distinct()
-    sources = ranked.where(F.col("_k") <= study.per_subject).join(pool.join(wanted, "fold", "left_semi"), "subject_id").select("fold", "row_id", "y", "features", F.lit("source").alias("role"))
+    sources = ranked.where(F.col("_k") <= study.per_subject).join(pool.join(wanted, "fold", "left_semi"), "subject_id").select("fold", "row_id", "y", "features", F.lit(None).cast("array<int>").alias("held"))
     rows = own.join(wanted, "fold", "left_semi").unionByName(sources)
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def one(key: tuple, got: pa.Table, grid: pa.Table) -> pa.Table:
         got = got.combine_chunks().sort_by("row_id")  # draws of rows agree between runs
-        parts = {r: got.filter(pc.equal(got.column("role"), r)) for r in ("source", "calibration", "final")}
-        y = {r: t.column("y").to_numpy() for r, t in parts.items()}
-        failed = None
+        held = got.column("held").to_pylist()
+        source, failed = np.array([h is None for h in held], bool), None
+        y = got.column("y").to_numpy()
         try:
-            x = {r: matrix(t.column("features").combine_chunks()) for r, t in parts.items()}
+            x = matrix(got.column("features").combine_chunks())
         except ValueError as e:  # rows of unequal width
             failed = e
         results = []
@@ -111,7 +113,9 @@ def run_folds(features: DataFrame, pool: DataFrame, folds: DataFrame, study: Stu
             try:
                 if failed:
                     raise failed
-                out |= evaluate(x["source"], y["source"], x["calibration"], x["final"], y["final"], a["method"], study)
+                calibration = np.array([bool(h) and (not seeded or a["seed"] in h) for h in held], bool)
+                final = ~source & ~calibration
+                out |= evaluate(x[source], y[source], x[calibration], x[final], y[final], a["method"], replace(study, seed=a["seed"]))
             except (ValueError, np.linalg.LinAlgError, IndexError) as e:
                 out["error"] = str(e)[:200]
             results.append(out)

@@ -29,6 +29,16 @@ def repetition_split(df: DataFrame, label: str, rep: str, share: float, order: C
     return ranked.select(*keys, label, rep, F.when(~short & (F.col("_k") <= held), "held").otherwise("kept").alias("side"), short.alias("warned"))
 
 
+def seeded_split(df: DataFrame, label: str, rep: str, share: float, seeds: tuple[int, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row a (keys, class, repetition) with held_seeds: the seeds in which repetition_split holds it."""
+    units = df.select(*keys, label, rep).distinct()
+    out = None
+    for seed in seeds:
+        part = repetition_split(units, label, rep, share, seed=seed, keys=keys).withColumn("_seed", F.lit(seed))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*keys, label, rep).agg(F.sort_array(F.collect_set(F.when(F.col("side") == "held", F.col("_seed")))).alias("held_seeds"))
+
+
 def split_summary(assigned: DataFrame, label: str, rep: str) -> DataFrame:
     """Rows, classes and repetitions of each side, of windows joined with their side."""
     return assigned.groupBy("side").agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes"), F.count_distinct(rep).alias("reps"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinetra.config import INFERENTIAL, SEEDS, Study
-from kinetra.operators import adapt, ridge, rocket, runner, scale, split
+from kinetra.operators import adapt, driver, ridge, rocket, runner, scale, split
 from kinetra.plans import bindings as B
 from kinetra.plans.registry import query, r6
 
@@ -139,13 +139,7 @@ def _(spark, d):
 def _study(spark, d, methods, study, seeds=None):
     w = _windows(spark, d).where("y > 0")
     f = rocket.Extractor("custom_ppv", 32).fit(w, "x", "row_id", 2).transform(w, "x")
-    sides = split.repetition_split(w, "y", "rep", study.calibration, keys=("subject_id",))
-    rows = f.join(sides.select("subject_id", "y", "rep", "side"), ["subject_id", "y", "rep"]).withColumn("subject_id", F.col("subject_id").cast("int"))
-    counts = rows.groupBy("subject_id").agg(F.count("*").alias("n"))
-    pool = split.source_pool(counts, counts.select(F.col("subject_id").alias("fold")), study.pool).select("fold", "subject_id")
-    grid = spark.createDataFrame([(m, s) for m in methods for s in seeds or (study.seed,)], "method string, seed int")
-    folds = counts.select("subject_id").crossJoin(F.broadcast(grid)).withColumn("config_hash", runner.config_hash(study, "custom_ppv"))
-    return runner.run_folds(rows, pool, runner.pending(folds, None), study)
+    return driver.run(f.withColumn("subject_id", F.col("subject_id").cast("int")), study, "custom_ppv", methods, seeds or (study.seed,))
 
 
 @query("ex1_leave_one_subject_out")
@@ -155,7 +149,7 @@ def _(spark, d):
 
 @query("ex7_multi_seed")
 def _(spark, d):
-    """Per method: each seed's mean over subjects, then mean and spread over seeds."""
+    """Per method: each seed's mean over subjects, then mean and spread over seeds. A seed draws the held repetitions."""
     rows = _study(spark, d, ("raw", "coral"), Study(pool=2000), SEEDS).where("error is null")
     return rows.groupBy("method", "seed").agg(F.avg("accuracy").alias("a")).groupBy("method").agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("sd"), F.count("*").alias("seeds"))
 

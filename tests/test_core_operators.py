@@ -8,9 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.config import Study
+from kinetra.config import Database, Study
 from kinetra.functions import special
-from kinetra.operators import adapt, ridge, rocket, runner, segment, split, stats
+from kinetra.operators import adapt, driver, ridge, rocket, runner, segment, split, stats
 from kinetra.sources import recordings, results
 
 
@@ -174,6 +174,40 @@ def test_recordings(spark, tmp_path):
     assert bad.count() == 1
 
 
+def test_a_study_from_recordings_is_taken_up_where_results_are_missing(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    (tmp_path / "in").mkdir()
+    for s in range(1, 4):
+        label = np.concatenate([[0] * 5, np.tile(np.repeat([1, 0, 2, 0], [40, 5, 40, 5]), 4)])
+        rep = np.concatenate([[0] * 5, np.repeat([1, 2, 3, 4], 90)])
+        emg = rng.normal(size=(len(label), 2)) * np.where(label == 2, 6.0, 1.0)[:, None]
+        (tmp_path / "in" / f"S{s}_E1_A1.mat").write_bytes(mat5(emg=emg, restimulus=label[:, None], repetition=rep[:, None]))
+    base, out = Database(3, 2, 2, 100), str(tmp_path / "out")
+    study = Study(kernels=32, min_trial=20, sa_components=2)
+    go = lambda methods, seeds: driver.study_database(spark, "small", str(tmp_path / "in"), out, study, "custom_ppv", methods, seeds, base=base).collect()
+    first = go(("raw",), (42,))
+    assert len(first) == 3 and all(r.error is None and r.n_train == 2 * 24 and r.n_calibration + r.n_test == 24 for r in first)
+    again = go(("raw", "coral"), (42, 7))
+    assert len(again) == 12 and {(r.subject_id, r.method, r.seed) for r in again} == {(s, m, k) for s in (1, 2, 3) for m in ("raw", "coral") for k in (42, 7)}
+    errors = driver.study_all(spark, {"none": str(tmp_path / "in")}, out, study)
+    assert errors["none"].startswith("KeyError")
+
+
+def test_seeds_hold_their_own_repetitions(spark):
+    df = spark.createDataFrame([(s, y, r) for s in (1, 2) for y in (0, 1) for r in range(6)], "subject int, y int, rep int")
+    rows = split.seeded_split(df, "y", "rep", 0.5, (42, 7, 123), ("subject",)).collect()
+    for seed in (42, 7, 123):
+        held = {(r.subject, r.y, r.rep) for r in rows if seed in r.held_seeds}
+        one = split.repetition_split(df, "y", "rep", 0.5, seed=seed, keys=("subject",)).where("side = 'held'").collect()
+        assert held == {(r.subject, r.y, r.rep) for r in one}
+
+
+def test_bootstrap_blocks_change_nothing(spark):
+    df = spark.createDataFrame([("a", i, float(i * i)) for i in range(9)] + [("b", 1, 2.0)], "g string, i int, v double")
+    run = lambda block: sorted(map(tuple, stats.bootstrap(df, ["g"], "v", "i", rounds=70, block=block).collect()))
+    assert run(100) == run(16) == run(1) and run(16)[1] == ("b", 2.0, 2.0)
+
+
 def test_result_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"database": "db7", "method": "raw", "seed": 1, "per_subject": [{"subject_id": 1, "accuracy": 0.5, "domain_shift": {"cov_before": 2.0}}, {"subject_id": 2, "accuracy": 0.7}, {"subject_id": 3, "error": "x"}]}')
     (tmp_path / "b.json").write_text("{broken")
