@@ -112,9 +112,19 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def transfer_components(source: np.ndarray, target: np.ndarray, k: int, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, sd, projection) of transfer component analysis with a linear kernel on a bounded sample of both sides; the projection X'W serves all rows."""
+    """(mean, sd, projection) of transfer component analysis with a linear kernel on a bounded sample of both sides; the projection X'W serves all rows.
+
+    With fewer features than rows the same problem is solved in the features: the kernel's range is that of X, so with
+    G = X'X the projection is G^1/2 q of G^1/2 X'HX G^1/2 q = l (G^1/2 X'LX G^1/2 + mu) q.
+    """
     mean, sd, z = _jointly(source, target)
-    return mean, sd, z.T @ _components(z @ z.T, len(source), k, mu)
+    if z.shape[1] >= len(z):
+        return mean, sd, z.T @ _components(z @ z.T, len(source), k, mu)
+    values, vectors = np.linalg.eigh(z.T @ z)
+    half = vectors * np.sqrt(np.maximum(values, 0)) @ vectors.T
+    gap = half @ (z[: len(source)].mean(axis=0) - z[len(source) :].mean(axis=0))
+    spread = half @ (z - z.mean(axis=0)).T
+    return mean, sd, half @ _leading(np.outer(gap, gap) + mu * np.eye(len(half)), spread @ spread.T, k)
 
 
 def _jointly(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,6 +142,11 @@ def _components(kernel: np.ndarray, n_source: int, k: int, mu: float) -> np.ndar
     a = kernel @ np.outer(e, e) @ kernel + mu * np.eye(n)
     centred = kernel - kernel.mean(axis=0)
     b = centred.T @ centred
+    return _leading(a, b, k)
+
+
+def _leading(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """The k vectors of B w = l A w with the greatest l, by the Cholesky factor of A."""
     r = _cholesky((a + a.T) / 2)
     half = np.linalg.solve(r, (b + b.T) / 2)
     values, vectors = np.linalg.eigh((lambda m: (m + m.T) / 2)(np.linalg.solve(r, half.T)))

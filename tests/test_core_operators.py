@@ -202,6 +202,17 @@ def test_seeds_hold_their_own_repetitions(spark):
         assert held == {(r.subject, r.y, r.rep) for r in one}
 
 
+@pytest.mark.parametrize("rank", [6, 4])
+def test_transfer_components_in_features_equal_those_of_the_kernel(rank):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(90, rank)) @ rng.normal(size=(rank, 6))
+    source, target = x[:60], x[60:] + 1.0
+    _, _, got = adapt.transfer_components(source, target, 3, 1.0)
+    _, _, z = adapt._jointly(source, target)
+    want = z.T @ adapt._components(z @ z.T, 60, 3, 1.0)
+    assert np.allclose(np.abs(z @ got), np.abs(z @ want), atol=1e-6)
+
+
 def test_bootstrap_blocks_change_nothing(spark):
     df = spark.createDataFrame([("a", i, float(i * i)) for i in range(9)] + [("b", 1, 2.0)], "g string, i int, v double")
     run = lambda block: sorted(map(tuple, stats.bootstrap(df, ["g"], "v", "i", rounds=70, block=block).collect()))
