@@ -567,3 +567,22 @@ def test_lm_tree_shares_first_bytes():
     assert (table == plain).all()
     model = mixing_lm.Model(rng.normal(size=len(table)).astype(np.float16), rng.integers(0, mixing_lm.KNOWN, len(table)).astype(np.uint8))
     np.testing.assert_allclose(model.score(words, 700), [model.score([w])[0] for w in words])
+
+
+def test_passages_of_51_words_are_cut_and_their_surroundings_kept(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 7)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    planted = {i: some(51 + i) for i in range(4)}
+    rows = [(d, (before := some(40)) + " " + planted[d % 4] + " " + (after := some(40)), before, after) for d in range(24)] + [(d, some(120), None, None) for d in range(24, 40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in suffix.suffix_stage(spark, docs, "").collect()}
+    for d, text, before, after in rows:
+        if before is None:
+            assert got[d] == text
+        else:
+            # A letter or two on either side may agree by chance in another document and go with the passage.
+            assert planted[d % 4][8:-8] not in got[d]
+            assert got[d].startswith(before[:-2]) and got[d].endswith(after[2:])
+    told = {r.doc_id: r.n_passage_bytes for r in suffix.suffix_dedup(docs).collect()}
+    assert all((told[d] > 0) == (d < 24) for d in told)
