@@ -55,7 +55,9 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def study_database(spark: SparkSession, database: str, folder: str, out: str, study: Study, extractor: str = "canonical", methods: tuple[str, ...] = config.METHODS, seeds: tuple[int, ...] = config.SEEDS, grouped: bool = False, held_out: int | None = None, base: Database | None = None) -> DataFrame:
-    """A database's result rows: features are computed once and kept under out, results are added where they lack."""
+    """A database's result rows: features are computed once and kept under out, results are added where they lack.
+
+    A fold with an error is done again by a rerun; its row with the error is told only as long as it has no other."""
     base = base or config.DATABASES[database]
     files, _ = recordings.quarantine(recordings.read(spark, folder))
     labels = config.group_map(spark, database).withColumnRenamed("group_id", "class_idx") if grouped else spark.range(1, base.n_movements + 1).selectExpr("cast(id as int) movement_id", "cast(id - 1 as int) class_idx")
@@ -70,7 +72,10 @@ def study_database(spark: SparkSession, database: str, folder: str, out: str, st
     done = stored(spark, f"{out}/results")
     fresh = run(features, study, name, methods, seeds, None if done is None else done.where(F.col("database") == database), held_out)
     fresh.withColumn("database", F.lit(database)).write.mode("append").partitionBy("database").parquet(f"{out}/results")
-    return spark.read.parquet(f"{out}/results").where((F.col("database") == database) & (F.col("config_hash") == settings))
+    every = spark.read.parquet(f"{out}/results").where((F.col("database") == database) & (F.col("config_hash") == settings))
+    good = every.where("error is null")
+    fold = ["subject_id", "method", "seed"]
+    return good.unionByName(every.where("error is not null").dropDuplicates(fold).join(good.select(*fold), fold, "left_anti"))
 
 
 def study_all(spark: SparkSession, folders: dict[str, str], out: str, study: Study, **settings) -> dict[str, str | None]:

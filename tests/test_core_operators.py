@@ -189,6 +189,9 @@ def test_a_study_from_recordings_is_taken_up_where_results_are_missing(spark, tm
     assert len(first) == 3 and all(r.error is None and r.n_train == 2 * 24 and r.n_calibration + r.n_test == 24 for r in first)
     again = go(("raw", "coral"), (42, 7))
     assert len(again) == 12 and {(r.subject_id, r.method, r.seed) for r in again} == {(s, m, k) for s in (1, 2, 3) for m in ("raw", "coral") for k in (42, 7)}
+    failing = lambda: driver.study_database(spark, "small", str(tmp_path / "in"), out, study, "custom_ppv", ("raw", "unheard"), (42,), base=base)
+    failing()
+    assert sorted(r.method for r in failing().collect() if r.error) == ["unheard"] * 3
     errors = driver.study_all(spark, {"none": str(tmp_path / "in")}, out, study)
     assert errors["none"].startswith("KeyError")
 
