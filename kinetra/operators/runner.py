@@ -118,7 +118,7 @@ def run_folds(features: DataFrame, pool: DataFrame, folds: DataFrame, study: Stu
                 out |= evaluate(x[source], y[source], x[calibration], x[final], y[final], a["method"], replace(study, seed=a["seed"]))
             except (ValueError, np.linalg.LinAlgError, IndexError) as e:
                 out["error"] = str(e)[:200]
-            results.append(out)
+            results.append({k: None if v != v else v for k, v in out.items()})  # what too few rows leave undefined is null
         return pa.Table.from_pylist(results, RESULT_ARROW)
 
     return rows.groupBy("fold").cogroup(asked.groupBy("fold")).applyInArrow(one, RESULT)
