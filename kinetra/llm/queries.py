@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinetra.llm import decontaminate, extract, language, mixing, mixing_lm, quality, rules, simhash, suffix, toxicity
+from kinetra.llm import chat, decontaminate, extract, language, mixing, mixing_lm, prefix_trie, quality, rules, runs, simhash, suffix, toxicity
 from kinetra.llm.common import table
 
 
@@ -48,8 +49,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.spliced_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts hold the template's own marks, formatted with the table's.
+HOSTILE = r"\### Assistant: </turn> ok"
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
+    return chat.read_back(chat.format_chats(convs.unionByName(extra)), in_order=True)
+
+
 def queries():
-    return {"op1_language": op1_language, "op2_extract": op2_extract, "op3_quality": op3_quality, "op4_rules": op4_rules, "op5_lm": op5_lm, "op6_toxicity": op6_toxicity, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+    return {"op1_language": op1_language, "op2_extract": op2_extract, "op3_quality": op3_quality, "op4_rules": op4_rules, "op5_lm": op5_lm, "op6_toxicity": op6_toxicity, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash, "op11_prefix_trie": op11_prefix_trie, "op12_runs": op12_runs, "op13_chat": op13_chat}
 
 
 #: The mix in SQL: every quotient of every party is ranked, and every block a document touches is looked at.
@@ -89,5 +108,61 @@ SELECT e.doc_id, e.size, b.source_size, b.target, CAST(coalesce(g.taken, 0) AS B
 """
 
 
+def _crc(digits: str) -> str:
+    """crc32 of a short text in SQL, a bit a step."""
+    x = f"xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr({digits}, (i // 8 + 1)::INT, 1))::BIGINT ELSE 0 END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], range(0, 8 * length({digits}))), lambda c, i: xor({x} >> 1, 3988292384::BIGINT * ({x} & 1))), 4294967295::BIGINT)"
+
+
+#: The trie in SQL: a node is the string of its turns' digests, and tells each of its ancestors of itself.
+TRIE_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, key, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS k FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (
+  SELECT c.conv_id, o.k, o.key, o.words FROM c JOIN o ON o.conv_id = c.base AND o.k <= c.h
+  UNION ALL SELECT c.conv_id, o.k, o.key, o.words FROM c JOIN o ON o.conv_id = c.conv_id AND o.k > c.h),
+m AS (
+  SELECT conv_id, row_number() OVER w AS d, string_agg(key, '') OVER w AS node, words, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+  UNION ALL SELECT c.conv_id, 0, '', 0, coalesce(x.n, 0) FROM c LEFT JOIN (SELECT conv_id, count(*) AS n FROM r GROUP BY 1) x ON x.conv_id = c.conv_id),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS own,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = n), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2),
+kids AS (SELECT left(node, 64 * (d - 1)) AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+up AS (
+  SELECT left(a.node, 64 * i) AS node, sum(CASE WHEN k.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(a.own) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM nodes) a LEFT JOIN kids k ON a.node = k.node GROUP BY 1)
+SELECT a.conv_id, a.d::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs::BIGINT AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+  u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, a.ends_sha256
+FROM nodes a JOIN up u ON u.node = a.node LEFT JOIN kids k ON k.node = a.node LEFT JOIN nodes p ON a.d > 0 AND p.node = left(a.node, 64 * (a.d - 1))
+"""
+
+#: What must be read back from formatted conversations; the lengths follow the grammar's three levels of escapes.
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s AS (
+  SELECT *, CASE
+      WHEN contains(text, '\\') OR contains(text, '\### ') OR contains(text, '\</turn>') OR right(text, 1) = '\'
+        OR contains(role, '\\') OR contains(role, '\### ') OR contains(role, '\</turn>') OR contains(role, '\: ') OR right(role, 1) = '\' THEN 2
+      WHEN contains(text, '### ') OR contains(text, '</turn>') OR contains(role, '### ') OR contains(role, '</turn>') OR contains(role, ': ') THEN 1
+      ELSE 0 END AS level FROM t),
+e AS (
+  SELECT *, CASE WHEN level = 2 THEN length(text) - length(replace(text, '\', '')) + length(role) - length(replace(role, '\', '')) ELSE 0 END
+    + CASE WHEN level > 0 THEN len(regexp_extract_all(text, '### |</turn>')) + len(regexp_extract_all(role, '### |</turn>|: ')) ELSE 0 END AS marks FROM s)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(role) + 2 + length(text) + 8 + marks)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": MIXING_SQL}
+    return {"op9_mixing": MIXING_SQL, "op11_prefix_trie": TRIE_SQL, "op13_chat": CHAT_SQL}
