@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetra.durable import durable
 from kinetra.functions.special import f_tail_udf, signed_rank_udf, t_quantile_udf, t_tail_udf
+from kinetra.operators.prefix import running
 
 
 def not_nan(column: str) -> Column:
@@ -96,13 +98,23 @@ def paired_effects(paired: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def signed_ranks(paired: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
-    """w_plus, w_minus over non-zero differences, the rank-biserial effect over all of them, and p on request (exact up to 50 without ties)."""
-    sized = paired.withColumn("_a", F.abs("d"))
-    sized = sized.withColumn("_all", average_rank(keys, "_a", descending=False))
-    some = sized.where("d <> 0").withColumn("_r", average_rank(keys, "_a", descending=False))
-    effect = sized.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("_all")).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col("d") < 0, F.col("_all")).otherwise(0.0)).alias("_m"))
-    ranks = some.groupBy(*keys).agg(F.count("*").alias("n_nonzero"), F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("_r") * F.col("_r")).alias("_q"))
-    out = effect.join(ranks, keys, "left").withColumn("rank_biserial", 1 - 2 * F.least("_p", "_m") / (F.col("n") * (F.col("n") + 1) / 2)).drop("_p", "_m")
+    """w_plus, w_minus over non-zero differences, the rank-biserial effect over all of them, and p on request (exact up to 50 without ties).
+
+    Differences are counted by size and sign, and ranks are told of sizes, not of rows: a group is never one task's.
+    """
+    by_size = paired.withColumns({"_a": F.abs("d"), "_p": (F.col("d") > 0).cast("bigint"), "_m": (F.col("d") < 0).cast("bigint")})
+    sizes = by_size.groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("_c"), F.sum("_p").alias("_p"), F.sum("_m").alias("_m"))
+    sizes = running(sizes, keys, ["_a"], {"_before": "_c"}).withColumn("_all", F.col("_before") + (F.col("_c") + 1) / 2)
+    # Nulls and zeros come first, so that ranks without them are ranks less their number.
+    some = F.coalesce(F.col("_a") != 0, F.lit(False))
+    first = sizes.groupBy(*keys).agg(F.sum(F.when(some, 0).otherwise(F.col("_c"))).alias("_first"))
+    sizes, r = sizes.join(first, keys), F.col("_all") - F.col("_first")
+    total = lambda x: F.sum(x.cast("double"))
+    out = sizes.groupBy(*keys).agg(
+        F.sum("_c").alias("n"), total(F.col("_p") * F.col("_all")).alias("_ap"), total(F.col("_m") * F.col("_all")).alias("_am"), F.sum(F.when(some, F.col("_c"))).alias("n_nonzero"),
+        total(F.when(some, F.col("_p") * r)).alias("w_plus"), total(F.when(some, F.col("_m") * r)).alias("w_minus"), total(F.when(some, F.col("_c") * r * r)).alias("_q"),
+    )
+    out = out.withColumn("rank_biserial", 1 - 2 * F.least("_ap", "_am") / (F.col("n") * (F.col("n") + 1) / 2)).select(*keys, "n", "n_nonzero", "w_plus", "w_minus", "_q", "rank_biserial")
     return out.withColumn("p", F.when(F.col("n_nonzero").isNull(), 1.0).otherwise(signed_rank_udf(F.least("w_plus", "w_minus"), "n_nonzero", "_q"))).drop("_q") if exact else out.drop("_q")
 
 
@@ -126,9 +138,22 @@ def cohens_d(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> Data
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, tail: bool = False) -> DataFrame:
-    """Rank correlation with averaged ranks; its two-sided p by the t distribution on request."""
-    ranked = df.withColumns({"_x": average_rank(keys, x), "_y": average_rank(keys, y)})
-    out = ranked.groupBy(*keys).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
+    """Rank correlation with averaged ranks; its two-sided p by the t distribution on request.
+
+    Equal pairs are counted first; each side's ranks are told of its distinct values and joined to the pairs.
+    """
+    pairs = df.groupBy(*keys, F.col(x).alias("_vx"), F.col(y).alias("_vy")).agg(F.count(F.lit(1)).alias("_c"))
+    pairs = durable(pairs)
+    for v in ("x", "y"):
+        values = pairs.groupBy(*keys, f"_v{v}").agg(F.sum("_c").alias("_n"))
+        ranks = running(values, keys, [f"_v{v}"], {"_before": "_n"}).select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)], F.col(f"_v{v}").alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_{v}"))
+        met = [*[F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)], F.col(f"_v{v}").eqNullSafe(F.col("_v"))]
+        pairs = pairs.join(ranks, met).drop("_v", *[f"_of_{i}" for i in range(len(keys))])
+    # The mean rank is (n + 1) / 2; sums of products of the distances from it are small enough for doubles.
+    sized = pairs.join(pairs.groupBy(*keys).agg(F.sum("_c").alias("n")), keys)
+    dx, dy, c = F.col("_x") - (F.col("n") + 1) / 2, F.col("_y") - (F.col("n") + 1) / 2, F.col("_c")
+    sums = sized.groupBy(*keys).agg(F.first("n").alias("n"), F.sum(c * dx * dy).alias("_xy"), F.sum(c * dx * dx).alias("_xx"), F.sum(c * dy * dy).alias("_yy"))
+    out = sums.select(*keys, F.when((F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).alias("rho"), "n")
     if not tail:
         return out
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") ** 2))
