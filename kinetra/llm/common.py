@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetra.durable import durable, shared_folder, staged  # noqa: F401  the operators take them from here
+
 #: Words are runs of bytes outside the six ASCII white-space bytes; bytes.split() cuts exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,25 +22,6 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where tables between jobs go: the session's spark.checkpoint.dir. Where that is unset a local master (tests) gets
-    a temporary folder; on a cluster it is an error, since each executor would write to its own disk."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The column's texts as UTF-8 bytes, null as empty, without decoding."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -62,13 +42,6 @@ def slices(batches, most_bytes: int, name: str = "text"):
             yield batch.slice(start)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared checkpoint folder and read it back: for tables too wide to checkpoint as rows."""
-    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, most: int) -> DataFrame:
     """doc_id, text, y, weight of about `most` labelled rows at most for each of the values 0 and 1, by hash of the id.
 
@@ -96,17 +69,35 @@ def flag(column: str, n: int, remainder: int):
 FILTER_BITS = 1 << 26
 
 
+def row_hash(docs: DataFrame):
+    """A hash of a row's columns, text and id first."""
+    return F.xxhash64("doc_id", "text", *[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in ("doc_id", "text")])
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as set it apart from all columns (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def part_by_keys(df: DataFrame, key, keys: DataFrame, hashed) -> tuple[DataFrame, DataFrame]:
     """(rows of df that may have one of the keys, rows that have none), by a bitmap of hashes and without a shuffle.
 
-    key: the column expression of df to hash, hashed: that of keys. With more keys than bits (beyond some hundred GB of
-    texts) nearly every row may have one, and the join that follows does all the work, as it would alone.
+    key: the column expression of df to hash, hashed: that of keys. df may have columns of any name. With more keys than bits
+    (beyond some hundred GB of texts) nearly every row may have one, and the join that follows does all the work, as it
+    would alone.
     """
     place = lambda h: F.pmod(h, F.lit(FILTER_BITS)) + 1
-    bits = keys.select(place(hashed).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
-    bits = durable(bits)
-    own = df.withColumn("_p", place(key)).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(bits), "_bucket", "left")
-    at = F.bitmap_bit_position("_p")
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    own = own.withColumn("_may", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_p", "_bucket", "_bits")
-    return own.where("_may").drop("_may"), own.where("not _may").drop("_may")
+    p, bucket, bits, may = fresh(df.columns, "_p", "_bucket", "_bits", "_may")
+    filled = keys.select(place(hashed).alias(p)).groupBy(F.bitmap_bucket_number(p).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias(bits))
+    filled = durable(filled)
+    own = df.withColumn(p, place(key)).withColumn(bucket, F.bitmap_bucket_number(p)).join(F.broadcast(filled), bucket, "left")
+    at = F.bitmap_bit_position(p)
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    own = own.withColumn(may, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(p, bucket, bits)
+    return own.where(F.col(may)).drop(may), own.where(~F.col(may)).drop(may)

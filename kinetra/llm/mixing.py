@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import WORD, durable
+from kinetra.llm.common import WORD, durable, part_by_keys, row_hash
+from kinetra.operators.prefix import running
 
 WEIGHTS = (5, 2, 1)
 
@@ -66,20 +67,17 @@ def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEI
     return ranked.withColumn("target", F.coalesce(F.least(F.col("_cap"), F.col("_level") * F.col("weight")), F.col("_cap"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, block: int = 32, shards: int = 256, seed: int = 17, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs, and the columns named in carry.
-
-    size is the text's word count (null: 0). taken is how many of its words the mix takes, repeats counted, at most
-    twice its size. A source's taken words differ from its target by a block or two. Empty texts take nothing; a
-    null source is a source of its own, last in order; equal rows are separate documents, ordered by id and size.
-    An empty table gives no rows. The draw depends on ids, sizes and the seed alone, so that reruns agree.
-    """
+def _placed(docs: DataFrame, *columns: Column, shards: int, seed: int) -> DataFrame:
+    """columns, _id, size, src, none, key and shard of each row: where it stands in its source's stream."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     # A null source is told apart from an empty one by a flag: joins and windows then need no null-safe keys.
-    placed = docs.select(F.struct("doc_id", *[c for c in carry if c != "doc_id"]).alias("row"), F.col("doc_id").alias("_id"), size.alias("size"), F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("none"), key.alias("key"))
-    placed = placed.withColumn("shard", _div(_hex(F.col("key"), 1) * shards, 1 << 32).cast("int"))
-    parts = durable(placed.groupBy("src", "none", "shard").agg(F.sum("size").alias("shard_size")))  # a row a source and shard; else the texts are counted once for each use
+    placed = docs.select(*columns, F.col("doc_id").alias("_id"), size.alias("size"), F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("none"), key.alias("key"))
+    return placed.withColumn("shard", _div(_hex(F.col("key"), 1) * shards, 1 << 32).cast("int"))
+
+
+def _planned(parts: DataFrame, block: int, seed: int, share: float, weights: tuple[int, ...]) -> DataFrame:
+    """(src, none, shard, shard_size) -> the shards with their sources' targets and what a draw of their blocks needs."""
     sources = parts.groupBy("src", "none").agg(F.sum("shard_size").alias("source_size"))
     aimed = targets(sources.select(F.when(~F.col("none"), F.col("src")).alias("source"), "source_size"), share, weights)
     aimed = aimed.select(F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("none"), "source_size", "target")
@@ -100,9 +98,11 @@ def mix(docs: DataFrame, block: int = 32, shards: int = 256, seed: int = 17, sha
     parts = parts.withColumn("given", F.sum("quota").over(along) - F.col("quota"))
     last = F.when(F.col("blocks") > 0, F.col("quota") - _div((F.col("blocks") - 1) * F.col("quota") + F.col("u"), F.col("n")))
     parts = parts.withColumn("_last", last).withColumn("carried", F.coalesce(F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    in_shard = Window.partitionBy("src", "none", "shard").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = placed.withColumn("until", F.sum("size").over(in_shard))
-    laid = laid.join(parts.select("src", "none", "shard", "source_size", "target", "begin", "first", "blocks", "quota", "n", "u", "given", "carried"), ["src", "none", "shard"])
+    return parts.select("src", "none", "shard", "source_size", "target", "begin", "first", "blocks", "quota", "n", "u", "given", "carried")
+
+
+def _taken(before: Column, size: Column, block: int) -> Column:
+    """Words that the draw takes of a document that begins `before` words into its shard."""
 
     def blocks_before(b: Column) -> Column:
         """Blocks taken among those numbered below b, for b from first - 1 on."""
@@ -114,16 +114,49 @@ def mix(docs: DataFrame, block: int = 32, shards: int = 256, seed: int = 17, sha
         at = _div(x, block)
         return blocks_before(at) * block + (blocks_before(at + 1) - blocks_before(at)) * (x - at * block)
 
-    hi = F.col("begin") + F.col("until")
-    taken = (words_before(hi) - words_before(hi - F.col("size"))).cast("bigint")
-    return laid.select("row.*", "size", "source_size", "target", taken.alias("taken"))
+    low = F.col("begin") + before
+    return (words_before(low + size) - words_before(low)).cast("bigint")
+
+
+def mix(docs: DataFrame, block: int = 32, shards: int = 256, seed: int = 17, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of docs, and the columns named in carry.
+
+    size is the text's word count (null: 0). taken is how many of its words the mix takes, repeats counted, at most
+    twice its size. A source's taken words differ from its target by a block or two. Empty texts take nothing; a
+    null source is a source of its own, last in order; equal rows are separate documents, ordered by id and size.
+    An empty table gives no rows. The draw depends on ids, sizes and the seed alone, so that reruns agree.
+    """
+    placed = _placed(docs, F.struct("doc_id", *[c for c in carry if c != "doc_id"]).alias("row"), shards=shards, seed=seed)
+    parts = durable(placed.groupBy("src", "none", "shard").agg(F.sum("size").alias("shard_size")))  # a row a source and shard; else the texts are counted once for each use
+    in_shard = Window.partitionBy("src", "none", "shard").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = placed.withColumn("before", F.sum("size").over(in_shard) - F.col("size"))
+    laid = laid.join(_planned(parts, block, seed, share, weights), ["src", "none", "shard"])
+    return laid.select("row.*", "size", "source_size", "target", _taken(F.col("before"), F.col("size"), block).alias("taken"))
 
 
-def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mix_stage(spark, docs: DataFrame, sf_dir: str, block: int = 32, shards: int = 256, seed: int = 17) -> DataFrame:
     """Pipeline stage: the rows of docs that the mix takes words of, with size, source_size, target and taken beside.
 
-    Columns of docs that have one of these names are replaced. Null and empty texts have no words and go; null ids and
-    sources stay, a null source being one of its own; repeated rows are drawn each. No rows give no rows.
+    The draw sees ids, row hashes and sizes, never a text; texts meet what was drawn in one join on (id, hash), and running
+    sums are dealt by range, so that a source or a null id with a third of all rows is not one task's. Columns of docs
+    with one of the four names are replaced; others pass through whatever their names. Null and empty texts have no words
+    and go; null ids and sources stay, a null source being one of its own. Rows that share an id stand by size and row
+    hash; rows equal in all columns are drawn each. No rows give no rows.
     """
     own = ("size", "source_size", "target", "taken")
-    return mix(docs, carry=tuple(c for c in docs.columns if c not in own)).where("taken > 0")
+    kept = docs.drop(*own)
+    rows = kept.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("i"), row_hash(kept).alias("h"))
+    placed = _placed(kept.select("doc_id", "text", "source", row_hash(kept).alias("h")), F.col("h"), shards=shards, seed=seed)
+    placed = durable(placed.groupBy("_id", "h", "size", "src", "none", "key", "shard").agg(F.count(F.lit(1)).alias("copies"))).withColumn("words", F.col("size") * F.col("copies"))
+    parts = durable(placed.groupBy("src", "none", "shard").agg(F.sum("words").alias("shard_size")))
+    laid = running(placed, ["src", "none", "shard"], ["key", "_id", "size", "h"], {"before": "words"})
+    laid = laid.join(_planned(parts, block, seed, 1.5, WEIGHTS), ["src", "none", "shard"])
+    each = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    drawn = each.withColumn("taken", _taken(F.col("before") + F.col("copy") * F.col("size"), F.col("size"), block)).where("taken > 0")
+    drawn = durable(drawn.select(F.coalesce(F.col("_id").cast("bigint"), F.lit(-1)).alias("i"), "h", "copies", *own))
+    twice = drawn.where("copies > 1").select("i", "h").distinct()
+    if not twice.take(1):
+        return rows.join(drawn, ["i", "h"]).select("row.*", *own)
+    may, never = part_by_keys(rows, F.col("h"), twice, F.col("h"))  # one of each set of equal rows is told off its copies
+    met = never.join(drawn.where("copies = 1"), ["i", "h"]).unionByName(may.dropDuplicates(["i", "h"]).join(drawn, ["i", "h"]))
+    return met.select("row.*", *own)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import durable, part_by_keys, slices, texts
+from kinetra.llm.common import durable, part_by_keys, row_hash, slices, texts
 from kinetra.llm.components import components
 
 BITS = 64
@@ -149,9 +149,9 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by id and hash, so that rows that repeat an id, or have none, are each decided by their own
     component. Rows equal in all columns shrink to one. Null and empty texts are one component; other columns pass
-    through, whatever their names, but _id, _h. No rows give no rows.
+    through whatever their names, inside the row, and so cannot meet this stage's own. No rows give no rows.
     """
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_h": F.xxhash64("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])})
+    own = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_id"), row_hash(docs).alias("_h"))
     rows = durable(fingerprints(own, keep=("_id", "_h")).groupBy("doc_id", "_id", "_h", "fp").agg(F.count("*").alias("n")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")
     rooted = durable(_rooted(durable(rows.groupBy("fp").agg(F.min(order).alias("least"))), 3))
@@ -163,4 +163,4 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = may.join(gone, ["_id", "_h"], "left_anti")
     if told.where("stays").take(1):
         left = left.dropDuplicates(["_id", "_h"])
-    return never.unionByName(left).select(*docs.columns)
+    return never.select("row").unionByName(left.select("row")).select("row.*")
