@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import WORD, durable, shared_folder
+from kinetra.llm.common import WORD, durable, shared_folder, staged
 
 KEY_BYTES = 16
 LINK = "array<struct<key: binary, words: bigint>>"
@@ -128,15 +128,80 @@ def ended(chains: DataFrame) -> DataFrame:
     return chains.join(groups, chains.conv_id == groups.least).select("conv_id", "chain", "n_convs", "ends_sha256", F.size("chain").alias("depth"))
 
 
-def peeled(chains: DataFrame) -> DataFrame:
-    """The trie of (conv_id, chain): one row for each node, as prefix_trie says."""
+def _anchors(ends: DataFrame, most_rows: int, most_levels: int) -> DataFrame:
+    """conv_id, anchor, above: the shallowest of the depths 1, 2, 4, ... at which the sequence's subtree is small, if any.
+
+    Small: most_rows sequences and most_levels turns below that depth, or a single sequence. What lies in a small subtree is small
+    itself, so that all sequences of a subtree name the same anchor.
+    """
+    powers = F.sequence(F.lit(0), F.floor(F.log2(F.col("depth") - 1)).cast("int"))
+    tried = ends.where("depth > 1").select("conv_id", "chain", "depth", F.explode(F.transform(powers, lambda k: F.pow(F.lit(2), k).cast("int"))).alias("above"))
+    tried = durable(tried.select("conv_id", F.get("chain", F.col("above") - 1)["key"].alias("anchor"), "above", (F.col("depth") - F.col("above")).alias("levels")))
+    sizes = tried.groupBy("anchor", "above").agg(F.count(F.lit(1)).alias("n"), F.sum("levels").alias("m"))
+    small = sizes.where((F.col("n") == 1) | ((F.col("n") <= most_rows) & (F.col("m") <= most_levels))).select("anchor", "above")
+    return tried.join(small, ["anchor", "above"]).groupBy("conv_id").agg(F.min(F.struct("above", "anchor")).alias("a")).select("conv_id", "a.anchor", "a.above")
+
+
+NODE = "conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string, depth int"
+LINKS = pa.list_(pa.struct([("key", pa.binary()), ("words", pa.int64())]))
+
+
+def _peel(got: pa.Table) -> pa.Table:
+    """The nodes of one small subtree, deepest first, and the row with which it survives at its anchor's depth."""
+    got = got.combine_chunks()
+    chains, above = got.column("chain").combine_chunks(), got.column("above")[0].as_py()
+    flat = chains.flatten()
+    keys, words = flat.field("key").to_pylist(), flat.field("words").to_pylist()
+    depths = got.column("depth").to_pylist()
+    starts = [0]
+    for d in depths:
+        starts.append(starts[-1] + d)
+    ended_at: dict[int, list[int]] = {}
+    for i, d in enumerate(depths):
+        ended_at.setdefault(d, []).append(i)
+    ids, counts, digests = (got.column(c).to_pylist() for c in ("conv_id", "n_convs", "ends_sha256"))
+    out: list[tuple] = []
+    now: dict[bytes, list] = {}
+    for depth in range(max(depths), above - 1, -1):
+        for i in ended_at.get(depth, []) if depth > above else []:
+            node = now.setdefault(keys[starts[i] + depth - 1], [i, ids[i], 0, 0, 0, 0, None])
+            node[1], node[2], node[6] = min(node[1], ids[i]), node[2] + counts[i], digests[i]
+        if depth == above:
+            ((_, (i, least, n, kids, leaves, saved, _)),) = now.items()
+            out.append((least, n, kids, leaves, saved, None, depth, None, None, chains[i].as_py()[:above]))
+            break
+        up: dict[bytes, list] = {}
+        for key, (i, least, n, kids, leaves, saved, ends) in now.items():
+            last = starts[i] + depth - 1
+            leaves, saved, parent = max(leaves, 1), saved + (n - 1) * words[last], keys[last - 1]
+            out.append((least, n, kids, leaves, saved, ends, depth, key, parent, None))
+            node = up.setdefault(parent, [i, least, 0, 0, 0, 0, None])
+            node[1] = min(node[1], least)
+            for k, more in ((2, n), (3, 1), (4, leaves), (5, saved)):
+                node[k] += more
+        now = up
+    kinds = (*[pa.int64()] * 5, pa.string(), pa.int32(), pa.binary(), pa.binary(), LINKS)
+    names = [c.split()[0] for c in NODE.split(", ")] + ["key", "parent", "chain"]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def peeled(chains: DataFrame, most_rows: int = 256, most_levels: int = 1 << 18) -> DataFrame:
+    """The trie of (conv_id, chain): one row for each node, as prefix_trie says.
+
+    Small subtrees are peeled whole, each in a task, down to their anchors; what they are there joins the sequences that end in large
+    ones, and from the deepest of these on a depth is one round of all tasks. Results do not depend on what is small.
+    """
     spark = chains.sparkSession
     folder = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
-    ended(chains).write.partitionBy("depth").parquet(f"{folder}/ended")
-    ends = spark.read.schema(f"conv_id bigint, chain {LINK}, n_convs bigint, ends_sha256 string, depth int").parquet(f"{folder}/ended")
+    ends = staged(ended(chains))
+    anchored = ends.join(_anchors(ends, most_rows, most_levels), "conv_id", "left")
+    anchored = staged(anchored)
+    below = anchored.where("anchor is not null").groupBy("anchor").applyInArrow(_peel, f"{NODE}, key binary, parent binary, chain {LINK}")
+    below = staged(below)
     zero = F.lit(0).cast("bigint")
-    new = ends.select("depth", "chain", "conv_id", "n_convs", zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved_tokens"), "ends_sha256")
-    deepest = ends.agg(F.max("depth")).first()[0]  # one number
+    alone = anchored.where("anchor is null").select("chain", "conv_id", "n_convs", zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved_tokens"), "ends_sha256", "depth")
+    new = alone.unionByName(below.where("key is null").drop("key", "parent"))
+    deepest = new.agg(F.max("depth")).first()[0]  # one number
     if deepest is None:
         return spark.createDataFrame([], "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string")
     sums = [F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")], F.max("ends_sha256").alias("ends_sha256")]
@@ -148,18 +213,19 @@ def peeled(chains: DataFrame) -> DataFrame:
         nodes = rows.groupBy("chain").agg(*sums) if depth else rows.groupBy().agg(*sums).withColumn("chain", F.array().cast(LINK))
         words = F.coalesce(F.get("chain", F.lit(depth - 1))["words"], F.lit(0)) if depth else F.lit(0)
         nodes = nodes.withColumns({"n_leaves": F.greatest("n_leaves", F.lit(1)), "saved_tokens": (F.col("saved_tokens") + (F.col("n_convs") - 1) * words).cast("bigint")})
-        nodes.write.parquet(f"{folder}/nodes/depth={depth}")  # a depth is told once, and read by the next and by the result
-        survivors = spark.read.schema(kind).parquet(f"{folder}/nodes/depth={depth}").select(
+        nodes.write.parquet(f"{folder}/depth={depth}")  # a depth is told once, and read by the next and by the result
+        survivors = spark.read.schema(kind).parquet(f"{folder}/depth={depth}").select(
             F.slice("chain", 1, max(depth - 1, 0)).alias("chain"), "conv_id", "n_convs", F.lit(1).cast("bigint").alias("n_children"), "n_leaves", "saved_tokens", F.lit(None).cast("string").alias("ends_sha256")
         )
-    own = spark.read.schema(f"{kind}, depth int").parquet(f"{folder}/nodes")
+    own = spark.read.schema(f"{kind}, depth int").parquet(folder)
     key = lambda back: F.get("chain", F.col("depth") - back)["key"]
-    told = own.select(key(1).alias("key"), key(2).alias("parent"), "conv_id", F.col("depth").cast("bigint").alias("depth"), "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256"))
-    rest = ("n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    rest = ("n_convs", "n_children", "n_leaves", "saved_tokens")
+    told = own.withColumns({"key": key(1), "parent": key(2)}).drop("chain").unionByName(below.where("key is not null").drop("chain"))
+    told = told.select("key", "parent", "conv_id", F.col("depth").cast("bigint").alias("depth"), *rest, F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256"))
     root = own.where("depth = 0").first()["conv_id"]  # the least id of all
-    top = told.where("depth < 2").select("conv_id", "depth", F.when(F.col("depth") == 1, F.lit(root)).alias("parent_conv_id"), *rest)
+    top = told.where("depth < 2").select("conv_id", "depth", F.when(F.col("depth") == 1, F.lit(root)).alias("parent_conv_id"), *rest, "ends_sha256")
     parents = told.where("n_children > 0 and depth > 0").select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    return top.unionByName(told.where("depth > 1").join(parents, "parent").select("conv_id", "depth", "parent_conv_id", *rest))
+    return top.unionByName(told.where("depth > 1").join(parents, "parent").select("conv_id", "depth", "parent_conv_id", *rest, "ends_sha256"))
 
 
 def prefix_trie(convs: DataFrame) -> DataFrame:
@@ -172,7 +238,8 @@ def prefix_trie(convs: DataFrame) -> DataFrame:
 
     Null roles and texts are empty, null turns come first, equal turns stand by digest, repeated rows are turns each.
     Rows without a conv_id belong to no conversation and are left out. Other columns are not read. No rows give no
-    nodes. A conversation's turns (40 bytes each) meet in one task; a depth is a round, so rounds grow with the longest conversation.
+    nodes. A conversation's turns (40 bytes each) meet in one task. A depth of large subtrees is a round of Spark jobs: rounds grow
+    with the depth at which the last subtree of more than 256 distinct conversations has become small.
     """
     return peeled(chained(sequences(turn_digests(convs))))
 

@@ -75,6 +75,15 @@ def test_trie_against_brute_force(spark, talks):
     assert prefix_trie.spliced_trie(df.limit(0)).collect() == [] and prefix_trie.prefix_trie(df.where("conv_id is null")).collect() == []
 
 
+def test_small_and_large_subtrees_agree(spark, talks):
+    """Whatever counts as small: all peeled in rounds, one small subtree a sequence, or most in tasks; deep ones among them."""
+    rows = talks + [(2000 + c, t, "user", f"deep {t if t < 9 else t * c}") for c in range(3) for t in range(20)]
+    chains = prefix_trie.chained(prefix_trie.sequences(prefix_trie.turn_digests(frame(spark, rows)))).cache()
+    want = plain_trie(rows, spliced=False)
+    for rows_at_most, levels in ((0, 0), (2, 9), (256, 1 << 18)):
+        assert sorted(map(tuple, prefix_trie.peeled(chains, rows_at_most, levels).collect()), key=str) == want
+
+
 def test_trie_nodes_have_their_turns(spark, talks):
     rows = [r for r in talks if r[0] is not None and r[0] >= 1000]
     df = frame(spark, rows)
