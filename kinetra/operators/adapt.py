@@ -94,17 +94,44 @@ def coral(source: DataFrame, calibration: DataFrame, features: str, reg: float =
     return affine(source, features, ms, coral_weights(cs, ct, reg), mt)
 
 
+def signed(vectors: np.ndarray) -> np.ndarray:
+    """Each column with its largest entry positive: eigenvectors have no sign of their own."""
+    if not vectors.size:
+        return vectors
+    return vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1)
+
+
 def subspace(cov: np.ndarray, k: int) -> np.ndarray:
+    """The k leading axes, none beyond the rank: what lies there is rounding, not the data's."""
     values, vectors = np.linalg.eigh(cov)
-    return vectors[:, np.argsort(-values, kind="stable")[:k]]
+    best = np.argsort(-values, kind="stable")[:k]
+    return signed(vectors[:, best[values[best] > max(values.max(), 0) * len(cov) * 1e-13]])
+
+
+def principal_axes(df: DataFrame, features: str, k: int, dense: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, axes) of the rows: from the summed covariance up to `dense` features, by block Lanczos (no covariance) beyond."""
+    width = df.select(F.size(features)).first()
+    if width is None or width[0] <= dense:
+        _, mean, cov = gram(df, features)
+        return mean, subspace(cov, min(k, len(mean)))
+    from kinetra.operators import tall
+
+    mean, values, axes = tall.principal(df, features, min(k, width[0]))
+    return mean, signed(axes[:, values > values.max() * width[0] * 1e-13])
+
+
+def aligned(source: DataFrame, target: DataFrame, features: str, components: int) -> tuple[tuple, tuple]:
+    """What affine() needs for both sides: the source's principal axes turned to the target's."""
+    (ms, ps), (mt, pt) = principal_axes(source, features, components), principal_axes(target, features, components)
+    k = min(ps.shape[1], pt.shape[1])
+    ps, pt = ps[:, :k], pt[:, :k]
+    return (ms, ps @ (ps.T @ pt), mt[:k]), (mt, pt, mt[:k])
 
 
 def subspace_alignment(source: DataFrame, target: DataFrame, features: str, components: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(source, target) in k dimensions: the source's principal axes turned to the target's."""
-    (_, ms, cs), (_, mt, ct) = gram(source, features), gram(target, features)
-    k = min(components, len(ms))
-    ps, pt = subspace(cs, k), subspace(ct, k)
-    return affine(source, features, ms, ps @ (ps.T @ pt), mt[:k]), affine(target, features, mt, pt, mt[:k])
+    """(source, target) in k dimensions: the source's principal axes turned to the target's, k the lesser rank at most."""
+    a, b = aligned(source, target, features, components)
+    return affine(source, features, *a), affine(target, features, *b)
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,6 +154,38 @@ def transfer_components(source: np.ndarray, target: np.ndarray, k: int, mu: floa
     return mean, sd, half @ _leading(np.outer(gap, gap) + mu * np.eye(len(half)), spread @ spread.T, k)
 
 
+def transfer_axes(source: DataFrame, target: DataFrame, features: str, k: int, mu: float, seed: int = 42, dense: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """transfer_components() on all rows of both sides: no kernel is formed and no row leaves its task.
+
+    With G = Z'Z and the gap g of the sides' means the projection is P = G c of G G c = l (mu I + g g'G) c. Up to `dense` features G is
+    summed in one pass and solved. Beyond that G is never formed: the problem is symmetric in the inner product of
+    mu G + G g g'G, and block Lanczos finds c with two passes over the rows a round.
+    """
+    from kinetra.operators import tall
+
+    both = source.select(features).unionByName(target.select(features))
+    _, mean, sd = tall.moments(both, features)
+    sd = np.where(sd < 1e-8, 1, sd)
+    gap = (tall.moments(source, features)[1] - tall.moments(target, features)[1]) / sd
+    total = lambda c: tall.products(both, features, c, mean, sd)
+    if len(mean) <= dense:
+        g = total(np.eye(len(mean)))
+        values, vectors = np.linalg.eigh((g + g.T) / 2)
+        half = vectors * np.sqrt(np.maximum(values, 0)) @ vectors.T
+        return mean, sd, half @ _leading(np.outer(half @ gap, half @ gap) + mu * np.eye(len(half)), half @ g @ half, k)
+    gg = total(gap[:, None])[:, 0]
+
+    def apply(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gc = total(c)
+        cgc = total(gc)
+        inverse = (cgc - np.outer(gap, (gg @ cgc) / (mu + gap @ gg))) / mu  # (mu I + g (G g)')^-1 by the rank of one
+        return inverse, mu * gc + np.outer(gg, gap @ gc)
+
+    start = np.random.default_rng(seed).normal(size=(len(mean), min(k + 8, len(mean))))
+    _, c = tall.leading(apply, start, k)
+    return mean, sd, signed(total(c[:, ::-1]))
+
+
 def _jointly(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, spread and standardised rows of both sides together."""
     x = np.concatenate((source, target))
@@ -146,11 +205,11 @@ def _components(kernel: np.ndarray, n_source: int, k: int, mu: float) -> np.ndar
 
 
 def _leading(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """The k vectors of B w = l A w with the greatest l, by the Cholesky factor of A."""
+    """The k vectors of B w = l A w with the greatest l, in ascending order of l, by the Cholesky factor of A."""
     r = _cholesky((a + a.T) / 2)
     half = np.linalg.solve(r, (b + b.T) / 2)
     values, vectors = np.linalg.eigh((lambda m: (m + m.T) / 2)(np.linalg.solve(r, half.T)))
-    return np.linalg.solve(r.T, vectors[:, np.argsort(-values, kind="stable")[:k]])
+    return signed(np.linalg.solve(r.T, vectors[:, np.sort(np.argsort(-values, kind="stable")[:k])]))
 
 
 def gaussian_components(source: np.ndarray, target: np.ndarray, k: int, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
@@ -165,7 +224,7 @@ def gaussian_components(source: np.ndarray, target: np.ndarray, k: int, mu: floa
 
 def tca_gaussian(source: DataFrame, target: DataFrame, features: str, identity: str, components: int = 50, mu: float = 1.0, most: int = 6000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(source, target) as their kernels with the sampled rows (a broadcast of at most `most` rows), times the weights."""
-    sample = _both_sides(source, target, features, identity, most, seed)
+    sample = [_array(df, features) for df in _both_sides(source, target, identity, most, seed)]
     held = source.sparkSession.sparkContext.broadcast(gaussian_components(*sample, min(components, sum(map(len, sample))), mu))
 
     def mapped(df: DataFrame) -> DataFrame:
@@ -185,20 +244,30 @@ def tca_gaussian(source: DataFrame, target: DataFrame, features: str, identity:
     return mapped(source), mapped(target)
 
 
-def _both_sides(source: DataFrame, target: DataFrame, features: str, identity: str, most: int, seed: int) -> list[np.ndarray]:
-    """At most `most` rows, by hash from both sides in proportion."""
+def _array(df: DataFrame, features: str) -> np.ndarray:
+    """A bounded sample's rows: a kernel of all pairs of them is part of the fitted map, and is broadcast."""
+    return matrix(df.select(features).toArrow().column(0).combine_chunks())
+
+
+def _both_sides(source: DataFrame, target: DataFrame, identity: str, most: int, seed: int) -> list[DataFrame]:
+    """At most `most` rows, by hash from both sides in proportion; all where there are no more."""
     ns, nt = source.count(), target.count()
-    caps = (ns, nt) if ns + nt <= most else (max(100, most * ns // (ns + nt)), max(50, most * nt // (ns + nt)))
-    return [matrix(df.orderBy(F.xxhash64(F.lit(seed), identity), identity).limit(n).select(features).toPandas()[features]) for df, n in zip((source, target), caps, strict=True)]
+    if ns + nt <= most:
+        return [source, target]
+    caps = max(100, most * ns // (ns + nt)), max(50, most * nt // (ns + nt))
+    return [df.orderBy(F.xxhash64(F.lit(seed), identity), identity).limit(n) for df, n in zip((source, target), caps, strict=True)]
+
+
+def tca(source: DataFrame, target: DataFrame, features: str, identity: str, components: int = 50, mu: float = 1.0, most: int | None = 6000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(source, target) projected. Fitted on at most `most` rows, drawn by hash from both sides in proportion, or (None) on all rows."""
+    given = transfer_affine(*(_both_sides(source, target, identity, most, seed) if most else (source, target)), features, components, mu)
+    return affine(source, features, *given), affine(target, features, *given)
 
 
-def tca(source: DataFrame, target: DataFrame, features: str, identity: str, components: int = 50, mu: float = 1.0, most: int = 6000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(source, target) projected. The kernel is on at most `most` rows, drawn by hash from both sides in proportion."""
-    sample = _both_sides(source, target, features, identity, most, seed)
-    mean, sd, projection = transfer_components(*sample, min(components, sum(map(len, sample))), mu)
-    w = projection / sd[:, None]
-    zero = np.zeros(w.shape[1])
-    return affine(source, features, mean, w, zero), affine(target, features, mean, w, zero)
+def transfer_affine(source: DataFrame, target: DataFrame, features: str, components: int, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What affine() needs to project rows on the transfer components of both sides."""
+    mean, sd, projection = transfer_axes(source, target, features, components, mu)
+    return mean, projection / sd[:, None], np.zeros(projection.shape[1])
 
 
 #: name -> function of (source, calibration, target, identity, study) -> (source, target)
@@ -219,14 +288,10 @@ def _centred(source: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _on_target(method, s: DataFrame, c: DataFrame, t: DataFrame, identity: str, study) -> tuple[DataFrame, DataFrame]:
     """Fit on source and calibration rows, apply to source and final rows."""
     if method is tca:
-        sample = _both_sides(s, c, "features", identity, study.tca_rows, study.seed)
-        mean, sd, projection = transfer_components(*sample, min(study.tca_components, sum(map(len, sample))), study.tca_mu)
-        args = (mean, projection / sd[:, None], np.zeros(projection.shape[1]))
-        return affine(s, "features", *args), affine(t, "features", *args)
-    (_, ms, cs), (_, mt, ct) = gram(s, "features"), gram(c, "features")
-    k = min(study.sa_components, len(ms))
-    ps, pt = subspace(cs, k), subspace(ct, k)
-    return affine(s, "features", ms, ps @ (ps.T @ pt), mt[:k]), affine(t, "features", mt, pt, mt[:k])
+        given = transfer_affine(*_both_sides(s, c, identity, study.tca_rows, study.seed), "features", study.tca_components, study.tca_mu)
+        return affine(s, "features", *given), affine(t, "features", *given)
+    a, b = aligned(s, c, "features", study.sa_components)
+    return affine(s, "features", *a), affine(t, "features", *b)
 
 
 def adapt(method: str, source: DataFrame, calibration: DataFrame, target: DataFrame, identity: str, study) -> tuple[DataFrame, DataFrame]:

@@ -68,6 +68,8 @@ def evaluate(xs: np.ndarray, ys: np.ndarray, xc: np.ndarray, xt: np.ndarray, yt:
     elif method == "sa":
         k = min(study.sa_components, xs.shape[1])
         ps, pt = A.subspace(np.cov(xs, rowvar=False), k), A.subspace(np.cov(xc, rowvar=False), k)
+        k = min(ps.shape[1], pt.shape[1])  # axes beyond the rank of either side are rounding
+        ps, pt = ps[:, :k], pt[:, :k]
         a, t = (xs - xs.mean(axis=0)) @ ps @ (ps.T @ pt), (xt - xc.mean(axis=0)) @ pt
     elif method != "raw":
         raise ValueError(f"unknown method {method}")
