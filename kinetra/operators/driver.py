@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinetra import config
 from kinetra.config import Database, Study
-from kinetra.operators import rocket, runner, segment, split
+from kinetra.operators import folds, rocket, runner, segment, split
 from kinetra.sources import recordings, results
 
 
@@ -28,20 +28,39 @@ def windows(samples: DataFrame, base: Database, labels: DataFrame, study: Study)
     return cut.select(F.xxhash64("path", "trial_id", "window_id").alias("row_id"), F.col("subject_id").cast("int").alias("subject_id"), F.col("class_idx").alias("y"), "rep", by_channel.alias("x"))
 
 
-def run(features: DataFrame, study: Study, name: str, methods: Iterable[str], seeds: tuple[int, ...], done: DataFrame | None = None, held_out: int | None = None) -> DataFrame:
-    """Result rows of all pending (subject, method, seed) folds over shared features (row_id, subject_id, y, rep, features).
+def planned(features: DataFrame, study: Study, name: str, methods: Iterable[str], seeds: tuple[int, ...], held_out: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with the seeds that hold them, pool, folds) of a study over shared features (row_id, subject_id, y, rep, features).
 
     Each seed holds other repetitions of the target. held_out: as many subjects, the first ids, are targets; all are sources.
+    A subject counts in pools with the rows that it gives to them, study.per_subject at most.
     """
     spark = features.sparkSession
     sides = split.seeded_split(features, "y", "rep", study.calibration, seeds, keys=("subject_id",))
     rows = features.join(sides, ["subject_id", "y", "rep"])
-    counts = rows.groupBy("subject_id").agg(F.count("*").alias("n"))
+    counts = folds.capped(rows.select("subject_id", "row_id", "y"), study).groupBy("subject_id").agg(F.count("*").alias("n"))
     targets = counts.select("subject_id") if held_out is None else counts.select("subject_id").orderBy("subject_id").limit(held_out)
     pool = split.source_pool(counts, targets.select(F.col("subject_id").alias("fold")), study.pool).select("fold", "subject_id")
     grid = spark.createDataFrame([(m, s) for m in methods for s in seeds], "method string, seed int")
-    folds = targets.crossJoin(F.broadcast(grid)).withColumn("config_hash", runner.config_hash(study, name))  # a row a method and seed
-    return runner.run_folds(rows, pool, runner.pending(folds, done), study)
+    return rows, pool, targets.crossJoin(F.broadcast(grid)).withColumn("config_hash", runner.config_hash(study, name))  # a row a method and seed
+
+
+def run(features: DataFrame, study: Study, name: str, methods: Iterable[str], seeds: tuple[int, ...], done: DataFrame | None = None, held_out: int | None = None) -> DataFrame:
+    """Result rows of all pending (subject, method, seed) folds, on rows: all methods, ridge by exact leave-one-out."""
+    rows, pool, asked = planned(features, study, name, methods, seeds, held_out)
+    return runner.run_folds(rows, pool, runner.pending(asked, done), study)
+
+
+def run_by_sums(features: DataFrame, study: Study, name: str, methods: Iterable[str], seeds: tuple[int, ...], values: dict[str, tuple[float, ...]] | None = None, done: DataFrame | None = None, held_out: int | None = None) -> DataFrame:
+    """The same by sums (see folds): no row is copied per fold, whatever the pool; with kernel importance. Not for TCA.
+
+    values: for a method, the settings to run it with, all from the same sums; they stand in the results as `value`.
+    """
+    rows, pool, asked = planned(features, study, name, methods, seeds, held_out)
+    asked = runner.pending(asked, done)
+    if values:
+        every = [(m, float(v)) for m, vs in values.items() for v in vs]
+        asked = asked.join(F.broadcast(features.sparkSession.createDataFrame(every, "method string, value double")), "method", "left")
+    return folds.run_by_sums(rows, pool, asked, study)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:

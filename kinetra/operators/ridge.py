@@ -62,17 +62,21 @@ def fit_all(df: DataFrame, features: str = "features", label: str = "y", alphas:
     sides = F.array(*[F.when(F.col(label) == c, 1.0).otherwise(-1.0) for c in classes])
     n, mean, cov = gram(df.select(F.concat(F.transform(features, lambda v: v.cast("double")), sides).alias("_xy")), "_xy")
     k = len(mean) - len(classes)
-    values, vectors = np.linalg.eigh(cov[:k, :k] * (n - 1))
-    values, uy = np.maximum(values, 0), vectors.T @ cov[:k, k:] * (n - 1)
-    total = np.trace(cov[k:, k:]) * (n - 1)
+    best, coef = by_sums(cov[:k, :k] * (n - 1), cov[:k, k:] * (n - 1), np.trace(cov[k:, k:]) * (n - 1), n, alphas)
+    return Ridge(np.array(classes), coef, mean[k:] - mean[:k] @ coef, best)
+
+
+def by_sums(xx: np.ndarray, xy: np.ndarray, total: float, n: float, alphas: np.ndarray = ALPHAS) -> tuple[float, np.ndarray]:
+    """(strength, coefficients) from X'X, X'Y and the trace of Y'Y, all about the means: least generalised cross-validation error."""
+    values, vectors = np.linalg.eigh((xx + xx.T) / 2)
+    values, uy = np.maximum(values, 0), vectors.T @ xy
 
     def error(a: float) -> float:
         left = total - 2 * (uy**2 / (values + a)[:, None]).sum() + (values[:, None] * uy**2 / (values + a)[:, None] ** 2).sum()
         return left / n / (1 - ((values / (values + a)).sum() + 1) / n) ** 2
 
     best = float(min(alphas, key=error))
-    coef = vectors @ (uy / (values + best)[:, None])
-    return Ridge(np.array(classes), coef, mean[k:] - mean[:k] @ coef, best)
+    return best, vectors @ (uy / (values + best)[:, None])
 
 
 def fit_rows(df: DataFrame, features: str = "features", label: str = "y", alphas: np.ndarray = ALPHAS, by_accuracy: bool = False) -> Ridge:

@@ -8,11 +8,12 @@ from dataclasses import asdict, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.config import Study
 from kinetra.operators import adapt as A
+from kinetra.operators import folds as by_sums
 from kinetra.operators import ridge
 from kinetra.operators.adapt import matrix
 
@@ -86,17 +87,18 @@ def run_folds(features: DataFrame, pool: DataFrame, folds: DataFrame, study: Stu
 
     features: subject_id, row_id, y, features, and side (held: calibration, kept: final) or, where that depends on the
     seed, held_seeds: the seeds in which a row is held. A fold's seed also draws the rows for ridge and TCA. pool: fold, subject_id pairs, the
-    sources of each fold, whose rows are capped by study.per_subject before they are sent to folds. A fold is one
-    group, whatever its methods and seeds: its rows are sent and decoded once. Its size is bounded by the pool's cap.
+    sources of each fold. A subject gives study.per_subject rows at most and a pool has study.pool at most, by class shares. A
+    fold is one group, whatever its methods and seeds: its rows are sent and decoded once, and the pool's cap bounds it.
     An error is a row, not a failed job. Folds with nothing pending are sent no rows.
     """
     seeded = "held_seeds" in features.columns
     held = F.col("held_seeds") if seeded else F.when(F.col("side") == "held", F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     own = features.select(F.col("subject_id").alias("fold"), "row_id", "y", "features", held.cast("array<int>").alias("held"))
-    ranked = features.withColumn("_k", F.row_number().over(Window.partitionBy("subject_id").orderBy(F.xxhash64(F.lit(study.seed), "row_id"), "row_id")))
     asked = folds.select(F.col("subject_id").alias("fold"), "method", "seed", "config_hash")
     wanted = asked.select("fold").distinct()
-    sources = ranked.where(F.col("_k") <= study.per_subject).join(pool.join(wanted, "fold", "left_semi"), "subject_id").select("fold", "row_id", "y", "features", F.lit(None).cast("array<int>").alias("held"))
+    given, own_pool = by_sums.capped(features.select("subject_id", "row_id", "y", "features"), study), pool.join(wanted, "fold", "left_semi")
+    less = by_sums.dropped(given.drop("features"), own_pool, study)
+    sources = given.join(own_pool, "subject_id").join(less, ["fold", "row_id"], "left_anti").select("fold", "row_id", "y", "features", F.lit(None).cast("array<int>").alias("held"))
     rows = own.join(wanted, "fold", "left_semi").unionByName(sources)
     names = [c.split()[0] for c in RESULT.split(", ")]
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from kinetra.config import INFERENTIAL, SEEDS, Study
-from kinetra.operators import adapt, driver, ridge, rocket, runner, scale, split
+from kinetra.config import COMPONENT_GRID, CORAL_GRID, INFERENTIAL, SEEDS, Study
+from kinetra.operators import adapt, driver, folds, ridge, rocket, runner, scale, split
 from kinetra.plans import bindings as B
-from kinetra.plans.registry import query, r6
+from kinetra.plans.registry import query, r6, rounded
 
 MOM = f"{B.LE}, mo AS (SELECT j, avg(v) AS m, CASE WHEN sqrt(var_pop(v)) < 1e-8 THEN 1 ELSE sqrt(var_pop(v)) END AS s FROM le WHERE vec_id % 4 < 2 GROUP BY j)"
 
 
+#: Methods whose folds follow from sums.
+BY_SUMS = ("raw", "centering", "coral", "sa")
+
+
 def _role(spark, d, role):
     return B.embeddings(spark, d).where(F.col("role") == role)
 
@@ -62,13 +65,15 @@ def _(spark, d):
 
 @query("ml16_tca")
 def _(spark, d):
-    a, b = adapt.tca(_role(spark, d, "source"), _role(spark, d, "calibration"), "features", "vec_id", 16, most=600)
+    """Fitted on all rows of both sides."""
+    a, b = adapt.tca(_role(spark, d, "source"), _role(spark, d, "calibration"), "features", "vec_id", 16, most=None)
     return a.unionByName(b)
 
 
 @query("ml16_tca_gaussian")
 def _(spark, d):
-    a, b = adapt.tca_gaussian(_role(spark, d, "source"), _role(spark, d, "calibration"), "features", "vec_id", 16, most=1500)
+    """The kernel is on 6,000 rows at most, the published bound."""
+    a, b = adapt.tca_gaussian(_role(spark, d, "source"), _role(spark, d, "calibration"), "features", "vec_id", 16)
     return a.unionByName(b)
 
 
@@ -80,12 +85,15 @@ def _(spark, d):
 
 @query("ml18_dispatch")
 def _(spark, d):
+    """Each method's adapted rows of both sides: their number, width, and sums of values and squares."""
     s, c, t = (_role(spark, d, r) for r in ("source", "calibration", "final"))
     out = None
-    for method in ("centering", "coral", "tca", "sa"):
-        a, _t = adapt.adapt(method, s, c, t, "vec_id", Study(tca_rows=600, tca_components=8, sa_components=8))
-        part = a.select(F.lit(method).alias("method"), "vec_id", F.size("features").alias("width"))
-        out = part if out is None else out.unionByName(part)
+    for method in ("raw", "centering", "coral", "tca", "sa"):
+        for side, df in zip(("source", "target"), adapt.adapt(method, s, c, t, "vec_id", Study(tca_components=8, sa_components=8)), strict=True):
+            total = lambda f: F.sum(F.aggregate("features", F.lit(0.0), lambda a, v: a + f(v.cast("double"))))  # noqa: E731, B023
+            part = df.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width"), total(lambda v: v).alias("total"), total(lambda v: v * v).alias("squares"))
+            part = part.select(F.lit(method).alias("method"), F.lit(side).alias("side"), "n", "width", *r6(total="total", squares="squares"))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -99,16 +107,15 @@ def _(spark, d):
 
 @query("ml9_ridge")
 def _(spark, d):
-    rows = split.exact_sample(_role(spark, d, "source"), 4000, 42, "vec_id").select("features", "y").toPandas()
-    model = ridge.fit(np.array(rows["features"].tolist(), float), rows["y"].to_numpy())
-    return ridge.predict(_role(spark, d, "final"), model, keep=("vec_id", "y"))
+    """The published draw of 8,000 rows, each left out once; the rows stay in tasks."""
+    rows = split.exact_sample(_role(spark, d, "source"), Study().ridge_rows, 42, "vec_id").select("features", "y")
+    return ridge.predict(_role(spark, d, "final"), ridge.fit_rows(rows), keep=("vec_id", "y"))
 
 
-@query("ml24_kernel_importance")
+@query("ml9_ridge_every_row")
 def _(spark, d):
-    rows = split.exact_sample(_role(spark, d, "source"), 4000, 42, "vec_id").select("features", "y").toPandas()
-    model = ridge.fit(np.array(rows["features"].tolist(), float), rows["y"].to_numpy())
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(np.abs(model.coef).mean(axis=1))], "kernel_id int, importance double")
+    """The same on all source rows."""
+    return ridge.predict(_role(spark, d, "final"), ridge.fit_rows(_role(spark, d, "source")), keep=("vec_id", "y"))
 
 
 def _windows(spark, d):
@@ -136,44 +143,84 @@ def _(spark, d):
     return B.channels(spark, d).select("subject_id", "window_id", F.round(share, 6).alias("ppv"))
 
 
-def _study(spark, d, methods, study, seeds=None):
+def _features(spark, d, kernels=32):
     w = _windows(spark, d).where("y > 0")
-    f = rocket.Extractor("custom_ppv", 32).fit(w, "x", "row_id", 2).transform(w, "x")
-    return driver.run(f.withColumn("subject_id", F.col("subject_id").cast("int")), study, "custom_ppv", methods, seeds or (study.seed,))
+    f = rocket.Extractor("custom_ppv", kernels).fit(w, "x", "row_id", 2).transform(w, "x")
+    return f.withColumns({"subject_id": F.col("subject_id").cast("int"), "y": (F.col("y") - 1).cast("int")})
 
 
 @query("ex1_leave_one_subject_out")
 def _(spark, d):
-    return _study(spark, d, INFERENTIAL, Study(tca_components=8, sa_components=8, tca_rows=600, pool=2000))
+    """On rows, with transfer components; a pool of 2,000 rows."""
+    return driver.run(_features(spark, d), Study(tca_components=8, sa_components=8, tca_rows=600, pool=2000), "custom_ppv", INFERENTIAL, (Study().seed,))
+
+
+@query("ex1_by_sums")
+def _(spark, d):
+    """Every subject, pools of 50,000 rows and the published defaults: all methods that follow from sums."""
+    return driver.run_by_sums(_features(spark, d), Study(), "custom_ppv", BY_SUMS, (Study().seed,)).drop("importance")
+
+
+POOL = Study(per_subject=12, pool=200)
+STATS = ("mean", "sd", "k_mean")
+
+
+@query("ex1_pool_statistics", f"""WITH {B.SIG}, {B.WIN},
+ f AS (SELECT subject_id, window_id, CAST(y AS INT) AS y, {", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in STATS)}, md5('42:' || CAST(subject_id * 100000 + window_id AS VARCHAR)) AS h, subject_id * 100000 + window_id AS row_id FROM win WHERE y > 0),
+ c AS (SELECT *, row_number() OVER (PARTITION BY subject_id, y ORDER BY h, row_id) AS k, count(*) OVER (PARTITION BY subject_id, y) AS nc, count(*) OVER (PARTITION BY subject_id) AS n FROM f),
+ g AS (SELECT * FROM c WHERE n <= 12 OR k <= greatest(1, floor(nc / n * 12))),
+ s AS (SELECT subject_id, count(*) AS n FROM g GROUP BY 1),
+ p AS (SELECT a.subject_id AS fold, b.subject_id, b.n, sum(b.n) OVER (PARTITION BY a.subject_id ORDER BY b.subject_id) - b.n AS before FROM s a JOIN s b ON a.subject_id <> b.subject_id),
+ r AS (SELECT p.fold, g.*, count(*) OVER (PARTITION BY p.fold) AS pn, count(*) OVER (PARTITION BY p.fold, g.y) AS pc, row_number() OVER (PARTITION BY p.fold, g.y ORDER BY g.h, g.row_id) AS pk FROM p JOIN g ON p.subject_id = g.subject_id WHERE p.before < 200),
+ q AS (SELECT * FROM r WHERE pn <= 200 OR pk <= greatest(1, floor(pc / pn * 200)))
+ SELECT fold, count(*) AS n, count(DISTINCT y) AS classes, {", ".join(f"round(avg({c}), 6) AS {c}" for c in STATS)}, round(covar_samp(mean, sd), 4) AS cov_mean_sd, round(covar_samp(mean, k_mean), 4) AS cov_mean_k, round(var_samp(sd), 4) AS var_sd FROM q GROUP BY fold""")
+def _(spark, d):
+    """Size, classes, means and covariances of every fold's pool, from sums over prefixes of the subjects."""
+    w = B.windows(spark, d).where("y > 0").select(F.col("subject_id").cast("int").alias("subject_id"), (F.col("subject_id") * 100_000 + F.col("window_id")).alias("row_id"), F.col("y").cast("int").alias("y"), F.array(*[F.col(c).cast("float") for c in STATS]).alias("features"))
+    counts = folds.capped(w, POOL).groupBy("subject_id").agg(F.count("*").alias("n"))
+    pool = split.source_pool(counts, counts.select(F.col("subject_id").alias("fold")), POOL.pool).select("fold", "subject_id")
+    wanted = counts.select(F.col("subject_id").alias("fold"), F.lit(42).alias("seed"))
+    sums = folds.fold_sums(w.withColumn("held_seeds", F.array().cast("array<int>")), pool, wanted, POOL, len(B.STIMULI))
+    tile = sums.where("kind = 'source'").select("fold", F.posexplode(F.transform("v", lambda v: v * F.col("sign"))).alias("j", "v")).groupBy("fold", "j").agg(F.sum("v").alias("v"))
+    m = tile.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))  # one small matrix
+    size = 1 + len(STATS) + len(B.STIMULI)
+    at = lambda i, j: F.element_at("m", F.lit(i * size + j))
+    n, mean = at(0, 0), lambda i: at(0, i) / at(0, 0)
+    cov = lambda i, j: (at(i, j) - n * mean(i) * mean(j)) / (n - 1)
+    classes = sum((F.round(at(0, 1 + len(STATS) + k)) > 0).cast("bigint") for k in range(len(B.STIMULI)))
+    return m.select("fold", F.round(n).cast("bigint").alias("n"), classes.alias("classes"), *r6(**{c: mean(i + 1) for i, c in enumerate(STATS)}), *rounded(4, {"cov_mean_sd": cov(1, 2), "cov_mean_k": cov(1, 3), "var_sd": cov(2, 2)}))
 
 
 @query("ex7_multi_seed")
 def _(spark, d):
     """Per method: each seed's mean over subjects, then mean and spread over seeds. A seed draws the held repetitions."""
-    rows = _study(spark, d, ("raw", "coral"), Study(pool=2000), SEEDS).where("error is null")
+    rows = driver.run_by_sums(_features(spark, d), Study(), "custom_ppv", BY_SUMS, SEEDS).where("error is null")
     return rows.groupBy("method", "seed").agg(F.avg("accuracy").alias("a")).groupBy("method").agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("sd"), F.count("*").alias("seeds"))
 
 
 @query("ex6_within_subject")
 def _(spark, d):
-    """Every subject, two split seeds: repetitions of each class are held out, never single windows."""
-    w = _windows(spark, d).where("y > 0")
-    f = rocket.Extractor("custom_ppv", 32).fit(w, "x", "row_id", 2).transform(w, "x")
-    sides = None
-    for seed in SEEDS[:2]:
-        part = split.repetition_split(w, "y", "rep", Study().test_share, seed=seed, keys=("subject_id",)).withColumn("seed", F.lit(seed))
-        sides = part if sides is None else sides.unionByName(part)
-    rows = f.join(sides.select("subject_id", "y", "rep", "side", "seed"), ["subject_id", "y", "rep"])
-    return runner.within_subject(rows.select(F.col("subject_id").cast("int").alias("subject_id"), "seed", "y", "side", "features"))
+    """Every subject and split seed: repetitions of each class are held out, never single windows."""
+    f = _features(spark, d)
+    sides = split.seeded_split(f, "y", "rep", Study().test_share, SEEDS, keys=("subject_id",))
+    rows = f.join(sides, ["subject_id", "y", "rep"]).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    side = F.when(F.array_contains("held_seeds", F.col("seed")), "held").otherwise("kept")
+    return runner.within_subject(rows.select("subject_id", "seed", "y", side.alias("side"), "features"))
 
 
 @query("ex8_sensitivity")
 def _(spark, d):
-    out = None
-    for reg in (1e-1, 1e-3):
-        part = _study(spark, d, ("coral",), Study(coral_reg=reg, pool=2000)).withColumn("value", F.lit(reg))
-        out = part if out is None else out.unionByName(part)
-    return out.where("error is null").groupBy("value").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("sd"), F.count("*").alias("n"))
+    """All published values of CORAL's regularisation and of aligned components, from one set of sums."""
+    rows = driver.run_by_sums(_features(spark, d), Study(), "custom_ppv", ("coral", "sa"), (Study().seed,), {"coral": CORAL_GRID, "sa": COMPONENT_GRID})
+    return rows.where("error is null").groupBy("method", "value").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("sd"), F.count("*").alias("n"))
+
+
+@query("ex9_kernel_importance")
+def _(spark, d):
+    """Each kernel's importance over all folds, by method: mean, spread, number of folds."""
+    rows = driver.run_by_sums(_features(spark, d), Study(), "custom_ppv", ("raw", "coral"), (Study().seed,)).where("error is null")
+    each = rows.select("method", F.posexplode("importance").alias("kernel_id", "v"))
+    return each.groupBy("method", "kernel_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count("*").alias("folds"))
 
 
 @query("ex2_config_hash")
