@@ -1,4 +1,4 @@
-"""python -m kinetra list | query NAME TABLES [--out PATH] | trials FOLDER --out PATH | study DATABASE=FOLDER... --out PATH"""
+"""python -m kinetra list | query NAME TABLES [--out PATH] | trials FOLDER --out PATH | study DATABASE=FOLDER... --out PATH | clear PATH"""
 
 from __future__ import annotations
 
@@ -30,6 +30,10 @@ def main() -> None:
     r.add_argument("--seeds", nargs="+", type=int, default=list(SEEDS))
     r.add_argument("--subjects", type=int, help="as many target subjects; all subjects stay sources")
     r.add_argument("--grouped", action="store_true", help="functional groups in place of movements")
+    r.add_argument("--by-sums", action="store_true", help="folds by sums, with kernel importance; without TCA")
+    c = sub.add_parser("clear", help="list what a study's feature cache holds that nothing names; --delete removes it")
+    c.add_argument("out")
+    c.add_argument("--delete", action="store_true")
     args = p.parse_args()
     from kinetra.plans import evaluation, models, signals, tables  # noqa: F401
     from kinetra.plans.registry import QUERIES
@@ -45,10 +49,16 @@ def main() -> None:
     if args.command == "study":
         from kinetra.operators import driver
 
-        errors = driver.study_all(spark, dict(f.split("=", 1) for f in args.folders), args.out, Study(kernels=args.kernels), extractor=args.extractor, methods=tuple(args.methods), seeds=tuple(args.seeds), grouped=args.grouped, held_out=args.subjects)
+        errors = driver.study_all(spark, dict(f.split("=", 1) for f in args.folders), args.out, Study(kernels=args.kernels), extractor=args.extractor, methods=tuple(args.methods), seeds=tuple(args.seeds), grouped=args.grouped, held_out=args.subjects, by_sums=args.by_sums)
         for database, error in errors.items():
             print(f"{database}: {error or 'done'}")
         raise SystemExit(any(errors.values()))
+    if args.command == "clear":
+        from kinetra.sources import cache
+
+        for place, reason in cache.clear(spark, f"{args.out}/features", dry_run=not args.delete):
+            print(f"{place}: {reason}")
+        return
     from pyspark.sql import functions as F
 
     from kinetra.operators import segment

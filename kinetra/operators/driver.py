@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from kinetra import config
 from kinetra.config import Database, Study
+from kinetra.durable import staged
 from kinetra.operators import folds, rocket, runner, segment, split
-from kinetra.sources import recordings, results
+from kinetra.sources import cache, recordings, results
 
 
 def windows(samples: DataFrame, base: Database, labels: DataFrame, study: Study) -> DataFrame:
@@ -28,7 +29,7 @@ def windows(samples: DataFrame, base: Database, labels: DataFrame, study: Study)
     return cut.select(F.xxhash64("path", "trial_id", "window_id").alias("row_id"), F.col("subject_id").cast("int").alias("subject_id"), F.col("class_idx").alias("y"), "rep", by_channel.alias("x"))
 
 
-def planned(features: DataFrame, study: Study, name: str, methods: Iterable[str], seeds: tuple[int, ...], held_out: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def planned(features: DataFrame, study: Study, name: str, methods: Iterable[str], seeds: tuple[int, ...], held_out: int | None = None, kind: str = "rows") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with the seeds that hold them, pool, folds) of a study over shared features (row_id, subject_id, y, rep, features).
 
     Each seed holds other repetitions of the target. held_out: as many subjects, the first ids, are targets; all are sources.
@@ -41,7 +42,7 @@ def planned(features: DataFrame, study: Study, name: str, methods: Iterable[str]
     targets = counts.select("subject_id") if held_out is None else counts.select("subject_id").orderBy("subject_id").limit(held_out)
     pool = split.source_pool(counts, targets.select(F.col("subject_id").alias("fold")), study.pool).select("fold", "subject_id")
     grid = spark.createDataFrame([(m, s) for m in methods for s in seeds], "method string, seed int")
-    return rows, pool, targets.crossJoin(F.broadcast(grid)).withColumn("config_hash", runner.config_hash(study, name))  # a row a method and seed
+    return rows, pool, targets.crossJoin(F.broadcast(grid)).withColumn("config_hash", runner.config_hash(study, name, kind))  # a row a method and seed
 
 
 def run(features: DataFrame, study: Study, name: str, methods: Iterable[str], seeds: tuple[int, ...], done: DataFrame | None = None, held_out: int | None = None) -> DataFrame:
@@ -50,12 +51,12 @@ def run(features: DataFrame, study: Study, name: str, methods: Iterable[str], se
     return runner.run_folds(rows, pool, runner.pending(asked, done), study)
 
 
-def run_by_sums(features: DataFrame, study: Study, name: str, methods: Iterable[str], seeds: tuple[int, ...], values: dict[str, tuple[float, ...]] | None = None, done: DataFrame | None = None, held_out: int | None = None) -> DataFrame:
+def run_by_sums(features: DataFrame, study: Study, name: str, methods: Iterable[str], seeds: tuple[int, ...], values: dict[str, tuple[float, ...]] | None = None, done: DataFrame | None = None, held_out: int | None = None, kind: str = "sums") -> DataFrame:
     """The same by sums (see folds): no row is copied per fold, whatever the pool; with kernel importance. Not for TCA.
 
     values: for a method, the settings to run it with, all from the same sums; they stand in the results as `value`.
     """
-    rows, pool, asked = planned(features, study, name, methods, seeds, held_out)
+    rows, pool, asked = planned(features, study, name, methods, seeds, held_out, kind)
     asked = runner.pending(asked, done)
     if values:
         every = [(m, float(v)) for m, vs in values.items() for v in vs]
@@ -73,23 +74,37 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def study_database(spark: SparkSession, database: str, folder: str, out: str, study: Study, extractor: str = "canonical", methods: tuple[str, ...] = config.METHODS, seeds: tuple[int, ...] = config.SEEDS, grouped: bool = False, held_out: int | None = None, base: Database | None = None) -> DataFrame:
+def study_database(spark: SparkSession, database: str, folder: str, out: str, study: Study, extractor: str = "canonical", methods: tuple[str, ...] = config.METHODS, seeds: tuple[int, ...] = config.SEEDS, grouped: bool = False, held_out: int | None = None, base: Database | None = None, by_sums: bool = False) -> DataFrame:
     """A database's result rows: features are computed once and kept under out, results are added where they lack.
 
-    A fold with an error is done again by a rerun; its row with the error is told only as long as it has no other."""
+    Features become visible whole, by their manifest row (see sources.cache). A fold with an error is done again by a rerun; its row
+    with the error is told only as long as it has no other. by_sums: folds by sums (TCA is left out), and each kernel's importance
+    by fold is kept under out/importance, which a rerun takes up like the results.
+    """
     base = base or config.DATABASES[database]
-    files, _ = recordings.quarantine(recordings.read(spark, folder))
     labels = config.group_map(spark, database).withColumnRenamed("group_id", "class_idx") if grouped else spark.range(1, base.n_movements + 1).selectExpr("cast(id as int) movement_id", "cast(id - 1 as int) class_idx")
     name = f"{database}/{extractor}/{'grouped' if grouped else 'all'}"
-    settings = spark.range(1).select(runner.config_hash(study, name)).first()[0]
-    kept = stored(spark, f"{out}/features")
-    if kept is None or kept.where(F.col("config_hash") == settings).isEmpty():
+    given = cache.settings(
+        database=name, seed=study.seed, extractor=extractor, window_ms=study.window_ms, overlap=study.overlap, kernels=study.kernels, calibration=study.calibration,
+        coral_reg=study.coral_reg, tca_components=study.tca_components, sa_components=study.sa_components, fit_mode=f"{study.min_trial} samples a trial",
+    )
+
+    def make() -> DataFrame:
+        files, _ = recordings.quarantine(recordings.read(spark, folder))
         w = windows(files, base, labels, study)
-        found = rocket.Extractor(extractor, study.kernels, study.seed).fit(w, "x", "row_id", base.n_channels).transform(w, "x")
-        results.write_features(found.withColumns({"config_hash": F.lit(settings), "role": F.lit("windows")}), f"{out}/features")
-    features = results.read_features(spark, f"{out}/features", settings).drop("config_hash", "role")
+        return rocket.Extractor(extractor, study.kernels, study.seed).fit(w, "x", "row_id", base.n_channels).transform(w, "x")
+
+    features = cache.cached(spark, f"{out}/features", given, make)
+    kind = "sums" if by_sums else "rows"
     done = stored(spark, f"{out}/results")
-    fresh = run(features, study, name, methods, seeds, None if done is None else done.where(F.col("database") == database), held_out)
+    done = None if done is None else done.where(F.col("database") == database)
+    settings = spark.range(1).select(runner.config_hash(study, name, kind)).first()[0]
+    if by_sums:
+        fresh = staged(run_by_sums(features, study, name, [m for m in methods if m != "tca"], seeds, done=done, held_out=held_out, kind=kind))
+        results.write_importance(fresh.where("error is null").select(F.lit(database).alias("database"), "method", "subject_id", "seed", "config_hash", F.posexplode("importance").alias("kernel_id", "importance")), f"{out}/importance")
+        fresh = fresh.select(*[f.name for f in runner.RESULT_ARROW])
+    else:
+        fresh = run(features, study, name, methods, seeds, done, held_out)
     fresh.withColumn("database", F.lit(database)).write.mode("append").partitionBy("database").parquet(f"{out}/results")
     every = spark.read.parquet(f"{out}/results").where((F.col("database") == database) & (F.col("config_hash") == settings))
     good = every.where("error is null")

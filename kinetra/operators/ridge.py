@@ -151,3 +151,19 @@ def predict(df: DataFrame, model: Ridge, features: str = "features", keep: tuple
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p.astype(np.int32))], names=[*keep, "p"])
 
     return df.select(features, *keep).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "p int"]))
+
+
+def score(df: DataFrame, model: Ridge, features: str, prediction: str, raw: str) -> DataFrame:
+    """df with the class of the highest score (double) and the scores of all classes; columns of these names are replaced."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in df.columns if c not in (prediction, raw)]
+    types = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scores = held.value.decide(matrix(batch.column(0)))
+                best = held.value.classes[np.argmax(scores, axis=1)].astype(float)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists(scores), pa.array(best)], names=[*keep, raw, prediction])
+
+    return df.select(F.col(features).alias("_given"), *keep).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{raw}` array<double>", f"`{prediction}` double"]))

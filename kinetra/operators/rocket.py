@@ -132,12 +132,12 @@ class Extractor:
         self.bank = EXTRACTORS[self.name](sample_windows(windows, column, identity, channels, self.most, self.seed + 1), self.kernels, self.seed)
         return self
 
-    def transform(self, windows: DataFrame, column: str, out: str = "features") -> DataFrame:
-        """windows with the features in place of the samples."""
+    def transform(self, windows: DataFrame, column: str, out: str = "features", keep: bool = False) -> DataFrame:
+        """windows with the features in place of the samples, or (keep) beside them."""
         if self.bank is None:
             raise RuntimeError("fit before transform")
         held = windows.sparkSession.sparkContext.broadcast(self.bank)
-        others = [c for c in windows.columns if c != column]
+        others = [c for c in windows.columns if (keep or c != column) and c != out]
         types = dict(windows.dtypes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,4 +148,4 @@ class Extractor:
                 f = features(bank, x) if rows else np.empty((0, len(bank.bias)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(list(f), pa.list_(pa.float32()))], names=[*others, out])
 
-        return windows.select(column, *others).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in others), f"`{out}` array<float>"]))
+        return windows.select(F.col(column).alias("_given"), *others).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in others), f"`{out}` array<float>"]))

@@ -132,5 +132,5 @@ def write_experiments(folds: DataFrame, path: str, *keys: str) -> None:
 
 
 def write_importance(importance: DataFrame, path: str) -> None:
-    """Kernel importance by fold: zstd Parquet, one folder a database and method."""
-    importance.write.mode("overwrite").option("compression", "zstd").partitionBy("database", "method").parquet(path)
+    """Kernel importance by fold: zstd Parquet, one folder a database and method; folds are added to those that are there."""
+    importance.write.mode("append").option("compression", "zstd").partitionBy("database", "method").parquet(path)

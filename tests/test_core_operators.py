@@ -192,6 +192,12 @@ def test_a_study_from_recordings_is_taken_up_where_results_are_missing(spark, tm
     failing = lambda: driver.study_database(spark, "small", str(tmp_path / "in"), out, study, "custom_ppv", ("raw", "unheard"), (42,), base=base)
     failing()
     assert sorted(r.method for r in failing().collect() if r.error) == ["unheard"] * 3
+    sums = lambda: driver.study_database(spark, "small", str(tmp_path / "in"), out, study, "custom_ppv", ("raw", "coral", "tca"), (42,), base=base, by_sums=True).collect()
+    told = sums()
+    assert {(r.subject_id, r.method) for r in told} == {(s, m) for s in (1, 2, 3) for m in ("raw", "coral")} and all(r.error is None for r in told)
+    importance = spark.read.parquet(f"{out}/importance")
+    assert importance.count() == 6 * 32 and importance.where("importance > 0").count() > 32 and set(importance.columns) == {"database", "method", "subject_id", "seed", "config_hash", "kernel_id", "importance"}
+    assert len(sums()) == 6 and spark.read.parquet(f"{out}/importance").count() == 6 * 32  # nothing is done twice
     errors = driver.study_all(spark, {"none": str(tmp_path / "in")}, out, study)
     assert errors["none"].startswith("KeyError")
 
