@@ -72,6 +72,24 @@ def path(spark: SparkSession, database: str) -> str:
     return found
 
 
+def validated(spark: SparkSession, database: str) -> tuple[bool, str]:
+    """(whether a database's recordings can be read, why not). With kinetra.cache.only set nothing is looked for: features come
+    from the cache alone. The folder is asked of its own file system, whatever that is."""
+    if spark.conf.get("kinetra.cache.only", "").lower() in ("1", "true"):
+        return True, "cache only"
+    if database not in DATABASES:
+        return False, f"unknown database {database}: one of {', '.join(DATABASES)}"
+    try:
+        where = path(spark, database)
+    except FileNotFoundError as e:
+        return False, str(e)
+    root = spark._jvm.org.apache.hadoop.fs.Path(where)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return False, f"{where} does not exist"
+    return (True, where) if fs.getFileStatus(root).isDirectory() else (False, f"{where} is no folder")
+
+
 def movement_map(spark: SparkSession, database: str) -> DataFrame:
     """movement_id -> class_idx of a database, as a dimension table."""
     return spark.range(1, DATABASES[database].n_movements + 1).selectExpr("cast(id as int) movement_id", "cast(id - 1 as int) class_idx")

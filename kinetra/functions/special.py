@@ -56,6 +56,31 @@ def normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def range_cdf(q: float, k: int, nodes: int = 200) -> float:
+    """Studentised range of k means with infinite degrees of freedom: P(Q <= q), by Gauss-Legendre sums over the least mean.
+
+    k times the integral of phi(z) (Phi(z + q) - Phi(z))^(k - 1): the least of k lies at z, the others within q above it.
+    """
+    if q <= 0:
+        return 0.0
+    x, w = np.polynomial.legendre.leggauss(nodes)
+    lo, hi = -9.0, 9.0
+    z = (hi - lo) / 2 * x + (hi + lo) / 2
+    phi = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+    above = np.array([0.5 * math.erfc(-(v + q) / math.sqrt(2)) for v in z])
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return float(min(1.0, k * (hi - lo) / 2 * (w * density * (above - phi) ** (k - 1)).sum()))
+
+
+def range_quantile(p: float, k: int) -> float:
+    """q with range_cdf(q, k) = p, by bisection."""
+    lo, hi = 0.0, 40.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if range_cdf(mid, k) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
 def signed_rank_p(w: float, n: int, squares: float, exact: int = 50) -> float:
     """Two-sided p of a signed-rank sum w <= its mean over n pairs, squares: the sum of their squared ranks.
 
@@ -89,3 +114,14 @@ def t_tail_udf(t: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def signed_rank_udf(w: pd.Series, n: pd.Series, squares: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) or k < 3 else signed_rank_p(v, int(k), q) for v, k, q in zip(w, n, squares, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def range_quantile_udf(p: pd.Series, k: pd.Series) -> pd.Series:
+    found = {(a, b): range_quantile(a, int(b)) if b > 1 else None for a, b in set(zip(p, k, strict=True))}
+    return pd.Series([found[x] for x in zip(p, k, strict=True)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def range_tail_udf(q: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) or n < 2 else max(0.0, 1 - range_cdf(v, int(n))) for v, n in zip(q, k, strict=True)], dtype=float)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinetra.durable import durable
-from kinetra.functions.special import f_tail_udf, signed_rank_udf, t_quantile_udf, t_tail_udf
+from kinetra.functions.special import f_tail_udf, range_quantile_udf, range_tail_udf, signed_rank_udf, t_quantile_udf, t_tail_udf
 from kinetra.operators.prefix import running
 
 
@@ -65,15 +71,25 @@ def friedman(df: DataFrame, keys: list[str], subject: str, method: str, value: s
 NEMENYI_Q = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
 
 
-def nemenyi(df: DataFrame, keys: list[str], subject: str, method: str, value: str) -> DataFrame:
-    """Pairs of methods: difference of mean ranks, critical distance, significance."""
+def nemenyi(df: DataFrame, keys: list[str], subject: str, method: str, value: str, alpha: float = 0.05, tail: bool = False) -> DataFrame:
+    """Pairs of methods: difference of mean ranks, critical distance, significance, and each pair's approximate p on request.
+
+    At 0.05 the critical values of 2 to 10 methods are the published ones; of any other number and level the quantile of the
+    studentised range with infinite degrees of freedom, over the root of two.
+    """
     means = mean_ranks(df, keys, subject, method, value).withColumn("k", F.count("*").over(Window.partitionBy(*keys, F.lit(0))))
-    q = F.element_at(F.create_map(*[x for k, v in NEMENYI_Q.items() for x in (F.lit(k), F.lit(v))]), F.col("k").cast("int"))
-    means = means.withColumn("cd", q * F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n"))))
+    known = F.try_element_at(F.create_map(*[x for k, v in NEMENYI_Q.items() for x in (F.lit(k), F.lit(v))]), F.col("k").cast("int")) if alpha == 0.05 else F.lit(None).cast("double")
+    sizes = means.select(*keys, "k", "n").distinct()
+    q = F.coalesce(known, range_quantile_udf(F.lit(1 - alpha), F.when(known.isNull(), F.col("k")).otherwise(0)) / F.sqrt(F.lit(2.0)))
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(keys)], F.col("k").alias("_k"), F.col("n").alias("_n"), (q * F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n")))).alias("cd"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(keys)]
+    means = means.join(sizes, [*same, F.col("k") == F.col("_k"), F.col("n") == F.col("_n")])
     b = means.select(*keys, F.col(method).alias("b"), F.col("mean_rank").alias("_rb"))
-    pairs = means.withColumnRenamed(method, "a").join(b, keys) if keys else means.withColumnRenamed(method, "a").join(b, F.lit(True))
+    own = means.withColumnRenamed(method, "a")
+    pairs = own.join(b, keys) if keys else own.join(b, F.lit(True))
     diff = F.abs(F.col("mean_rank") - F.col("_rb"))
-    return pairs.where("a < b").select(*keys, "a", "b", diff.alias("rank_diff"), "cd", (diff > F.col("cd")).alias("significant"))
+    p = [range_tail_udf(diff / F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n"))) * F.sqrt(F.lit(2.0)), F.col("k")).alias("p")] if tail else []
+    return pairs.where("a < b").select(*keys, "a", "b", diff.alias("rank_diff"), "cd", (diff > F.col("cd")).alias("significant"), *p)
 
 
 def pairs(df: DataFrame, keys: list[str], subject: str, method: str, value: str) -> DataFrame:
@@ -181,6 +197,94 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, rounds: in
     return means.groupBy(*keys).agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"))
 
 
+POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
+
+
+def poisson_weights(identity: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """rows x rounds Poisson(1) draws, each by a hash of (seed, round, the row's identity hash): the same in any task."""
+    with np.errstate(over="ignore"):
+        z = identity.astype(np.uint64)[:, None] + np.uint64(seed) * np.uint64(0xD1342543DE82EF95) + (np.arange(rounds, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(POISSON, (z >> np.uint64(11)) / float(1 << 53), side="right")
+
+
+def poisson_bootstrap(df: DataFrame, keys: list[str], value: str, identity: list[str], rounds: int = 10_000, seed: int = 20260101, most_groups: int = 64) -> DataFrame:
+    """keys, n, ci_low, ci_high: percentile interval (2.5, 97.5) of the mean, of groups of any size.
+
+    Each row stands in each resample a Poisson(1) number of times, drawn by hash of its identity. A task keeps weighted
+    sums by round of the groups it meets, and what is shuffled is one array a task and group: no group is ever one array
+    of its rows. For large groups the interval is that of drawing rows with replacement. Null and NaN values drop out; a
+    round that draws no row of a group is left out.
+    """
+    schema = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in keys) + ", n bigint, v array<double>"
+    kinds = [to_arrow_type(df.schema[c].dataType) for c in keys]
+
+    def table(held: dict) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in held], t) for i, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in held.values()], pa.int64()), pa.array([v.ravel() for _, v in held.values()], pa.list_(pa.float64()))], names=[*keys, "n", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            groups = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True)) if keys else [()] * batch.num_rows
+            x, h = batch.column(len(keys)).to_numpy(), batch.column(len(keys) + 1).to_numpy()
+            order: dict[tuple, list[int]] = {}
+            for i, g in enumerate(groups):
+                order.setdefault(g, []).append(i)
+            for g, at in order.items():
+                own = held.setdefault(g, [0, np.zeros((2, rounds))])
+                own[0] += len(at)
+                for i in range(0, len(at), 512):
+                    rows = at[i : i + 512]
+                    w = poisson_weights(h[rows], rounds, seed)
+                    own[1] += np.stack((w.sum(axis=0), x[rows] @ w))
+                if len(held) >= most_groups:
+                    yield table(held)
+                    held = {}
+        if held:
+            yield table(held)
+
+    def met(key: tuple, got: pa.Table) -> pa.Table:
+        v = got.column("v").combine_chunks()
+        count, total = np.asarray(v.flatten()).reshape(len(v), 2, rounds).sum(axis=0)
+        means = total[count > 0] / count[count > 0]
+        low, high = np.quantile(means, [0.025, 0.975]) if len(means) else (None, None)
+        return pa.table({**{c: got.column(c).slice(0, 1) for c in keys}, "n": pa.array([sum(got.column("n").to_pylist())], pa.int64()), "ci_low": pa.array([low], pa.float64()), "ci_high": pa.array([high], pa.float64())})
+
+    rows = df.where(not_nan(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*identity).alias("_h"))
+    out = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in keys) + ", n bigint, ci_low double, ci_high double"
+    return rows.mapInArrow(run, schema).groupBy(*keys).applyInArrow(met, out)
+
+
+def bundle(df: DataFrame, keys: list[str], subject: str, method: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """keys, part, a, b, name, x of everything that is told of a matrix of subjects and methods, as one long table.
+
+    descriptive (mean, sd, median, min, max, n of each method), friedman (chi2, f, p), nemenyi (rank_diff, cd, p of pairs; only
+    where Friedman's p is below alpha), wilcoxon (w_plus, w_minus, p, and p_adjusted by Holm-Sidak), cohens_d of pairs.
+    """
+
+    def long(rows: DataFrame, part: str, a, b, *names: str) -> DataFrame:
+        cells = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("x")) for n in names]))
+        none = F.lit(None).cast("string")
+        return rows.select(*keys, F.lit(part).alias("part"), (F.col(a).cast("string") if a else none).alias("a"), (F.col(b).cast("string") if b else none).alias("b"), cells.alias("_c")).select(*keys, "part", "a", "b", "_c.name", "_c.x")
+
+    fr = friedman(df, keys, subject, method, value, tail=True)
+    each = pairs(df, keys, subject, method, value)
+    told = holm_sidak(signed_ranks(each, [*keys, "a", "b"], exact=True), keys, "p", ["a", "b"])
+    near = nemenyi(df, keys, subject, method, value, alpha, tail=True).join(fr.where(F.col("p") < alpha).select(*keys), keys, "left_semi")
+    parts = [
+        long(descriptive(df, [*keys, method], value, interval=False), "descriptive", method, None, "mean", "sd", "median", "min", "max", "n"),
+        long(fr, "friedman", None, None, "chi2", "f", "p"), long(near, "nemenyi", "a", "b", "rank_diff", "cd", "p"),
+        long(told, "wilcoxon", "a", "b", "w_plus", "w_minus", "p", "p_adjusted"), long(cohens_d(each, [*keys, "a", "b"]), "cohens_d", "a", "b", "cohens_d"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def stars(p: str) -> Column:
     return F.when(F.col(p) < 0.001, "***").when(F.col(p) < 0.01, "**").when(F.col(p) < 0.05, "*").otherwise("")
 

@@ -371,6 +371,27 @@ def _(spark, d):
     return stats.bootstrap(B.seed_averages(spark, d), ["db", "method"], "value", "subject_id", rounds=1000)
 
 
+@query("ag29_bootstrap_large_groups")
+def _(spark, d):
+    """Groups of any number of rows: no group is one array."""
+    return stats.poisson_bootstrap(B.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", ["l_orderkey", "l_linenumber"], rounds=1000)
+
+
+@query("st9_bundle")
+def _(spark, d):
+    """Descriptive statistics, Friedman, Nemenyi, signed ranks and effects of each database as one long table."""
+    return stats.bundle(B.seed_averages(spark, d), ["db"], "subject_id", "method", "value")
+
+
+@query("st9_descriptive_and_effects", f"""WITH {PAIR}, m AS (SELECT db, method, unnest(['mean', 'sd', 'median', 'min', 'max', 'n']) AS name, unnest([avg(value), CASE WHEN count(*) > 1 THEN stddev_samp(value) ELSE 0 END, median(value), min(value), max(value), CAST(count(*) AS DOUBLE)]) AS x FROM favg GROUP BY db, method),
+ v AS (SELECT p.db, p.a, p.b, x.value AS va, y.value AS vb FROM pr p JOIN favg x ON p.db = x.db AND p.subject_id = x.subject_id AND p.a = x.method JOIN favg y ON p.db = y.db AND p.subject_id = y.subject_id AND p.b = y.method)
+ SELECT db, 'descriptive' AS part, method AS a, NULL AS b, name, round(x, 6) AS x FROM m
+ UNION ALL SELECT db, 'cohens_d', a, b, 'cohens_d', round(CASE WHEN count(*) < 2 OR sqrt((var_samp(va) + var_samp(vb)) / 2) = 0 THEN 0 ELSE (avg(va) - avg(vb)) / sqrt((var_samp(va) + var_samp(vb)) / 2) END, 6) FROM v GROUP BY db, a, b""")
+def _(spark, d):
+    told = stats.bundle(B.seed_averages(spark, d), ["db"], "subject_id", "method", "value")
+    return told.where("part in ('descriptive', 'cohens_d')").select("db", "part", "a", "b", "name", *r6(x="x"))
+
+
 @query("st10_stars", f"WITH {PV} SELECT db, a, b, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM pv")
 def _(spark, d):
     return _p_values(spark, d).select("db", "a", "b", stats.stars("p").alias("stars"))
@@ -410,6 +431,29 @@ def _(spark, d):
     return drop_phantom_row(own, "s_suppkey", ["v"], rows=n).select("s_suppkey")
 
 
+TABLE41 = "t AS (SELECT CAST(p_partkey // 41 AS BIGINT) AS k, p_partkey, p_size % 3 AS v, p_size % 2 AS w FROM part WHERE p_partkey % 97 <> 5)"
+
+
+def _tables_of_41(spark, d):
+    own = B.table(spark, d, "part").where("p_partkey % 97 <> 5")
+    return own.select(F.floor(F.col("p_partkey") / 41).cast("bigint").alias("k"), "p_partkey", (F.col("p_size") % 3).alias("v"), (F.col("p_size") % 2).alias("w"))
+
+
+@query("snk12_phantom_verdicts", f"WITH {TABLE41}, l AS (SELECT k, count(*) AS n, arg_max(v = 0 AND w = 0, p_partkey) AS z FROM t GROUP BY k) SELECT k, n, CASE WHEN n <> 41 THEN 'other size' WHEN z THEN 'dropped' ELSE 'last row is not empty' END AS verdict FROM l")
+def _(spark, d):
+    """Tables of 41 parts, some a row short: what becomes of the last row of each."""
+    from kinetra.sources.results import phantom_rows
+
+    return phantom_rows(_tables_of_41(spark, d), "p_partkey", ["v", "w"], keys=("k",)).select("k", "n", "verdict")
+
+
+@query("snk12_phantom_rows", f"WITH {TABLE41}, l AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, max(p_partkey) OVER (PARTITION BY k) AS last FROM t) SELECT k, p_partkey FROM l WHERE NOT (n = 41 AND p_partkey = last AND v = 0 AND w = 0)")
+def _(spark, d):
+    from kinetra.sources.results import drop_phantom_row
+
+    return drop_phantom_row(_tables_of_41(spark, d), "p_partkey", ["v", "w"], keys=("k",)).select("k", "p_partkey")
+
+
 @query("so3_limits", "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
 def _(spark, d):
     return B.table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(10).select("p_partkey")

@@ -114,13 +114,26 @@ def latex(df: DataFrame, caption: str, p: str | None = None, best: str | None =
     return f"\\begin{{table}}\n\\caption{{{caption}}}\n\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{' & '.join(c.replace('_', ' ') for c in df.columns)} \\\\\n\\hline\n{body} \\\\\n\\end{{tabular}}\n\\end{{table}}\n"
 
 
-def drop_phantom_row(df: DataFrame, order: str, values: list[str], rows: int = 41) -> DataFrame:
-    """df without its last row where that is row number `rows` and holds only zeros."""
-    last = df.agg(F.max(order).alias("_last"), F.count("*").alias("_n"))
+def read_per_class(spark: SparkSession, path: str) -> DataFrame:
+    """A per-class table: CSV with a header, one row a class; cells that are no number are null."""
+    return spark.read.option("header", "true").option("inferSchema", "true").option("mode", "PERMISSIVE").csv(path)
+
+
+def phantom_rows(df: DataFrame, order: str, values: list[str], rows: int = 41, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, n, verdict of each table of rows: 'dropped' (it has `rows` rows and its last holds only zeros), 'last row is not
+    empty' (as many rows, another last one), or 'other size'."""
     zero = F.lit(True)
     for v in values:
-        zero &= F.col(v) == 0
-    return df.crossJoin(F.broadcast(last)).where(~((F.col(order) == F.col("_last")) & (F.col("_n") == rows) & zero)).drop("_last", "_n")
+        zero &= F.coalesce(F.col(v) == 0, F.lit(False))
+    last = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by(zero, order).alias("_zero"), F.max(order).alias("_last"))
+    verdict = F.when(F.col("n") != rows, "other size").when(F.col("_zero"), "dropped").otherwise("last row is not empty")
+    return last.select(*keys, "n", "_last", verdict.alias("verdict"))
+
+
+def drop_phantom_row(df: DataFrame, order: str, values: list[str], rows: int = 41, keys: tuple[str, ...] = ()) -> DataFrame:
+    """df without the last row of each table (keys) that has `rows` rows and whose last row holds only zeros."""
+    gone = phantom_rows(df, order, values, rows, keys).where("verdict = 'dropped'").select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)], "_last")
+    return df.join(gone, [*[F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)], F.col(order) == F.col("_last")], "left_anti")
 
 
 def write_experiments(folds: DataFrame, path: str, *keys: str) -> None:
