@@ -21,7 +21,7 @@ from kinetra.llm.common import crc_mod, durable, slices, texts
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
 SPACE = "▁"
-#: A word of more letters is scored in parts of this many.
+#: A word of more letters is summed with a running window over its last columns; it is not kept among the known words.
 LONGEST = 32
 BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -32,8 +32,6 @@ def words(text: str) -> list[str]:
     found = LETTERS.findall(lower)
     if found and not "".join(found).isalpha():
         found = LETTERS.findall("".join(c if c.isalpha() else " " for c in lower))
-    if any(len(w) > LONGEST for w in found):
-        return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
 
 
@@ -71,9 +69,9 @@ class Pieces:
     def _slot(hashes: np.ndarray) -> np.ndarray:
         return (hashes * SPREAD) >> np.uint64(42)
 
-    def lattice(self, batch: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    def lattice(self, batch: list[str], mark: str = SPACE) -> tuple[np.ndarray, list[np.ndarray]]:
         """Lengths (with the start mark), and for each piece length n the id of the piece at each place, or -1."""
-        marked = [SPACE + w for w in batch]
+        marked = [mark + w for w in batch]
         sizes = np.array([len(w) for w in marked])
         grid = np.zeros((len(batch), int(sizes.max())), np.uint64)
         grid[np.arange(grid.shape[1]) < sizes[:, None]] = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
@@ -93,9 +91,43 @@ def forward(pieces: Pieces, table: np.ndarray, batch: list[str]) -> np.ndarray:
     """log P(word) under each column of table (a row for each piece, the last for a letter without a piece)."""
     out = np.empty((len(batch), table.shape[1]))
     order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
-    for start in range(0, len(batch), 4096):
-        part = order[start : start + 4096]
+    short = sum(len(w) <= LONGEST for w in batch)
+    for start in range(0, short, 4096):
+        part = order[start : min(start + 4096, short)]
         out[part] = np.log(_sums(pieces, table, [batch[i] for i in part])[0])
+    for start in range(short, len(batch), 64):
+        part = order[start : start + 64]
+        out[part] = running_sums(pieces, table, [batch[i] for i in part])
+    return out
+
+
+def running_sums(pieces: Pieces, table: np.ndarray, batch: list[str], block: int = 2048) -> np.ndarray:
+    """forward() of words of any length: only as many columns as the longest piece has letters are kept, scaled as they shrink,
+    and the lattice is found a block of letters at a time, so that memory does not grow with the word."""
+    marked = [SPACE + w for w in batch]
+    sizes, reach = np.array([len(w) for w in marked]), pieces.longest
+    out, logs = np.empty((len(batch), table.shape[1])), np.zeros((len(batch), table.shape[1]))
+    window = [np.ones_like(logs)]  # sums up to the letters before, the nearest first
+    for begin in range(0, int(sizes.max()), block):
+        low = max(0, begin - reach + 1)
+        here = np.flatnonzero(sizes > begin)
+        _, found = pieces.lattice([marked[i][low : begin + block] for i in here], mark="")
+        found[0] = np.where(found[0] < 0, pieces.size, found[0])
+        for end in range(begin + 1, min(begin + block, int(sizes.max())) + 1):
+            now = np.zeros_like(logs)
+            for n in range(1, min(len(found), end, len(window)) + 1):
+                if end - n - low >= 0:
+                    ids = found[n - 1][:, end - n - low]
+                    own = np.flatnonzero(ids >= 0)
+                    now[here[own]] += window[n - 1][here[own]] * table[ids[own]]
+            done = sizes == end
+            out[done] = np.log(now[done]) + logs[done]
+            window = [now, *window[: reach - 1]]
+            if end % 16 == 0:
+                top = np.maximum.reduce(window)
+                top = np.where(top > 0, top, 1)
+                logs += np.log(top)
+                window = [w / top for w in window]
     return out
 
 
@@ -117,6 +149,13 @@ def _sums(pieces: Pieces, table: np.ndarray, batch: list[str]) -> tuple[np.ndarr
 
 def expected(pieces: Pieces, column: np.ndarray, batch: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in the words, by the forward-backward algorithm."""
+    long = [i for i, w in enumerate(batch) if len(w) > LONGEST]
+    if long:
+        short = [i for i, w in enumerate(batch) if len(w) <= LONGEST]
+        out = expected(pieces, column, [batch[i] for i in short], counts[short]) if short else np.zeros(pieces.size + 1)
+        for i in long:
+            out += counts[i] * expected_long(pieces, column, batch[i])
+        return out
     total, ahead, sizes, found = _sums(pieces, column[:, None], batch)
     total, ahead, width = total[:, 0], ahead[:, :, 0], int(sizes.max())
     behind = np.zeros((width + 1, len(batch)))
@@ -133,6 +172,27 @@ def expected(pieces: Pieces, column: np.ndarray, batch: list[str], counts: np.nd
     return out
 
 
+def expected_long(pieces: Pieces, column: np.ndarray, word: str) -> np.ndarray:
+    """expected() of one word of any length, in logarithms."""
+    (size,), found = pieces.lattice([word])
+    ids = [f[0] for f in found]
+    ids[0] = np.where(ids[0] < 0, pieces.size, ids[0])
+    with np.errstate(divide="ignore"):
+        logp = np.log(column)
+    ahead, behind = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+    ahead[0] = behind[size] = 0
+    at = [[(n + 1, int(ids[n][i])) for n in range(len(ids)) if i < len(ids[n]) and ids[n][i] >= 0] for i in range(size)]
+    for i in range(size):
+        for n, k in at[i]:
+            ahead[i + n] = np.logaddexp(ahead[i + n], ahead[i] + logp[k])
+    out = np.zeros(pieces.size + 1)
+    for i in range(size - 1, -1, -1):
+        for n, k in at[i]:
+            behind[i] = np.logaddexp(behind[i], logp[k] + behind[i + n])
+            out[k] += np.exp(ahead[i] + logp[k] + behind[i + n] - ahead[size])
+    return out
+
+
 class Model:
     """Languages, the vocabulary and a column of piece probabilities for each language. Scores texts."""
 
@@ -146,7 +206,9 @@ class Model:
         found = [words(t) for t in batch]
         if not self.langs:
             return [("und", 0.0)] * len(batch)
-        new = list({w for ws in found for w in ws if w not in self.cache})
+        far = list({w for ws in found for w in ws if len(w) > LONGEST})
+        long = dict(zip(far, forward(self.pieces, self.table, far), strict=True)) if far else {}
+        new = list({w for ws in found for w in ws if len(w) <= LONGEST and w not in self.cache})
         known = len(self.rows)
         rows = np.concatenate((self.rows, forward(self.pieces, self.table, new))) if new else self.rows
         self.cache.update(zip(new, range(known, known + len(new)), strict=True))
@@ -155,7 +217,9 @@ class Model:
             if not ws:
                 out.append(("und", 0.0))
                 continue
-            total = rows[[self.cache[w] for w in ws]].sum(axis=0)
+            total = rows[[self.cache[w] for w in ws if w not in long]].sum(axis=0)
+            if long:
+                total = total + sum(long[w] for w in ws if w in long)
             share = np.exp(total - total.max())
             best = int(np.argmax(total))
             out.append((self.langs[best], float(share[best] / share.sum())))
@@ -167,15 +231,23 @@ class Model:
         return out
 
 
+def labelled_texts(docs: DataFrame, most: int) -> tuple[DataFrame, list[str]]:
+    """(lang and text, the languages) of about `most` documents a language among those with a lang whose crc32(doc_id) mod 3 is not 1, by hash of id
+    and text: rows that repeat an id, or have none, are drawn each for itself."""
+    labelled = docs.where(F.col("lang").isNotNull() & ~crc_mod("doc_id", 3).eqNullSafe(1)).select("doc_id", "lang", "text")
+    share = {r[0]: min(1.0, most / r[1]) for r in labelled.groupBy("lang").count().collect()}
+    if not share:
+        return labelled.limit(0), []
+    part = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 1_000_000)))]), F.col("lang"))
+    return labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < part), sorted(share)
+
+
 def train(docs: DataFrame, path: str = VOCABULARY, most_docs: int = 2000, rounds: int = 3, smooth: float = 0.05) -> Model:
     """Learn from the rows with a lang whose crc32(doc_id) mod 3 is not 1: about most_docs a language, by hash of id."""
     spark, vocab = docs.sparkSession, vocabulary(path)
-    labelled = docs.where(F.col("lang").isNotNull() & ~crc_mod("doc_id", 3).eqNullSafe(1)).select("doc_id", "lang", "text")
-    share = {r[0]: min(1.0, most_docs / r[1]) for r in labelled.groupBy("lang").count().collect()}
-    if not share:
+    picked, langs = labelled_texts(docs, most_docs)
+    if not langs:
         return Model([], vocab, np.ones((len(vocab) + 1, 0)))
-    part = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 1_000_000)))]), F.col("lang"))
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -185,7 +257,7 @@ def train(docs: DataFrame, path: str = VOCABULARY, most_docs: int = 2000, rounds
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "word", "n"])
 
     counted = durable(picked.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    langs, size = sorted(share), len(vocab)
+    size = len(vocab)
     # The start: each piece in proportion to a geometric law of its length, the same in all languages.
     table = np.tile(np.array([[0.05 ** len(p) for p in vocab] + [1e-9]]).T, (1, len(langs)))
     table /= table.sum(axis=0)
