@@ -327,7 +327,7 @@ OTHER = [
 
 def layouts(page: str, seed: int, more: int = 4) -> list[str]:
     """A page with an article in it, marked: as it is, and in `more` other layouts. No article, no pages."""
-    found = re.search(r"<(article|main)\b[^>]*>", page, re.I)
+    found = re.search(MARKED, page)
     if not found:
         return []
     end = page.lower().rfind(f"</{found[1].lower()}>")
@@ -377,11 +377,21 @@ def layouts(page: str, seed: int, more: int = 4) -> list[str]:
     return out
 
 
-def train(pages: DataFrame, most: int = 200) -> Field:
-    """A field from about `most` pages at most, by hash of the page, in five layouts each."""
-    total = pages.count()
+#: What training looks for in a page: an article marked as such.
+MARKED = r"(?i)<(article|main)\b[^>]*>"
+
+
+def training_pages(pages: DataFrame, most: int) -> DataFrame:
+    """text of about `most` different pages at most, by hash, among those that mark an article; repeats count once."""
+    marked = pages.select(F.col("html").cast("string").alias("text")).where(F.col("text").rlike(MARKED))
+    total = marked.select(F.xxhash64("text").alias("h")).distinct().count()
     share = min(1_000_000, int(1_000_000 * most / max(total, 1)) + 1)
-    sample = pages.select(F.col("html").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    return marked.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).distinct()
+
+
+def train(pages: DataFrame, most: int = 200) -> Field:
+    """A field from about `most` pages at most that mark an article, by hash of the page, in five layouts each."""
+    sample = training_pages(pages, most)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):

@@ -586,3 +586,10 @@ def test_passages_of_51_words_are_cut_and_their_surroundings_kept(spark):
             assert got[d].startswith(before[:-2]) and got[d].endswith(after[2:])
     told = {r.doc_id: r.n_passage_bytes for r in suffix.suffix_dedup(docs).collect()}
     assert all((told[d] > 0) == (d < 24) for d in told)
+
+
+def test_extraction_learns_from_marked_pages_wherever_they_are(spark):
+    rows = [(i, "u", f"<div><p>menu {i}</p></div>") for i in range(400)] + [(500 + i % 3, "u", f"<nav>menu</nav><article><p>{sentence(40, random.Random(i % 3))}</p></article>") for i in range(60)] + [(900, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    assert sorted(r.text for r in extract.training_pages(df, 200).collect()) == sorted({h for _, _, h in rows if h and "article" in h})
+    assert {r.text for r in extract.extract(df).where("page_id >= 500 and page_id < 900").collect()} == {sentence(40, random.Random(i)) for i in range(3)}
