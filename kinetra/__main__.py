@@ -1,4 +1,4 @@
-"""python -m kinetra list | query NAME TABLES [--out PATH] | trials FOLDER --out PATH | study DATABASE=FOLDER... --out PATH | clear PATH"""
+"""python -m kinetra list | query NAME TABLES [--out PATH] | trials FOLDER --out PATH | study DATABASE=FOLDER... --out PATH | clear PATH | analyse PATH DATABASE..."""
 
 from __future__ import annotations
 
@@ -34,6 +34,10 @@ def main() -> None:
     c = sub.add_parser("clear", help="list what a study's feature cache holds that nothing names; --delete removes it")
     c.add_argument("out")
     c.add_argument("--delete", action="store_true")
+    y = sub.add_parser("analyse", help="analyses of a study's stored results; a rerun does what has changed")
+    y.add_argument("out")
+    y.add_argument("databases", nargs="+")
+    y.add_argument("--only", nargs="+")
     args = p.parse_args()
     from kinetra.plans import evaluation, models, signals, tables  # noqa: F401
     from kinetra.plans.registry import QUERIES
@@ -53,6 +57,13 @@ def main() -> None:
         for database, error in errors.items():
             print(f"{database}: {error or 'done'}")
         raise SystemExit(any(errors.values()))
+    if args.command == "analyse":
+        from kinetra.operators import analyses
+
+        told = analyses.run(spark, args.out, args.databases, args.only)
+        for database, name, state in told:
+            print(f"{database} {name}: {state}")
+        raise SystemExit(any(state not in ("done", "unchanged", "no input") for _, _, state in told))
     if args.command == "clear":
         from kinetra.sources import cache
 

@@ -21,7 +21,8 @@ from kinetra.operators import adapt as A
 from kinetra.operators import ridge, split
 from kinetra.operators.adapt import matrix
 
-TILE = 256
+#: A tile is so many rows of a matrix at most, and so many numbers about: Parquet and the sort hold a hundred rows at a time.
+TILE, NUMBERS = 256, 1 << 17
 
 
 def capped(features: DataFrame, study: Study) -> DataFrame:
@@ -66,8 +67,9 @@ def grams(rows: DataFrame, keys: list[str], classes: int, most: int = 16_384) ->
     def told(key: tuple, total: np.ndarray) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for i in range(0, len(total), TILE):
-            v = total[i : i + TILE, i:].ravel()
+        step = max(1, min(TILE, NUMBERS // len(total)))
+        for i in range(0, len(total), step):
+            v = total[i : i + step, i:].ravel()
             yield pa.RecordBatch.from_arrays([*[pa.array([k], to_arrow_type(t)) for k, t in zip(key, kinds, strict=True)], pa.array([i], pa.int32()), A.lists(v[None])], names=[*keys, "tile", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +124,15 @@ def assembled(tiles: list[tuple[float, int, np.ndarray]]) -> np.ndarray | None:
     """The whole symmetric matrix of (sign, tile, values)."""
     if not tiles:
         return None
-    size = next(n for n in range(1, 1 << 20) if min(TILE, n) * n == len(next(v for _, i, v in tiles if i == 0)))
+    first, starts = next(len(v) for _, i, v in tiles if i == 0), sorted({i for _, i, _ in tiles})
+    size = first // starts[1] if len(starts) > 1 else int(np.sqrt(first))
     total = np.zeros((size, size))
     for sign, i, v in tiles:
-        total[i : i + TILE, i:] += sign * v.reshape(-1, size - i)
-    return np.triu(total) + np.triu(total, 1).T
+        rows = v.reshape(-1, size - i)
+        total[i : i + len(rows), i:] += sign * rows
+    for i in range(size):  # mirrored in place
+        total[i + 1 :, i] = total[i, i + 1 :]
+    return total
 
 
 def maps(method: str, s: Sums, c: Sums, study: Study) -> tuple[tuple, tuple]:
