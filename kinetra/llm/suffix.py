@@ -307,9 +307,9 @@ def _asked_of(docs: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
 
 def _spread(cells: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cells folded by their bytes, with summed c: those of (all keys, keys of 2 to `most` different cells, keys of more)."""
-    folded = durable(cells.groupBy("key", "cell").agg(F.sum("c").alias("c"), F.min(F.struct("id", "h", "a", "n", "m")).alias("one")))
+    folded = staged(cells.groupBy("key", "cell").agg(F.sum("c").alias("c"), F.min(F.struct("id", "h", "a", "n", "m")).alias("one")))
     mixed = durable(folded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
-    met = durable(folded.join(mixed, "key").select(F.col("key").alias("anchor"), F.col("cell").alias("ctx"), "c", "one.*", "k"))
+    met = staged(folded.join(mixed, "key").select(F.col("key").alias("anchor"), F.col("cell").alias("ctx"), "c", "one.*", "k"))
     return folded, met.where(F.col("k") <= most).drop("k"), met.where(F.col("k") > most).drop("k")
 
 
@@ -330,13 +330,13 @@ def merged_strings(docs: DataFrame, asked: DataFrame, length: int, reach: int, m
     cells = marks = None
     hot = asked.where("hot")
     if hot.take(1):
-        cells = durable(_asked_of(docs, hot, "anchor", "ctx", "c", "a", "n", "off", "m").mapInArrow(_deal(length, reach, CELL), DEALT))
+        cells = staged(_asked_of(docs, hot, "anchor", "ctx", "c", "a", "n", "off", "m").mapInArrow(_deal(length, reach, CELL), DEALT))
         folded, some, wide = _spread(cells, most)
         few = few.unionByName(some.withColumn("dealt", F.lit(True)))
         near, far = _whole(folded.select(F.col("key").alias("anchor"), F.col("cell").alias("ctx"), "c", "one"), reach)
         marks = near.unionByName(far)
         if wide.take(1):
-            single = durable(_asked_of(docs, wide.withColumn("off", F.lit(0)), "anchor", "ctx", "c", "a", "n", "off", "m").mapInArrow(_deal(length, reach, 1), DEALT))
+            single = staged(_asked_of(docs, wide.withColumn("off", F.lit(0)), "anchor", "ctx", "c", "a", "n", "off", "m").mapInArrow(_deal(length, reach, 1), DEALT))
             for key, is_far in (("cell", False), ("far", True)):
                 twice = single.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("c").alias("k")).where("k > 1").select(key)
                 found = single.where("c = 1").join(twice, key)
@@ -362,10 +362,10 @@ def repeated(docs: DataFrame, length: int = 400, reach: int | None = None, bucke
     block = block_of(*lengths)
     occurrences = staged(contexts(docs, length, reach))
     twice = durable(occurrences.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))  # plain shuffles on both sides let Spark split hot anchors
-    kept = durable(part_by_keys(occurrences, F.col("anchor"), twice, F.col("anchor"))[0].join(twice, "anchor"))
-    folded = durable(kept.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "a", "n", "off", "m")).alias("one")))
+    kept = staged(part_by_keys(occurrences, F.col("anchor"), twice, F.col("anchor"))[0].join(twice, "anchor"))
+    folded = staged(kept.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "a", "n", "off", "m")).alias("one")))
     mixed = durable(folded.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"))
-    asked = durable(folded.join(mixed, "anchor").select("anchor", "ctx", "c", "one.*", (F.col("k") > most).alias("hot")))
+    asked = staged(folded.join(mixed, "anchor").select("anchor", "ctx", "c", "one.*", (F.col("k") > most).alias("hot")))
     strings, n, cells, dealt_marks = merged_strings(docs, asked, length, reach, most)
 
     def merge(got: pa.Table) -> pa.Table:
@@ -397,7 +397,7 @@ def repeated(docs: DataFrame, length: int = 400, reach: int | None = None, bucke
     if cells is None:
         marks = marks.unionByName(found.drop("dealt"))
     else:
-        found = durable(found)
+        found = staged(found)
         marks = marks.unionByName(found.where("not dealt").drop("dealt"))
         told = dealt_marks.unionByName(found.where("dealt").drop("dealt")).select(F.col("anchor").alias("key"), F.col("ctx").alias("cell"), F.col("far").alias("_far"), "lo", "hi")
         moved = lambda c: F.col(c) + F.col("shift")
@@ -405,9 +405,9 @@ def repeated(docs: DataFrame, length: int = 400, reach: int | None = None, bucke
     if reach == length:
         marks = marks.where("not far")
     size = F.when(F.col("far"), reach).otherwise(length)
-    at = kept.join(durable(marks), ["anchor", "ctx"])
+    at = kept.join(staged(marks), ["anchor", "ctx"])
     spans = at.select("id", "h", F.struct((F.col("a") + F.col("lo")).alias("s"), (F.col("a") + F.col("hi") + size - 1).alias("e"), "far").alias("w"))
-    return durable(spans.groupBy("id", "h").agg(F.collect_list("w").alias("spans")))
+    return staged(spans.groupBy("id", "h").agg(F.collect_list("w").alias("spans")))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
