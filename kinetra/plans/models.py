@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from kinetra.config import COMPONENT_GRID, CORAL_GRID, INFERENTIAL, SEEDS, Study
 from kinetra.operators import adapt, driver, folds, ridge, rocket, runner, scale, split
 from kinetra.plans import bindings as B
 from kinetra.plans.registry import query, r6, rounded
+from kinetra.sources import cache
 
 MOM = f"{B.LE}, mo AS (SELECT j, avg(v) AS m, CASE WHEN sqrt(var_pop(v)) < 1e-8 THEN 1 ELSE sqrt(var_pop(v)) END AS s FROM le WHERE vec_id % 4 < 2 GROUP BY j)"
 
@@ -223,6 +226,30 @@ def _(spark, d):
     return each.groupBy("method", "kernel_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count("*").alias("folds"))
 
 
+GIVEN = {"extractor": "canonical", "window_ms": 200, "overlap": 0.5, "kernels": 10_000, "calibration": 0.5, "coral_reg": 0.001, "tca_components": 50, "sa_components": 50, "fit_mode": "full_train"}
+HASHED = " || chr(10) || ".join({"database": "'database=\"' || db || '\"'", "subject_id": "'subject_id=' || CAST(subject_id AS VARCHAR)", "seed": "'seed=' || CAST(seed AS VARCHAR)"}.get(f, f"'{f}={json.dumps(GIVEN.get(f))}'") for f in cache.FIELDS)
+
+
+@query("ex2_manifest_hash", f"WITH {B.FACT} SELECT db, method, subject_id, seed, sha256({HASHED}) AS config_hash FROM fact")
+def _(spark, d):
+    """The manifest's hash of all twelve settings, of each database, subject and seed of the facts."""
+    own = {"database": F.concat(F.lit('"'), F.col("db"), F.lit('"')), "subject_id": F.col("subject_id").cast("string"), "seed": F.col("seed").cast("string")}
+    return B.facts(spark, d).select("db", "method", "subject_id", "seed", cache.config_hash(cache.settings(**GIVEN) | own).alias("config_hash"))
+
+
+@query("ml15_coral_means", f"WITH {B.LE} SELECT CAST(j AS INT) AS j, round(avg(v), 6) AS mean FROM le WHERE vec_id % 4 = 2 GROUP BY j")
+def _(spark, d):
+    """Adapted source rows have the mean of the calibration rows."""
+    return scale.moments(adapt.coral(_role(spark, d, "source"), _role(spark, d, "calibration"), "features"), "features").select("j", *r6(mean="mean"))
+
+
+@query("ml24_kernel_importance")
+def _(spark, d):
+    """Mean size of each feature's coefficients in one ridge on all source rows; ex9_kernel_importance has it by fold."""
+    model = ridge.fit_rows(_role(spark, d, "source"))
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(abs(model.coef).mean(axis=1))], "kernel_id int, importance double")  # a row a feature
+
+
 @query("ex2_config_hash")
 def _(spark, d):
     return B.table(spark, d, "region").select("r_regionkey", runner.config_hash(Study(), "custom_ppv").alias("config_hash"))

@@ -26,9 +26,9 @@ def settings(**given) -> dict[str, str]:
     return {f: json.dumps(given.get(f)) for f in FIELDS}
 
 
-def config_hash(fields: dict[str, str]):
-    """A column: sha256 of the settings, in the order of FIELDS."""
-    return F.sha2(F.concat_ws("\n", *[F.concat(F.lit(f"{f}="), F.lit(fields[f])) for f in FIELDS]), 256)
+def config_hash(fields: dict):
+    """A column: sha256 of the settings, in the order of FIELDS. A setting is JSON text, or a column of it where rows differ in it."""
+    return F.sha2(F.concat_ws("\n", *[F.concat(F.lit(f"{f}="), F.lit(fields[f]) if isinstance(fields[f], str) else fields[f]) for f in FIELDS]), 256)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:

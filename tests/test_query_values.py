@@ -78,6 +78,8 @@ def test_ridges(spark, sides):
     p = dict(zip(ids.tolist(), ridge.fit(xs, ys).predict(xt).tolist(), strict=True))
     for name in ("ml9_ridge", "ml9_ridge_every_row"):  # fewer rows than the draw: both take all
         assert {r.vec_id: r.p for r in run(spark, name)} == p
+    importance = np.abs(ridge.fit(xs, ys).coef).mean(axis=1)
+    assert np.allclose([r.importance for r in sorted(run(spark, "ml24_kernel_importance"), key=lambda r: r.kernel_id)], importance, rtol=1e-6)
     classes = np.unique(ys)
     target, x = np.where(ys[:, None] == classes, 1.0, -1.0), xs - xs.mean(axis=0)
     best = None
