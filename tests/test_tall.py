@@ -77,3 +77,14 @@ def test_axes_of_either_way_agree(rows):
     df, _, _ = rows
     (_, a), (_, b) = (adapt.principal_axes(df, "features", 5, dense) for dense in (1024, 10))
     assert np.allclose(a, b, atol=1e-6)
+
+
+def test_gaussian_kernel_without_the_kernel(spark):
+    """Median and weights without any matrix of all pairs equal the dense solution."""
+    rng = np.random.default_rng(5)
+    source, target = rng.normal(size=(431, 6)) * [5, 4, 3, 2, 1.5, 1], rng.normal(size=(240, 6)) + 1
+    source[7] = source[6]  # a distance of zero counts not
+    dense = adapt.gaussian_components(source, target, 5, 1.0)
+    tiled = adapt.kernel_axes(spark, source, target, 5, 1.0, tile=100)
+    assert abs(tiled[3] - dense[3]) < 1e-12 * dense[3]
+    assert np.abs(tiled[4] - dense[4]).max() < 1e-6 * np.abs(dense[4]).max()
