@@ -2,9 +2,10 @@
 
 A tree splits at random statistics and values; what few splits part from the rest is anomalous. The statistics are all
 that the rules count, as shares that do not depend on a text's length (repeats in coarse steps: good texts have a few),
-and shares of capitals and marks. The trees are grown on a bounded sample of all rows that pass the base rules, by hash
-and without their labels. The threshold on the score is the one that parts labelled good and bad rows best among those
-that keep nearly all good ones; a third of the labelled rows is held out of it, to measure it on.
+and shares of capitals and marks. Each tree draws its random splits from rows of its own, as isolation trees do, dealt by hash
+among all rows that pass the base rules; then all these rows go down every tree, and how many end in a leaf says how
+anomalous it is. The threshold on the score is the one that parts labelled good and bad rows best among those that keep
+nearly all good ones, over all labelled rows; a third of these is held out of it, to measure it on.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.llm.common import crc_mod, labelled_sample, slices, texts
+from kinetra.llm.common import crc_mod, slices, staged, texts
+from kinetra.operators import tall
+from kinetra.operators.adapt import matrix
+from kinetra.operators.prefix import running
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -76,13 +80,17 @@ def statistics(text: bytes) -> tuple[tuple[int, ...], list[float]]:
 
 
 class Forest:
-    """Isolation trees of at most `size` rows each, as arrays; score in (0, 1), higher more anomalous."""
+    """Isolation trees of at most `size` rows each, as arrays; score in (0, 1), higher more anomalous.
 
-    def __init__(self, rows: np.ndarray, trees: int = 200, size: int = 64, seed: int = 3):
+    dealt: rows are in an order that looks random, and tree k takes every trees-th of them from the k-th on.
+    """
+
+    def __init__(self, rows: np.ndarray, trees: int = 200, size: int = 64, seed: int = 3, dealt: bool = False):
         rng = np.random.default_rng(seed)
         self.size = max(2, min(size, len(rows)))
         self.depth = int(np.ceil(np.log2(self.size)))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=len(rows) < self.size)], rng) for _ in range(trees)] if len(rows) else []
+        own = lambda k: rows[k::trees][: self.size] if dealt and len(rows) >= trees * self.size else rows[rng.choice(len(rows), self.size, replace=len(rows) < self.size)]
+        self.trees = [self._grow(own(k), rng) for k in range(trees)] if len(rows) else []
 
     @staticmethod
     def _expected(n: np.ndarray | int) -> np.ndarray:
@@ -110,68 +118,95 @@ class Forest:
                 todo += [(at[below], depth + 1, me, False), (at[~below], depth + 1, me, True)]
         return np.array(feature), np.array(value), np.array(left), np.array(right), np.array(path)
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        if not self.trees:
-            return np.zeros(len(rows))
-        total = np.zeros(len(rows))
+    def leaves(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """For each tree the node in which each row ends."""
         each = np.arange(len(rows))
-        for feature, value, left, right, path in self.trees:
+        for feature, value, left, right, _ in self.trees:
             at = np.zeros(len(rows), np.int64)
             for _ in range(self.depth):
                 f = feature[at]
                 at = np.where(f < 0, at, np.where(rows[each, np.maximum(f, 0)] <= value[at], left[at], right[at]))
+            yield at
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """How many rows end in each node (column) of each tree (row)."""
+        return np.array([np.bincount(at, minlength=2 << self.depth) for at in self.leaves(rows)], float).reshape(len(self.trees), -1)
+
+    def weigh(self, counts: np.ndarray) -> None:
+        """Path lengths by what share of all rows ends in a leaf, in place of the rows that the tree was grown on."""
+        steps = np.arange(self.size + 1)
+        for k, (feature, value, left, right, path) in enumerate(self.trees):
+            depth = np.zeros(len(feature))
+            for node in np.flatnonzero(feature >= 0):  # a node comes before those below it
+                depth[[left[node], right[node]]] = depth[node] + 1
+            share = counts[k, : len(feature)] * self.size / max(counts[k].sum(), 1)
+            self.trees[k] = feature, value, left, right, np.where(feature < 0, depth + np.interp(share, steps, self._expected(steps)), path)
+
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        if not self.trees:
+            return np.zeros(len(rows))
+        total = np.zeros(len(rows))
+        for (*_, path), at in zip(self.trees, self.leaves(rows), strict=True):
             total += path[at]
         return 2.0 ** -(total / len(self.trees) / float(self._expected(self.size)))
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, keep: float = 0.99) -> float:
-    """The cut above which rows go: best by kept good plus dropped bad rows, among those that keep the share of good."""
-    if not len(scores):
-        return 1.0
-    cuts = np.unique(np.concatenate((scores, [1.0])))
-    kept = np.array([(scores[good] <= c).mean() if good.any() else 1.0 for c in cuts])
-    dropped = np.array([(scores[~good] > c).mean() if (~good).any() else 0.0 for c in cuts])
-    gain = np.where(kept >= keep, kept + dropped, -1.0)
-    return float(cuts[int(np.argmax(gain))])
+def threshold(scored: DataFrame, keep: float = 0.99) -> float:
+    """The cut above which rows go: best by kept good plus dropped bad rows, among those that keep the share of good.
+
+    scored: anomaly and y (1 good, 0 bad), any number of rows: running sums over the distinct scores. 1 without a row.
+    """
+    cells = scored.groupBy("anomaly").agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad"))
+    good, bad = cells.agg(F.sum("good"), F.sum("bad")).first()
+    sums = running(cells, [], ["anomaly"], {"good_before": "good", "bad_before": "bad"})
+    kept = (F.col("good_before") + F.col("good")) / good if good else F.lit(1.0)
+    dropped = 1 - (F.col("bad_before") + F.col("bad")) / bad if bad else F.lit(0.0)
+    best = sums.select("anomaly", kept.alias("kept"), dropped.alias("dropped")).where(F.col("kept") >= keep)
+    cut = best.agg(F.min_by("anomaly", F.struct(-(F.col("kept") + F.col("dropped")), "anomaly"))).first()[0]
+    return 1.0 if cut is None else float(cut)
 
 
-def filter_rules(docs: DataFrame, labels: DataFrame, most: int = 3000, sample: int = 3000) -> DataFrame:
+def filter_rules(docs: DataFrame, labels: DataFrame, trees: int = 200, size: int = 64) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, anomaly of each row of docs.
 
     All of every text counts. A null text has no words and fails the base rules, as an empty one does; a null doc_id
-    is kept as it is; repeated rows are judged each. The forest is grown on about `sample` rows, its threshold comes from
-    at most about `most` labelled rows of each class, those whose crc32(doc_id) mod 3 is 1 left out; without labels
-    nothing is dropped but by the base rules. A score at the threshold is kept. lang and source are not read. An empty
-    table gives no rows.
+    is kept as it is; repeated rows are judged each. Each tree's splits are drawn from `size` rows of its own, by hash of all
+    rows that pass the base rules; its leaves are weighed by all these rows. The threshold comes from all labelled rows but
+    those whose crc32(doc_id) mod 3 is 1; without labels nothing is dropped but by the base rules. A score at the threshold
+    is kept. lang and source are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
-            out = [statistics(t) for t in texts(batch)]
-            failed = [x[0] < 10 or 100 * x[4] > 20 * x[0] for x, _ in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for _, s in out], pa.list_(pa.float64())), pa.array(failed, pa.bool_())], names=["doc_id", "y", "shares", "failed"])
-
-    schema = "doc_id bigint, y int, shares array<double>, failed boolean"
-    total = docs.count()
-    some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(1).alias("y"), F.col("text").cast("string").alias("text"))
-    some = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < min(1_000_000, int(1e6 * sample / max(total, 1)) + 1))
-    grown = sorted(tuple(r) for r in some.mapInArrow(measure, schema).where("not failed").select("shares").collect())
-    forest = Forest(np.array([r[0] for r in grown]).reshape(-1, SHARES))
-    picked = labelled_sample(docs, labels, "quality", ~crc_mod("doc_id", 3).eqNullSafe(1), most)
-    rows = sorted(tuple(r) for r in picked.select("doc_id", "y", "text").mapInArrow(measure, schema).where("not failed").collect())
-    cut = threshold(forest.score(np.array([r[2] for r in rows]).reshape(-1, SHARES)), np.array([r[1] == 1 for r in rows], bool))
-    held = spark.sparkContext.broadcast((forest, cut))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, cut = held.value
         for batch in slices(batches, 4 << 20):
             out = [statistics(t) for t in texts(batch)]
             counts = np.array([c for c, _ in out], np.int64).reshape(-1, len(COUNTS))
             failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
-            score = forest.score(np.array([s for _, s in out]))
-            columns = [batch.column(0), *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array(~failed & (score <= cut)), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *COUNTS, "base_failed", "kept", "anomaly"])
+            columns = [batch.column(0), *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array([x for _, x in out], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *COUNTS, "base_failed", "shares"])
 
+    told = f"doc_id bigint, {', '.join(f'{c} bigint' for c in COUNTS)}, base_failed boolean"
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id bigint, {', '.join(f'{c} bigint' for c in COUNTS)}, base_failed boolean, kept boolean, anomaly double")
+    measured = staged(own.mapInArrow(measure, f"{told}, shares array<double>"))
+    passed = measured.where("not base_failed").select("doc_id", "shares")
+    order = F.xxhash64("doc_id", "shares", F.lit("trees"))
+    rate = min(1.0, (1.1 * trees * size + 1000) / max(passed.count(), 1))  # so many rows at least are those of all trees
+    drawn = passed.where(F.pmod(order, F.lit(1_000_000_000)) < int(rate * 1_000_000_000)).select(order.alias("h"), "shares")
+    forest = Forest(np.array([r[1] for r in sorted(tuple(r) for r in drawn.collect())]).reshape(-1, SHARES), trees, size, dealt=True)
+    grown = spark.sparkContext.broadcast(forest)
+    counts = tall.summed(passed, ["shares"], lambda batch, forest: forest.counts(matrix(batch.column(0))), grown) if forest.trees else None
+    if counts is not None:
+        forest.weigh(counts)
+    held = spark.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [*batch.columns[:-1], pa.array(held.value.score(matrix(batch.column(len(COUNTS) + 2))))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "anomaly"])
+
+    scored = staged(measured.mapInArrow(run, f"{told}, anomaly double"))
+    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~crc_mod("doc_id", 3).eqNullSafe(1))
+    marked = marked.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
+    cut = threshold(scored.where("not base_failed").select("doc_id", "anomaly").join(marked, "doc_id").select("anomaly", "y"))
+    kept = ~F.col("base_failed") & (F.col("anomaly") <= cut)
+    return scored.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "anomaly")

@@ -435,6 +435,23 @@ def test_isolation_forest_finds_what_is_far():
     assert forest.score(np.full((1, 3), 8.0))[0] > np.quantile(forest.score(rows), 0.99)
 
 
+def test_every_row_weighs_in_the_forest_and_its_threshold(spark):
+    """Leaves hold all rows, not those of the trees; the cut is the best over all labelled rows."""
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(5000, 3))
+    forest = rules.Forest(rows, 7, 16, dealt=True)
+    before = forest.score(rows[:50])
+    forest.weigh(sum(forest.counts(x) for x in np.array_split(rows, 3)))
+    paths = [forest.trees[k][4][at] for k, at in enumerate(forest.leaves(rows))]
+    assert (forest.counts(rows).sum(axis=1) == 5000).all() and not np.allclose(forest.score(rows[:50]), before)
+    assert np.corrcoef(np.mean(paths, axis=0), np.abs(rows).max(axis=1))[0, 1] < -0.3
+    score, good = np.round(rng.random(8000), 2), rng.random(8000) < 0.9
+    score[good] *= 0.9
+    cuts = [(-((score[good] <= c).mean() + (score[~good] > c).mean()), c) for c in np.unique(score) if (score[good] <= c).mean() >= 0.99]
+    df = spark.createDataFrame(list(zip(score.tolist(), good.astype(int).tolist(), strict=True)), "anomaly double, y int").repartition(3)
+    assert rules.threshold(df) == min(cuts)[1] and rules.threshold(df.limit(0)) == 1.0
+
+
 def test_language_model(docs, none):
     rows = mixing_lm.lm_score(docs).collect()
     train = Counter()
