@@ -40,6 +40,30 @@ def average_rank(partition: list[str], value: str, descending: bool = True) -> C
     return F.rank().over(by) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2
 
 
+def with_average_ranks(df: DataFrame, partition: list[str], value: str, rank: str, rows: int = 250_000) -> DataFrame:
+    """df with average_rank() as `rank`: groups are dealt over so many tasks that each sorts about `rows` rows, however many df has."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    return df.repartition(tasks, *partition).withColumn(rank, average_rank(partition, value))
+
+
+def pooled_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, for each name in shares, that exact quantile of a group's values, between two of them in proportion; nulls count not.
+
+    Places of distinct values are running sums dealt by range (see prefix): no task holds a group, and all but the few
+    values at the quantiles' places stay where they are.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n"))
+    placed = running(counts, keys, [value], {"_before": "_n"})
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_size"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(keys)]
+    met = placed.join(F.broadcast(sizes.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(keys)], "_size")), same) if keys else placed.crossJoin(F.broadcast(sizes))  # a row a group
+    places = {k: (F.col("_size") - 1) * F.lit(float(p)) for k, p in shares.items()}
+    held = lambda at: F.max(F.when((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n")), F.col(value)))
+    ends = [x for k, at in places.items() for x in (held(F.floor(at)).alias(f"_low_{k}"), held(F.ceil(at)).alias(f"_high_{k}"), F.max(at - F.floor(at)).alias(f"_part_{k}"))]
+    between = lambda k: F.col(f"_low_{k}") + (F.col(f"_high_{k}") - F.col(f"_low_{k}")) * F.col(f"_part_{k}")
+    return met.groupBy(*keys).agg(*ends).select(*keys, *[between(k).alias(k) for k in shares])
+
+
 def complete_cases(df: DataFrame, keys: list[str], subject: str, value: str, methods: int) -> DataFrame:
     """Rows of subjects that have a value for all methods."""
     whole = df.where(not_nan(value).isNotNull())

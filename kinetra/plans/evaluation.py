@@ -215,7 +215,8 @@ def _(spark, d):
 
 @query("w5_average_rank", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) + (count(*) OVER (PARTITION BY l_orderkey, l_quantity) - 1) / 2 AS r FROM lineitem")
 def _(spark, d):
-    return B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", stats.average_rank(["l_orderkey"], "l_quantity").alias("r"))
+    rows = B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return stats.with_average_ranks(rows, ["l_orderkey"], "l_quantity", "r").drop("l_quantity")
 
 
 @query("flt6_complete_cases", f"WITH {B.MAT} SELECT subject_id, method, round(value, 6) AS value FROM mat WHERE subject_id IN (SELECT subject_id FROM mat GROUP BY 1 HAVING count(*) = 3)")

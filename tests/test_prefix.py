@@ -71,3 +71,21 @@ def test_signed_ranks_and_spearman_against_plain_sums(spark, rows):
     ranked = pairs.withColumns({"x": stats.average_rank(["g"], "v"), "y": stats.average_rank(["g"], "w")}).groupBy("g").agg(F.corr("x", "y").alias("rho"), F.count("*").alias("n"))
     a, b = ({r.g: (None if r.rho is None or r.rho != r.rho else round(r.rho, 9), r.n) for r in x.collect()} for x in (stats.spearman(pairs, ["g"], "v", "w"), ranked))
     assert a == b
+
+
+def test_pooled_quantiles(spark, rows):
+    """Equal to the exact percentile of whole groups, also in a group of nulls and over all rows."""
+    df = rows.unionByName(rows.limit(2).selectExpr("'none' g", "cast(null as double) v", "w", "id"))
+    got = {r.g: (r.a, r.b, r.c) for r in stats.pooled_quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.9, "c": 1.0}).collect()}
+    want = {r.g: (r.a, r.b, r.c) for r in df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in (("a", 0.5), ("b", 0.9), ("c", 1.0))]).collect()}
+    assert got.keys() == want.keys() and got["none"] == (None, None, None)
+    assert all(got[g] == pytest.approx(want[g], rel=1e-12) for g in got if g != "none")
+    assert stats.pooled_quantiles(df, [], "v", {"a": 0.9}).first()[0] == pytest.approx(df.agg(F.percentile("v", F.lit(0.9))).first()[0], rel=1e-12)
+
+
+def test_ranks_by_tasks_of_bounded_size(spark, rows):
+    """More rows are more tasks; groups stay whole."""
+    got = stats.with_average_ranks(rows, ["id"], "v", "r", rows=100)
+    assert got.rdd.getNumPartitions() >= 34 and got.where("r <> 1").count() == 0
+    got = {(r.g, r.id): r.r for r in stats.with_average_ranks(rows, ["g"], "v", "r", rows=100).collect()}
+    assert got == {(r.g, r.id): r.r for r in rows.withColumn("r", stats.average_rank(["g"], "v")).collect()}
