@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinetra.operators import stats
 from kinetra.plans import bindings as B
-from kinetra.plans.registry import query, r9
+from kinetra.plans.registry import query, r6, r9
 
 
 @query("prj5_summary_fallback", "SELECT c_custkey, round(coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END, m), 6) AS mean FROM customer LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS m FROM orders GROUP BY 1) ON c_custkey = o_custkey")
@@ -41,8 +42,8 @@ def _(spark, d):
 
 @query("ag28_pooled_quantile", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90 FROM lineitem GROUP BY 1")
 def _(spark, d):
-    q = lambda p: F.round(F.percentile("l_extendedprice", F.lit(p)), 6)
-    return B.table(spark, d, "lineitem").groupBy("l_returnflag").agg(q(0.5).alias("q50"), q(0.9).alias("q90"))
+    found = stats.pooled_quantiles(B.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"q50": 0.5, "q90": 0.9})
+    return found.select("l_returnflag", *r6(q50="q50", q90="q90"))
 
 
 @query("sp5_two_way_caps", "SELECT l_shipmode_key, CAST(greatest(100, 6000 * ns // (ns + nt)) AS BIGINT) AS source_cap, CAST(greatest(50, 6000 * nt // (ns + nt)) AS BIGINT) AS target_cap FROM (SELECT l_linenumber AS l_shipmode_key, count(*) FILTER (WHERE l_returnflag <> 'R') AS ns, count(*) FILTER (WHERE l_returnflag = 'R') AS nt FROM lineitem GROUP BY 1) WHERE ns + nt > 0")
