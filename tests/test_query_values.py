@@ -219,3 +219,31 @@ def test_bundle_has_every_part(spark):
     assert {part for _, part in told} >= {"descriptive", "friedman", "wilcoxon", "cohens_d"}
     p = {(r.db, r.a, r.b): r.p for r in run(spark, "st3_wilcoxon_exact_p")}
     assert all(math.isclose(r.x, p[(r.db, r.a, r.b)], rel_tol=1e-9) for r in rows if r.part == "wilcoxon" and r.name == "p")
+
+
+def test_within_subject_groups_span_batches(spark):
+    """One result a subject and seed, whatever batches its rows come in; equal to the ridge on its rows alone."""
+    from kinetra.operators import ridge, runner
+
+    rng, rows = np.random.default_rng(3), []
+    for subject, n in ((1, 70), (2, 3), (3, 90), (4, 1)):
+        for seed in (42, 7):
+            y = rng.integers(0, 3, n)
+            rows += [(subject, seed, int(c), "held" if i % 4 == 1 else "kept", (rng.normal(size=5) + np.eye(5)[c]).tolist()) for i, c in enumerate(y)]
+    df = spark.createDataFrame(rows, "subject_id int, seed int, y int, side string, features array<double>").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        plan = runner.within_subject(df)
+        got = {(r.subject_id, r.seed): r for r in plan.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 8 and "MapInArrow" in plan._jdf.queryExecution().toString() and got[(4, 7)].error
+    for key in ((1, 42), (3, 7)):
+        own = [r for r in rows if r[:2] == key]
+        train, test = ([r for r in own if (r[3] == "held") == held] for held in (False, True))
+        x, t = (np.array([r[4] for r in part]) for part in (train, test))
+        model = ridge.fit((x - x.mean(axis=0)) / x.std(axis=0), np.array([r[2] for r in train]), ridge.FINE_ALPHAS, by_accuracy=True)
+        hit = (model.predict((t - x.mean(axis=0)) / x.std(axis=0)) == np.array([r[2] for r in test])).mean()
+        r = got[key]
+        assert r.error is None and (r.n_train, r.n_test) == (len(train), len(test)) and abs(r.accuracy - hit) < 1e-12 and r.best_alpha == model.alpha
