@@ -491,6 +491,30 @@ def test_tables_and_dealt_streams_take_every_use(spark):
     assert one.score(stream).sum() > plain.score(stream).sum() and many.score(stream).sum() > plain.score(stream).sum()
 
 
+def test_every_training_text_teaches_the_weights(spark):
+    """Also where no text of a small table would fall into a sample; each use is foreseen by tables without its own bits."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(WORDS) + rnd.choice(["", "s", "ed"]) for _ in range(40))) for i in range(30)]
+    train = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            train.update([*t.lower().encode().split(), b"\n"])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts = mixing_lm.word_counts(docs)
+    assert {bytes(r.word): r.n for r in counts.where("n > 0").collect()} == train
+    table = np.zeros((int(mixing_lm.OFFSETS[-1]), 2), np.int64)
+    mixing_lm.tally(sorted(train), np.array([train[w] for w in sorted(train)]), table)
+    logit, seen, without, less = mixing_lm.tables(counts.selectExpr("word", "n", "0 as m"), left_out=True)
+    for bit in (0, 1):
+        at = np.flatnonzero(table[:, bit])
+        zeros, ones = (table[at] - np.eye(2, dtype=int)[bit]).T
+        assert (without[bit, at] == np.log((ones + 0.1) / (zeros + 0.1)).astype(np.float16)).all() and (less[at] == np.digitize(zeros + ones, mixing_lm.LEVELS)).all()
+    plain = mixing_lm.Model(logit, seen)
+    got = {r.doc_id: r.score for r in mixing_lm.lm_score(docs).where("held_out").collect()}
+    unlearned = {i: plain.score([*t.lower().encode().split(), b"\n"]).sum() for i, t in rows if i in got}
+    assert got and all(got[i] > unlearned[i] + 1 for i in got)
+
+
 def test_scores_do_not_depend_on_how_words_travel(docs):
     a, b = ({(r.doc_id, r.n_tokens): round(r.score, 6) for r in mixing_lm.lm_score(docs, most).collect()} for most in (300_000, 3))
     assert a == b
