@@ -1,9 +1,11 @@
 """Folds by sums against the same folds on rows."""
 
 import hashlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetra.config import Study
 from kinetra.operators import adapt, folds, ridge, runner, split
@@ -129,3 +131,39 @@ def test_wide_rows_come_in_tiles(spark):
         u = np.concatenate((np.ones((60, 1)), x, np.eye(3)[np.arange(60) % 3]), axis=1)[keep]
         tiles = [(1.0, r.tile, np.array(r.v)) for r in sums if r.g == g]
         assert len(tiles) == 2 and np.allclose(folds.assembled(tiles), u.T @ u)
+
+
+def test_folds_on_rows_share_their_pool(spark, monkeypatch):
+    """Folds whose pools are alike take QR factors once, in place of a ridge each; results are those of each fold by itself."""
+    rng = np.random.default_rng(8)
+    rows = [(s, s * 100 + i, int(rng.integers(0, 3)), [42] if i % 3 == 0 else [], (rng.normal(size=6) * (1 + s / 9) + s / 5 + i % 3).tolist()) for s in range(14) for i in range(12)]
+    df = spark.createDataFrame(rows, "subject_id int, row_id bigint, y int, held_seeds array<int>, features array<double>")
+    study = Study(per_subject=10, pool=40, ridge_rows=30, tca_rows=36, tca_components=3, sa_components=3)
+    counts = folds.capped(df.select("subject_id", "row_id", "y"), study).groupBy("subject_id").agg(F.count("*").alias("n"))
+    pool = split.source_pool(counts, counts.select(F.col("subject_id").alias("fold")), study.pool).select("fold", "subject_id")
+    methods = ("raw", "centering", "coral", "tca", "sa")
+    asked = spark.createDataFrame([(s, m, seed) for s in range(14) for m in methods for seed in (42, 7)], "subject_id int, method string, seed int").withColumn("config_hash", F.lit("h"))
+    taken, used = folds.capped(df, study).collect(), pool.collect()
+    left = {(r.fold, r.row_id) for r in folds.dropped(folds.capped(df.select("subject_id", "row_id", "y"), study), pool, study).collect()}
+    for at_once in (1, 10**6):
+        got = {(r.subject_id, r.method, r.seed): r for r in runner.run_folds(df, pool, asked, study, at_once).collect()}
+        assert len(got) == 14 * 10
+        for (fold, method, seed), r in got.items():
+            of = {u.subject_id for u in used if u.fold == fold}
+            src = sorted((t for t in taken if t.subject_id in of and (fold, t.row_id) not in left), key=lambda t: t.row_id)
+            own = [t for t in rows if t[0] == fold]
+            cal, final = ([t for t in own if (seed in t[3]) == held] for held in (True, False))
+            x = lambda part: np.array([t[4] for t in part], float).reshape(-1, 6)
+            args = x(src), np.array([t.y for t in src]), x(cal), x(final), np.array([t[2] for t in final]), method, replace(study, seed=seed)
+            if len(cal) < 2 and method in ("coral", "tca", "sa"):
+                assert "too few" in r.error
+                continue
+            want = runner.evaluate(*args)
+            assert r.error is None and all(np.isclose(r[k], v, rtol=1e-6, atol=1e-8) for k, v in want.items()), (fold, method, seed)
+    made, plain = [], ridge.Factored.__init__
+    monkeypatch.setattr(ridge.Factored, "__init__", lambda self, *a: (made.append(1), plain(self, *a))[1])
+    monkeypatch.setattr(ridge, "fit", lambda *a, **k: pytest.fail("a ridge on a fold's own copy of its pool"))
+    source = runner.Source(*args[:2])
+    for method in methods:
+        assert np.isclose(runner.evaluated(source, x(own), x(own), np.array([t[2] for t in own]), method, study)["n_train"], len(src))
+    assert len(made) == 1
