@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from kinetra.config import Study
 from kinetra.operators import adapt, folds, ridge, runner, split
+from kinetra.plans import models
+from kinetra.plans.registry import QUERIES
 
 STUDY = Study(per_subject=40, pool=130, sa_components=4, coral_reg=1e-3)
 METHODS = ("raw", "centering", "coral", "sa")
@@ -167,3 +169,37 @@ def test_folds_on_rows_share_their_pool(spark, monkeypatch):
     for method in methods:
         assert np.isclose(runner.evaluated(source, x(own), x(own), np.array([t[2] for t in own]), method, study)["n_train"], len(src))
     assert len(made) == 1
+
+
+def test_folds_without_a_cap_learn_from_all_rows_of_all_others(spark):
+    """Every value equals a fold on all rows by itself, whatever the blocks; rows that repeat across subjects count each."""
+    rng = np.random.default_rng(9)
+    rows = [(s, s * 100 + i, int(rng.integers(0, 3)), [42] if i % 3 == 0 else [], (rng.normal(size=6) * (1 + s / 9) + s / 5 + i % 3).tolist()) for s in range(9) for i in range(12)]
+    rows += [(s, s * 100 + 50 + i, y, [7], x) for s in (2, 3, 20) for i, (_, _, y, _, x) in enumerate(rows[:5])] + [(30, 3000, 1, [], [0.0] * 6)]
+    df = spark.createDataFrame(rows, "subject_id int, row_id bigint, y int, held_seeds array<int>, features array<double>").repartition(3)
+    study, methods = Study(pool=None, per_subject=5, tca_rows=20, ridge_rows=20, tca_components=3, sa_components=3), ("raw", "centering", "coral", "tca", "sa")
+    asked = spark.createDataFrame([(s, m, seed) for s in sorted({r[0] for r in rows}) for m in methods for seed in (42, 7)], "subject_id int, method string, seed int").withColumn("config_hash", F.lit("h"))
+    every = replace(study, tca_rows=10**6, ridge_rows=10**6)
+    for at_once, rows_at_once in ((512, 8192), (2, 25)):
+        got = {(r.subject_id, r.method, r.seed): r for r in runner.run_whole(df, asked, study, at_once, rows_at_once).collect()}
+        assert len(got) == 11 * 10
+        for (fold, method, seed), r in got.items():
+            src = sorted((t for t in rows if t[0] != fold), key=lambda t: t[1])
+            own = [t for t in rows if t[0] == fold]
+            cal, final = ([t for t in own if (seed in t[3]) == held] for held in (True, False))
+            x = lambda part: np.array([t[4] for t in part], float).reshape(-1, 6)
+            if not final or (len(cal) < 2 and method in ("coral", "tca", "sa")):
+                assert "too few" in r.error
+                continue
+            want = runner.evaluate(x(src), np.array([t[2] for t in src]), x(cal), x(final), np.array([t[2] for t in final]), method, replace(every, seed=seed))
+            assert r.error is None and r.n_train == len(rows) - len(own)
+            assert all(v != v if r[k] is None else np.isclose(r[k], v, rtol=1e-6, atol=1e-8) for k, v in want.items()), (fold, method, seed, r, want)
+
+
+def test_leave_one_subject_out_takes_pools_of_more_than_2000_rows(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(s, s * 1000 + i, int(rng.integers(0, 3)), 1 + i % 4, rng.normal(size=5).round(3).tolist()) for s in range(5) for i in range(600)]
+    df = spark.createDataFrame(rows, "subject_id int, row_id bigint, y int, rep int, features array<double>")
+    monkeypatch.setattr(models, "_features", lambda spark, d: df)
+    got = QUERIES["ex1_leave_one_subject_out"](spark, "").collect()
+    assert len(got) == 5 * 4 and all(r.error is None and r.n_train == 2400 and r.n_calibration + r.n_test == 600 for r in got)
